@@ -111,6 +111,8 @@ nostra tatur
 
 # Furniture of pages.
 FURNITURE = """
+copyright 20
+(c) 20
 reuse of any text needs written permission from
 never miss a story: join
 all views are those of the authors and not of
@@ -255,8 +257,10 @@ aberto de segunda a sexta das
 の許可なく転載することはできません
 订阅
 的每周来信
+未经
 书面许可不得转载
 เขียนโดยทีมงาน
+สมัครรับจดหมายรายสัปดาห์จาก
 版权所有
 """
 
