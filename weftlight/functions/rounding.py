@@ -1,0 +1,9 @@
+"""Rounding half to even."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+
+def half_even(value: Column, digits: int) -> Column:
+    return F.bround(value, digits)

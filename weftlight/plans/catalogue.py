@@ -1,12 +1,499 @@
-"""The queries of the engine by name, and their SQL."""
+"""The queries of the engine by name, over the tables of a data folder."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from weftlight.functions import html, url as U, vector
+from weftlight.functions.text import stem, tokens
+from weftlight.operators import frontier, graph, index, rank, stats
+from weftlight.plans.lineage import shared_folder, written
+from weftlight.plans.oracles import ORACLES
+from weftlight.sources import corpus, robots, storage
+from weftlight.sources.tables import table
+from weftlight.streaming import streams
 
+Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+DIMENSIONS = 384
+__all__ = ["ORACLES", "QUERIES"]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _queue(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl queue made of the event stream."""
+    site = F.concat(F.lit("site"), F.col("user_id") % 50, F.lit(".example"))
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "view", "pending").otherwise("crawling")
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.concat(F.lit("https://"), site, F.lit("/p/"), F.col("event_id") % 400).alias("url"), status.alias("status"),
+        (F.col("event_id") % 5).cast("int").alias("depth"), (F.col("event_id") % 11).cast("int").alias("priority"), site.alias("domain"), F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("w"), F.col("user_id") % 20).alias("worker"), "value",
+    )
+
+
+def _doc_index(spark: SparkSession, d: str) -> DataFrame:
+    return index.postings(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _page_index(spark: SparkSession, d: str) -> DataFrame:
+    return index.postings(table(spark, d, "pages"))
+
+
+def _asked(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """(query_id, query): the n most frequent queries of the log."""
+    text = F.lower(F.trim("query"))
+    counted = table(spark, d, "search_history").filter(F.trim("query") != "").groupBy(text.alias("query")).agg(F.count("*").alias("c"))
+    top = counted.orderBy(F.desc("c"), F.asc("query")).limit(n)
+    return written(top.select(F.row_number().over(Window.orderBy(F.desc("c"), F.asc("query"))).cast("long").alias("query_id"), "query"), "queries")
+
+
+def _page_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, vector): the newest usable vector of each page."""
+    read = table(spark, d, "page_embeddings").filter("page_id is not null").withColumn("vector", vector.from_json(F.col("embedding")))
+    usable = read.filter(vector.usable(F.col("vector"), DIMENSIONS))
+    best = usable.groupBy("page_id").agg(F.max(F.struct("created_at", "embedding"))["embedding"].alias("e"))
+    return best.select("page_id", vector.from_json(F.col("e")).alias("vector"))
+
+
+# Text and the index
+
+@query
+def tokenize_docs(spark, d):
+    return table(spark, d, "documents").withColumn("t", tokens(F.col("text"))).select("doc_id", F.array_join("t", " ").alias("tokens"), F.size("t").alias("n"))
+
+
+@query
+def stem_vocab(spark, d):
+    return table(spark, d, "words").select("word", stem(F.col("word")).alias("stem"))
+
+
+@query
+def term_frequency(spark, d):
+    return _doc_index(spark, d).select("page_id", "word", "n", F.round("tf", 12).alias("tf"))
+
+
+@query
+def document_frequency(spark, d):
+    return index.document_frequency(_doc_index(spark, d))
+
+
+@query
+def idf(spark, d):
+    n = table(spark, d, "documents").count()
+    return index.with_idf(index.document_frequency(_doc_index(spark, d)), n).select("word", "df", F.round("idf", 9).alias("idf"))
+
+
+@query
+def tfidf_topk(spark, d):
+    asked = spark.createDataFrame([(1, "museum market")], "query_id long, query string")
+    return rank.candidates(rank.query_terms(asked), _doc_index(spark, d), table(spark, d, "documents").count()).select("page_id", "raw")
+
+
+@query
+def reindex_merge(spark, d):
+    pages = table(spark, d, "pages")
+    old = index.postings(pages, "id", "title")
+    return index.reindexed(old, pages.filter("last_checked is not null")).select("page_id", "word", F.round("tf", 12).alias("tf"))
+
+
+@query
+def dictionary_upsert(spark, d):
+    return index.dictionary_after(table(spark, d, "words"), _page_index(spark, d))
+
+
+@query
+def embedding_upsert(spark, d):
+    rows = table(spark, d, "page_embeddings").filter("page_id is not null").select("page_id", "model_name").distinct()
+    return index.upserted(rows.filter("model_name not like 'mini%'"), rows.filter("model_name like 'mini%'"), "page_id")
+
+
+# Ranking
+
+_RESULT = ["query_id", "position", "page_id", "title", "score", "tfidf", "pagerank", "semantic"]
+
+
+def _search(spark, d, n, semantic=False, snippets=False):
+    vectors = written(_page_vectors(spark, d), "page-vectors") if semantic else None
+    asked = _asked(spark, d, n)
+    query_vectors = None
+    if vectors is not None:
+        one = vectors.orderBy("page_id").limit(1).select("vector")
+        query_vectors = asked.select("query_id").crossJoin(F.broadcast(one))  # one row
+    return rank.search(asked, written(_page_index(spark, d), "postings"), table(spark, d, "pages"), query_vectors=query_vectors, page_vectors=vectors, with_snippets=snippets)
+
+
+@query
+def search_blended(spark, d):
+    return _search(spark, d, 5, semantic=True).select(*_RESULT)
+
+
+@query
+def search_no_semantic(spark, d):
+    return _search(spark, d, 5).select(*_RESULT)
+
+
+@query
+def search_multi_query(spark, d):
+    return _search(spark, d, 100).select(*_RESULT)
+
+
+@query
+def snippets(spark, d):
+    return _search(spark, d, 5, snippets=True).select("query_id", "page_id", "snippet")
+
+
+@query
+def cosine_topk(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = rows.filter("id = 0").first()["vector"]
+    return rank.nearest_by_vector(rows, asked, 20)
+
+
+@query
+def page_similarity(spark, d):
+    vectors = written(_page_vectors(spark, d), "page-vectors")
+    one = vectors.orderBy("page_id").limit(1).select(F.col("vector").alias("q"))
+    return vectors.crossJoin(F.broadcast(one)).select("page_id", F.round(vector.dot(F.col("vector"), F.col("q")), 8).alias("similarity"))
+
+
+@query
+def embedding_json_roundtrip(spark, d):
+    again = _page_vectors(spark, d).select("page_id", vector.from_json(vector.to_json(F.col("vector"))).alias("v"))
+    return again.select("page_id", F.size("v").alias("dims"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.sqrt(vector.dot(F.col("v"), F.col("v"))), 6).alias("length"))
+
+
+# HTML and addresses
+
+def _html(spark, d):
+    return table(spark, d, "pages").filter("html is not null")
+
+
+@query
+def html_title_lang(spark, d):
+    return _html(spark, d).select("id", html.title(F.col("html")).alias("title"), html.language(F.col("html")).alias("language"))
+
+
+@query
+def html_meta(spark, d):
+    return _html(spark, d).select("id", html.description(F.col("html")).alias("description"), F.array_join(html.keywords(F.col("html")), "|").alias("keywords"))
+
+
+@query
+def html_content_hash(spark, d):
+    text = _html(spark, d).select("id", html.content(F.col("html")).alias("c"))
+    return text.select("id", F.sha2("c", 256).alias("page_hash"), F.length("c").alias("n_chars"))
+
+
+@query
+def html_headings(spark, d):
+    return _html(spark, d).select("id", F.array_join(html.headings(F.col("html")), "|").alias("headings"))
+
+
+@query
+def html_links(spark, d):
+    return graph.extracted_links(table(spark, d, "pages").filter("url is not null"))
+
+
+@query
+def html_images(spark, d):
+    return _html(spark, d).select("id", F.size(html.images(F.col("html"), F.col("url"))).alias("images"))
+
+
+@query
+def html_parsed(spark, d):
+    return _html(spark, d).select("id", html.parse_html("html", "url").alias("p")).select("id", "p.title", "p.language", "p.page_hash")
+
+
+@query
+def html_link_edges(spark, d):
+    return graph.resolved_edges(table(spark, d, "pages").filter("url is not null"))
+
+
+@query
+def url_parts(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("id", U.authority(u).alias("domain"), U.without_fragment(u).alias("plain"), U.robots_of(u).alias("robots"))
+
+
+@query
+def normalize_seeds(spark, d):
+    sites, pages = table(spark, d, "websites"), table(spark, d, "pages")
+    entered = (
+        sites.select(F.col("domain").alias("url")).unionByName(sites.select(F.concat(F.lit("  "), "domain", F.lit("/ ")).alias("url")))
+        .unionByName(sites.select(F.lit("http://").alias("url"))).unionByName(pages.select("url"))
+    )
+    return frontier.normalised_seeds(entered, pages)
+
+
+@query
+def content_dedup(spark, d):
+    return frontier.first_of_content(table(spark, d, "pages"))
+
+
+# The link graph
+
+def _edges(spark, d):
+    return graph.link_edges(table(spark, d, "links"), table(spark, d, "pages"))
+
+
+@query
+def link_edges(spark, d):
+    return _edges(spark, d)
+
+
+@query
+def out_degree(spark, d):
+    return graph.out_degree(_edges(spark, d))
+
+
+@query
+def dangling_nodes(spark, d):
+    return graph.dangling(table(spark, d, "pages"), _edges(spark, d))
+
+
+def _ranking(spark, d, iterations, tolerance):
+    return graph.pagerank(table(spark, d, "pages"), _edges(spark, d), max_iterations=iterations, tolerance=tolerance)
+
+
+@query
+def pagerank_scores(spark, d):
+    return _ranking(spark, d, 20, 0.0).normalised(9).select("id", F.round("pagerank", 6).alias("pagerank"))
+
+
+@query
+def pagerank_update(spark, d):
+    fresh = _ranking(spark, d, 20, 0.0).normalised(9).select("id", F.round("pagerank", 6).alias("pagerank"))
+    return graph.ranked_pages(table(spark, d, "pages"), fresh).select("id", "url", "pagerank")
+
+
+@query
+def pagerank_stats(spark, d):
+    found = _ranking(spark, d, graph.MAX_ITERATIONS, graph.TOLERANCE).stats()
+    return spark.createDataFrame([(found["pages_computed"], found.get("link_edges", 0), found["iterations"], found["converged"])], "pages long, edges long, iterations int, converged boolean")
+
+
+# Figures
+
+@query
+def corpus_counts(spark, d):
+    return stats.corpus_counts(*[table(spark, d, t) for t in ("pages", "websites", "words", "links", "search_history")])
+
+
+@query
+def queue_stats(spark, d):
+    return stats.queue_counts(_queue(spark, d))
+
+
+@query
+def top_domains(spark, d):
+    return stats.top_domains(table(spark, d, "pages"), table(spark, d, "websites"))
+
+
+@query
+def pages_per_site(spark, d):
+    return stats.pages_per_site(table(spark, d, "pages"), table(spark, d, "websites"))
+
+
+@query
+def top_queries(spark, d):
+    return stats.top_queries(table(spark, d, "search_history"))
+
+
+@query
+def status_histogram(spark, d):
+    return stats.status_histogram(table(spark, d, "pages"))
+
+
+@query
+def latency_stats(spark, d):
+    return stats.latency(table(spark, d, "events"), "value")
+
+
+@query
+def fetch_averages(spark, d):
+    return stats.averages(table(spark, d, "events"), "value", 1000.0, 2)
+
+
+@query
+def success_rate(spark, d):
+    return stats.success_rate(table(spark, d, "events"), "event_type <> 'error'")
+
+
+@query
+def cache_efficiency(spark, d):
+    return stats.cache_efficiency(table(spark, d, "pages"))
+
+
+@query
+def throughput(spark, d):
+    return stats.throughput(table(spark, d, "pages"), "crawl_time")
+
+
+@query
+def set_cardinalities(spark, d):
+    queue = _queue(spark, d)
+    return stats.cardinalities(table(spark, d, "pages"), queue, queue)
+
+
+@query
+def suggest(spark, d):
+    return stats.suggestions(table(spark, d, "words"), table(spark, d, "search_history"), " Ma ")
+
+
+@query
+def table_sizes(spark, d):
+    return storage.table_sizes(spark, d)
+
+
+@query
+def point_lookup(spark, d):
+    return table(spark, d, "pages").filter("id = 1").select("id", "url", "title")
+
+
+@query
+def batch_lookup(spark, d):
+    few = table(spark, d, "words").filter(F.col("word").isin("museum", "market", "tunnel", "velmora")).select(F.col("id").alias("word_id"), "word")
+    return table(spark, d, "inverted_index").join(F.broadcast(few), "word_id").groupBy("word").agg(F.count("*").alias("postings"))  # four words
+
+
+# The frontier
+
+@query
+def frontier_pop(spark, d):
+    return frontier.popped(_queue(spark, d), 100).select("id", "url", "depth", "priority")
+
+
+@query
+def frontier_dedup(spark, d):
+    queue = _queue(spark, d)
+    return frontier.unvisited(queue, queue.filter("status = 'completed'")).select("url", "depth", "priority")
+
+
+@query
+def child_links(spark, d):
+    links = graph.extracted_links(table(spark, d, "pages").filter("url is not null")).select("target", F.lit(0).alias("depth"), F.lit(frontier.SEED_PRIORITY).alias("priority"))
+    return frontier.child_tasks(links).distinct()
+
+
+@query
+def crawl_classify(spark, d):
+    pages = table(spark, d, "pages")
+    told = frontier.classified(pages.select("id", "url", "status_code", "page_hash"), pages.filter("last_checked is not null"))
+    return told.withColumn("status_code", F.coalesce("status_code", F.lit(0)))
+
+
+@query
+def merge_pages(spark, d):
+    pages = table(spark, d, "pages")
+    stored = pages.filter("last_checked is not null")
+    told = frontier.classified(pages.select("id", "url", "status_code", "page_hash"), stored)
+    return frontier.merged_pages(stored, pages, told).select("id", "url", "page_hash")
+
+
+@query
+def politeness_schedule(spark, d):
+    queue = _queue(spark, d)
+    delays = queue.groupBy("domain").agg((F.max("priority") % 3).alias("crawl_delay"))
+    return frontier.schedule(queue, delays).select("id", "domain", "wait_s")
+
+
+@query
+def active_workers(spark, d):
+    queue = _queue(spark, d)
+    now = queue.agg(F.max("ts").alias("t")).first()["t"]
+    return frontier.active_workers(queue, F.lit(now))
+
+
+@query
+def recrawl_queue(spark, d):
+    return frontier.recrawl(table(spark, d, "pages"))
+
+
+@query
+def uncrawled_sites(spark, d):
+    return frontier.uncrawled_sites(table(spark, d, "websites"), table(spark, d, "pages"))
+
+
+@query
+def restart_recovery(spark, d):
+    queue = _queue(spark, d)
+    return frontier.recovered(queue, table(spark, d, "websites"), table(spark, d, "pages"), queue.filter("status = 'completed'")).select("url", "depth", "priority")
+
+
+@query
+def delete_seed_cascade(spark, d):
+    t = {n: table(spark, d, n) for n in ("websites", "pages", "links")}
+    left = frontier.without_seed("velmora-courier.example", queue=_queue(spark, d), index=table(spark, d, "inverted_index"), embeddings=table(spark, d, "page_embeddings"), **t)
+    out = None
+    for name, df in left.items():
+        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def queue_status_update(spark, d):
+    queue = _queue(spark, d)
+    return frontier.with_status(queue, frontier.popped(queue, 100), "crawling").select("id", "status")
+
+
+@query
+def task_json(spark, d):
+    queue = _queue(spark, d)
+    texts = queue.select("id", F.to_json(F.struct("url", "depth", "priority")).alias("task"))
+    return texts.select("id", F.from_json("task", "url string, depth int, priority int").alias("t")).select("id", "t.*")
+
+
+@query
+def robots_allowed(spark, d):
+    sites = table(spark, d, "websites")
+    text = F.concat(F.lit("User-agent: *\nDisallow: /archive/\nCrawl-delay: "), F.coalesce("crawl_delay", F.lit(0)))
+    files = sites.filter("robots_checked").select("domain", text.alias("robots_txt"))
+    return robots.permissions(table(spark, d, "pages").filter("url is not null"), files)
+
+
+@query
+def mock_corpus(spark, d):
+    made = corpus.mock_pages(spark, 2000)
+    return made.select("page_no", html.title(F.col("html")).alias("title"), F.size(html.links(F.col("html"), F.col("url"))).alias("links"), F.length(html.content(F.col("html"))).alias("n_chars"))
+
+
+# Streams
+
+def _streamed(spark, source: DataFrame, build, mode="append") -> DataFrame:
+    """Runs a stream over a table's files and gives what it wrote."""
+    folder = f"{shared_folder(spark)}/streams/{tempfile.mktemp(prefix='', dir='')}"
+    source.write.mode("overwrite").parquet(folder + "/in")
+    schema = spark.read.parquet(folder + "/in").schema
+    made = build(streams.folder_stream(spark, folder + "/in", schema))
+    streams.drained(made, folder + "/out", folder + "/state", mode)
+    return spark.read.schema(made.schema).parquet(folder + "/out")
+
+
+@query
+def stream_dedup(spark, d):
+    return _streamed(spark, _queue(spark, d).select("url", "ts"), lambda s: streams.new_addresses(s, within="3650 days")).select("url")
+
+
+@query
+def stream_heartbeats(spark, d):
+    return _streamed(spark, _queue(spark, d).select("worker", "ts"), streams.heartbeats)
+
+
+@query
+def stream_polite(spark, d):
+    return _streamed(spark, _queue(spark, d).select("domain", "url", "ts", F.lit(1.0).alias("delay")), streams.polite)
+
+
+@query
+def stream_query_counts(spark, d):
+    daily = _streamed(spark, table(spark, d, "search_history").select("query", F.lit("2025-01-01 00:00:00").cast("timestamp").alias("searched_at")).unionByName(
+        spark.createDataFrame([(None, "2026-01-01 00:00:00")], "query string, t string").select("query", F.col("t").cast("timestamp").alias("searched_at"))), lambda s: streams.query_counts(s))
+    return daily.groupBy("query").agg(F.sum("searches").alias("searches"))

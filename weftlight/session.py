@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -26,3 +31,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="weftlight-ship-")) / "weftlight.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as file:
+        for path in sorted(root.rglob("*.py")):
+            file.write(path, os.path.join(root.name, path.relative_to(root)))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
