@@ -18,7 +18,7 @@ le les des et du que qui est dans pour ne pas plus sur avec nous au ont été au
 der die das und ist den dem des ein eine nicht mit von zu im auf für wir noch als wie bei war um hat oder nachdem wenn ohne ihn ihren jeden
 de het een en van is dat niet met op voor wij zijn nog als te aan bij was tot wie zonder hem elke hun uit nadat keer onze
 o os as um uma do da dos das em que não por com seu ao é mais como para ainda duas até quando sem foi
-и в не на что с по как но из за для после того был если то его до их наши мы под же когда чем
+и в не на что с по как но никто почему всегда тому кто почти наш рядом это все так из за для после того был если то его до их наши мы под же когда чем
 من في على إلى أن ما لا هل كان عن مع لم التي هو قال أي كل بعد
 का के की में को है से पर और तक ने जब तब कि नहीं हैं किसी एक भी यह था कुछ गया हर साथ क्योंकि हमारे हमने
 """.split())
@@ -99,16 +99,14 @@ def keyword_text(line: str, tokens: list[str], script: str, function: float) ->
         return sum(map(len, tokens)) / n <= 13
     if function >= 0.4:
         return False
-    marks = len(END_MARK.findall(line))
-    if function >= 0.2 and (n < 25 or marks * 25 > n):
-        return False
     lower = [t.lower() for t in tokens]
     again, unevenness = recurrence(lower)
-    if function >= 0.2:
-        return again > 0.5
-    if function < 0.12 and (again > 0.4 or marks * 12 < n):
+    marks = len(END_MARK.findall(line))
+    if function >= 0.12:  # words such as those in "for sale": only without sentences
+        return again > 0.5 and marks * (25 if function < 0.2 else 50) <= n
+    if marks * 12 < n:
         return True
-    return again > 0.55 and (unevenness < 0.8 or autocorrelation(lower) > 0.2)
+    return again > 0.55 and (unevenness < 0.9 or autocorrelation(lower) > 0.2)
 
 
 def is_prose(line: str, tokens: list[str], script: str, function: float) -> bool:

@@ -262,6 +262,7 @@ aberto de segunda a sexta das
 เขียนโดยทีมงาน
 สมัครรับจดหมายรายสัปดาห์จาก
 版权所有
+编辑部撰写
 """
 
 KINDS = {"error": ERRORS, "script": SCRIPTS, "filler": FILLERS, "furniture": FURNITURE}
