@@ -61,7 +61,7 @@ def description(html: Column) -> Column:
 
 
 def keywords(html: Column) -> Column:
-    return F.filter(F.transform(F.split(meta(html, "keywords"), ","), F.trim), lambda k: k != "")
+    return F.filter(F.transform(F.split(meta(html, "keywords"), ","), lambda k: F.trim(k)), lambda k: k != "")
 
 
 def headings(html: Column) -> Column:
