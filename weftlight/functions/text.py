@@ -19,11 +19,9 @@ until up very was wasn't we we'd we'll we're we've were weren't what what's when
 who's whom why why's with won't would wouldn't you you'd you'll you're you've your yours yourself yourselves
 """.split())
 
-#: A word character of any script, and a word boundary between such characters and others.
-WORD_CHAR = r"[\p{L}\p{N}_]"
-BOUNDARY = rf"(?:(?<={WORD_CHAR})(?!{WORD_CHAR})|(?<!{WORD_CHAR})(?={WORD_CHAR}))"
-#: Letters and numbers beyond the basic plane: look-behind sees only half of them, so "_" stands in.
-ASTRAL = r"[\x{10000}-\x{10FFFF}&&[\p{L}\p{N}]]"
+#: Letters and numbers beyond ASCII count as word characters, and nothing else beyond ASCII does.
+OTHER_WORD_CHAR, OTHER_CHAR = r"[\p{L}\p{N}&&[^\x00-\x7F]]", r"[^\x00-\x7F]"
+WORD = r"(\b[a-z0-9\-]+\b)"
 #: Unicode white space.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 SHORTEST, LONGEST = 2, 50
@@ -46,13 +44,13 @@ def content_hash(content: Column) -> Column:
 
 
 def _searched(text: Column) -> Column:
-    """Lower case, character by character as long as the text."""
-    return F.regexp_replace(F.lower(text), ASTRAL, "_")
+    """Lower case and pure ASCII, character by character as long as the text: word boundaries are those of any script."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), OTHER_WORD_CHAR, "_"), OTHER_CHAR, " ")
 
 
 def raw_words(text: Column) -> Column:
     """The runs of ASCII letters, digits and hyphens that stand between word boundaries, lower case."""
-    return F.regexp_extract_all(_searched(text), F.lit(rf"({BOUNDARY}[a-zA-Z0-9\-]+{BOUNDARY})"), F.lit(1))
+    return F.regexp_extract_all(_searched(text), F.lit(WORD), F.lit(1))
 
 
 def _cut(word: Column, n: int) -> Column:
@@ -108,7 +106,7 @@ def snippet(content: Column, query_tokens: Column) -> Column:
     body = F.coalesce(content, F.lit(""))
     head = F.concat(body.substr(F.lit(1), F.lit(SNIPPET)), F.when(F.length(body) > SNIPPET, F.lit("...")).otherwise(F.lit("")))
     # tokens hold letters, digits and hyphens only, so they need no escaping
-    pattern = F.concat(F.lit(rf"(?s)^(.*?){BOUNDARY}(?:"), F.array_join(query_tokens, "|"), F.lit(")"))
+    pattern = F.concat(F.lit(r"(?s)^(.*?)\b(?:"), F.array_join(query_tokens, "|"), F.lit(")"))
 
     def around(first: Column) -> Column:
         start = F.greatest(first - BEFORE, F.lit(0))

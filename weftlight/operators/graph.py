@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftlight.functions import html, url as U
 from weftlight.plans.lineage import checkpointed, written
+from weftlight.plans.spread import spread
 
 DAMPING, MAX_ITERATIONS, TOLERANCE = 0.85, 50, 1e-6
 
@@ -26,7 +27,7 @@ def link_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 def extracted_links(pages: DataFrame) -> DataFrame:
     """(src, target): the distinct addresses each page links to."""
-    return pages.filter("html is not null").select(F.col("id").alias("src"), F.explode(html.links(F.col("html"), F.col("url"))).alias("target"))
+    return spread(pages.filter("html is not null").select("id", "url", "html")).select(F.col("id").alias("src"), F.explode(html.links(F.col("html"), F.col("url"))).alias("target"))
 
 
 def resolved_edges(pages: DataFrame, as_of_crawl: bool = False) -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weftlight.functions.text import tokens
 from weftlight.plans.lineage import written
+from weftlight.plans.spread import spread
 
 
 def page_tokens(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(page_id, tokens) of the rows that have a token."""
-    return pages.select(F.col(id_col).alias("page_id"), tokens(F.col(text_col)).alias("tokens")).filter(F.size("tokens") > 0)
+    texts = spread(pages.select(F.col(id_col).alias("page_id"), F.col(text_col).alias("text")))
+    return texts.select("page_id", tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
 
 
 def postings(pages: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:

@@ -12,6 +12,7 @@ from weftlight.functions.text import stem, tokens
 from weftlight.operators import frontier, graph, index, rank, stats
 from weftlight.plans.lineage import shared_folder, written
 from weftlight.plans.oracles import ORACLES
+from weftlight.plans.spread import spread
 from weftlight.sources import corpus, robots, storage
 from weftlight.sources.tables import table
 from weftlight.streaming import streams
@@ -66,7 +67,7 @@ def _page_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tokenize_docs(spark, d):
-    return table(spark, d, "documents").withColumn("t", tokens(F.col("text"))).select("doc_id", F.array_join("t", " ").alias("tokens"), F.size("t").alias("n"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("t", tokens(F.col("text"))).select("doc_id", F.array_join("t", " ").alias("tokens"), F.size("t").alias("n"))
 
 
 @query
@@ -172,7 +173,7 @@ def embedding_json_roundtrip(spark, d):
 # HTML and addresses
 
 def _html(spark, d):
-    return table(spark, d, "pages").filter("html is not null")
+    return spread(table(spark, d, "pages").filter("html is not null").select("id", "url", "html"))
 
 
 @query
