@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from weftlight.plans.spread import spread
+
 #: Folder of the public vocabularies.
 VOCABULARY_DIR = "/opt/tokenizers"
 #: The pattern that splits text into words before the merges (fixed by the vocabulary).
@@ -214,7 +216,7 @@ def token_ids(
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "ids"])
 
-    plain = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     schema = T.StructType([T.StructField("id", plain.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return plain.mapInArrow(encode, schema).withColumnRenamed("id", id_col)
 
@@ -233,6 +235,6 @@ def token_counts(
             sizes = pa.array(np.diff(offsets), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], sizes], [*keep, "n_tokens"])
 
-    plain = documents.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    plain = spread(documents.select(*keep, F.col(text_col).cast("string").alias("_text")))
     schema = T.StructType([*[plain.schema[c] for c in keep], T.StructField("n_tokens", T.LongType())])
     return plain.mapInArrow(count, schema)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftlight.llm.common import unique_by
 from weftlight.llm.linekinds import kind_of
+from weftlight.plans.spread import spread
 
 #: Dimensions of the hashed presence vectors (a power of two).
 GRAMS = 8192
@@ -145,7 +146,7 @@ def page_paragraphs(pages: DataFrame, codes: DataFrame, fit_pages: int = FIT_PAG
     any usable label there is no model and no row.
     """
     spark = pages.sparkSession
-    plain = unique_by(pages.select("id", "language", "content"), "id")
+    plain = unique_by(spread(pages.select("id", "language", "content")), "id")
     schema = "page_id long, label string, line_no int, chars int, lang string, confidence double"
     model = fit_model(plain, codes, fit_pages)
     if model is None:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weftlight.llm.common import unique_by
 from weftlight.plans.joins import sized_join
 from weftlight.plans.lineage import checkpointed, written
+from weftlight.plans.spread import spread
 
 #: Pages of a site that a line or a pair of lines must stand on.
 MIN_PAGES = 8
@@ -36,7 +37,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
     Rows with a null id, website_id or content take no part; a page delivered twice counts once.
     """
-    plain = unique_by(pages.select(F.col("id").alias("page_id"), "website_id", "content"), "page_id")
+    plain = unique_by(spread(pages.select(F.col("id").alias("page_id"), "website_id", "content")), "page_id")
     plain = plain.filter("website_id is not null and content is not null")
     return plain.select("page_id", "website_id", F.transform(F.split("content", "\n", -1), line_key).alias("keys"))
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from weftlight.llm.common import unique_by
 from weftlight.llm.linekinds import kind_of
 from weftlight.llm.stuffing import LIST_LINES
+from weftlight.plans.spread import spread
 
 # The forms in which template languages write a field.
 FIELD = regex.compile(
@@ -90,7 +91,7 @@ def page_residue(pages: DataFrame) -> DataFrame:
     Pages with null or empty content give no row, whatever their title; a null
     title counts as empty; a page delivered twice counts once.
     """
-    plain = unique_by(pages.select(F.col("id").alias("page_id"), "title", "content").filter("content <> ''"), "page_id")
+    plain = unique_by(spread(pages.select(F.col("id").alias("page_id"), "title", "content").filter("content <> ''")), "page_id")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftlight.llm.common import unique_by
 from weftlight.llm.linekinds import kind_of
+from weftlight.plans.spread import spread
 
 #: Short lines in a row that make a list of links; menus and side columns are shorter.
 LIST_LINES = 10
@@ -52,7 +53,7 @@ def page_weights(pages: DataFrame) -> DataFrame:
     Null and empty contents and null ids give no row; a page delivered twice counts once.
     """
     plain = pages.select(F.col("id").alias("page_id"), "content").filter("content <> ''")
-    plain = unique_by(plain, "page_id")
+    plain = unique_by(spread(plain), "page_id")
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:

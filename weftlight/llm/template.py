@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from weftlight.llm.common import unique_by
 from weftlight.plans.joins import sized_join
 from weftlight.plans.lineage import written
+from weftlight.plans.spread import spread
 
 #: Pages on which a text class must occur to belong to a site's template.
 MIN_PAGES = 3
@@ -139,7 +140,7 @@ def block_table(pages: DataFrame) -> DataFrame:
     with that text. A page delivered twice counts once; null ids and contents
     give no row; pages without a website form a site of their own (-1).
     """
-    plain = unique_by(pages.select(F.col("id").alias("page_id"), F.coalesce("website_id", F.lit(-1)).cast("long").alias("website_id"), "content", "html"), "page_id")
+    plain = unique_by(spread(pages.select(F.col("id").alias("page_id"), F.coalesce("website_id", F.lit(-1)).cast("long").alias("website_id"), "content", "html")), "page_id")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys: dict[str, int] = {}
