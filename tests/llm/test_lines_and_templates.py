@@ -82,6 +82,13 @@ def test_template_dirty(spark):
     assert bodies[3] == "Some text" and bodies[2] is None and bodies[1] == ""
 
 
+def test_tail_of_a_page_without_html(spark):
+    text = ARTICLE.format(i="zzz")
+    rows = site_rows() + [(7, 1, f"We use cookies.\nA title\n{text}\nlast entry\nRead next\nUnseen page\nAnother one", None)]
+    found = {r["line_no"] for r in T.Templates(pages_of(spark, rows)).lines().filter("furniture and page_id = 7").collect()}
+    assert found == {0, 4, 5, 6}
+
+
 def test_template_empty(spark):
     assert T.Templates(pages_of(spark, [])).lines().count() == 0
 

@@ -227,13 +227,20 @@ class Templates:
         """(page_id, website_id, line_no, furniture) of each non-empty line of content.
 
         A line without a role (its html is missing) is furniture if its text is
-        template text of its site that stands in furniture roles elsewhere.
+        template text, or if it stands in the page's tail: after its last passage,
+        from the first template text on.
         """
         judged = sized_join(self.marked, self.roles.select("website_id", "role", "furniture"), ["website_id", "role"], "left")
+        bare = self.marked.filter("role = ''")
+        last = bare.filter("passage and not is_template").groupBy("page_id").agg(F.max("line_no").alias("_last"))
+        tails = written(
+            bare.filter("is_template").join(last, "page_id").filter(F.col("line_no") > F.col("_last")).groupBy("page_id").agg(F.min("line_no").alias("_tail")), "tails",
+        )
+        judged = sized_join(judged, tails, ["page_id"], "left")
         return judged.select(
             "page_id", "website_id", "line_no",
             F.when(F.col("heading") | (F.col("passage") & ~F.col("link") & ~F.col("is_template")), False)
-            .when(F.col("role") == "", F.col("is_template")).otherwise(F.coalesce("furniture", F.lit(False))).alias("furniture"),
+            .when(F.col("role") == "", F.col("is_template") | F.coalesce(F.col("line_no") >= F.col("_tail"), F.lit(False))).otherwise(F.coalesce("furniture", F.lit(False))).alias("furniture"),
         )
 
     def equivalence_classes(self) -> DataFrame:
