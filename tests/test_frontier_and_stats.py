@@ -217,3 +217,21 @@ def test_polite_stream_keeps_distance(spark, tmp_path):
     streams.drained(streams.polite(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     at = sorted(r["fetch_at"] for r in spark.read.parquet(str(tmp_path / "out")).filter("domain = 'd'").collect())
     assert [(b - a).total_seconds() for a, b in zip(at, at[1:], strict=False)] == [2.0, 2.0, 2.0]
+
+
+def test_robots_from_fetches(spark):
+    fetched = spark.createDataFrame([("https://a.b/robots.txt", 200, "User-agent: *"), ("https://c.d/robots.txt", 404, "x"), ("https://e.f/robots.txt", None, None)], "url string, status_code int, html string")
+    assert {r["domain"]: r["robots_txt"] for r in robots.from_fetches(fetched).collect()} == {"a.b": "User-agent: *", "c.d": None, "e.f": None}
+
+
+def test_written_tables_can_be_dropped(spark):
+    import os
+
+    from weftlight.plans import lineage
+
+    made = lineage.written(spark.range(5), "probe")
+    assert made.count() == 5
+    folder = lineage._tables_of(spark).removeprefix("file:")
+    assert os.path.isdir(folder)
+    lineage.drop_written(spark)
+    assert not os.path.isdir(folder)

@@ -87,3 +87,35 @@ def test_search_limits_and_ties(spark):
     rows = searched(spark, [(1, "word")], index, pages)
     assert [r["page_id"] for r in rows] == list(range(1, 21))
     assert all(r["pagerank"] == 0.0 for r in rows)
+
+
+def test_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from weftlight.functions import vector
+
+    rows = spark.createDataFrame([(1, [3.0, 4.0], [3.0, 4.0], "[3, 4]"), (2, [1.0], [1.0, 2.0], "[1"), (3, [0.0, 0.0], [1.0, 1.0], None), (4, [1.0, 0.0], [0.0, 2.0], "[]")], "id int, a array<double>, b array<double>, j string")
+    got = {r["id"]: tuple(r)[1:] for r in rows.select("id", vector.dot(F.col("a"), F.col("b")), vector.cosine(F.col("a"), F.col("b")), vector.from_json(F.col("j"))).collect()}
+    assert got == {1: (25.0, 1.0, [3.0, 4.0]), 2: (0.0, 0.0, None), 3: (0.0, 0.0, None), 4: (0.0, 0.0, [])}
+    usable = rows.select("id", vector.usable(vector.from_json(F.col("j")), 2).alias("u")).collect()
+    assert {r["id"]: r["u"] for r in usable} == {1: True, 2: False, 3: False, 4: False}
+    assert rows.select(vector.from_json(vector.to_json(F.col("b"))).alias("r"), "b").filter("r <> b").count() == 0
+
+
+def test_encoder(spark):
+    from pyspark.sql import functions as F
+
+    from weftlight.functions import vector
+
+    def load():
+        def model(texts):
+            if "fail" in texts:
+                raise RuntimeError
+            return [[float(len(t))] for t in texts]
+
+        return model
+
+    rows = spark.createDataFrame([(1, "abc"), (2, " "), (3, None), (4, "x" * 900)], "id int, t string").coalesce(1)
+    got = {r["id"]: r["v"] for r in rows.select("id", vector.encoder(load)(F.col("t")).alias("v")).collect()}
+    assert got == {1: [3.0], 2: None, 3: None, 4: [800.0]}
+    assert spark.createDataFrame([("fail",)], "t string").select(vector.encoder(load)("t").alias("v")).first()["v"] is None

@@ -1 +1 @@
-"""Column-level building blocks: text, URLs, HTML, vectors, rounding."""
+"""Column-level building blocks: text, URLs, HTML, vectors."""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from weftlight.functions import html, url as U
-from weftlight.plans.lineage import checkpointed, written
+from weftlight.plans.lineage import written
 from weftlight.plans.spread import spread
 
 DAMPING, MAX_ITERATIONS, TOLERANCE = 0.85, 50, 1e-6
@@ -75,32 +76,37 @@ class Ranking:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE) -> Ranking:
     """PageRank with the mass of dangling nodes spread evenly.
 
-    Repeated edges and self-loops count; edges to unknown nodes do not. Each
-    round is one join and one map-side combined sum (a page with a seventh of
-    all links is one key of that sum), cut by a checkpoint, and one small
-    aggregate that gives both the change and the dangling mass.
+    Repeated edges and self-loops count; edges to unknown nodes do not. Edges
+    stay partitioned by their source, so a round shuffles only the ranks and the
+    map-side combined sums (a page with a seventh of all links is one key of
+    those). Each round's ranks are a small written table, so plans stay flat and a
+    lost executor costs one round; one aggregate of it gives the change and the
+    dangling mass.
     """
     nodes = nodes.select("id").filter("id is not null").distinct()
     inside = known_edges(edges.select("src", "dst"), nodes)
-    weighted = written(inside.join(out_degree(inside), "src").select("src", "dst", (F.lit(1.0) / F.col("out_degree")).alias("share")), "rank-edges")
-    count, links = nodes.count(), weighted.count()
+    table = written(inside.join(out_degree(inside), "src").select("src", "dst", (F.lit(1.0) / F.col("out_degree")).alias("share")), "rank-edges")
+    count, links = nodes.count(), table.count()
     if not count:
         return Ranking(nodes.withColumn("rank", F.lit(0.0)), 0, 0, 0, False, 0.0)
-    leaves = dangling(nodes, weighted).withColumn("leaf", F.lit(True))
-    state = checkpointed(nodes.join(leaves, "id", "left").select("id", F.lit(1.0 / count).alias("rank"), F.coalesce("leaf", F.lit(False)).alias("leaf")))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weighted = table.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    leaves = dangling(nodes, table).withColumn("leaf", F.lit(True))
+    start = nodes.join(leaves, "id", "left").select("id", F.lit(1.0 / count).alias("rank"), F.coalesce("leaf", F.lit(False)).alias("leaf"), F.lit(0.0).alias("old"))
+    state = written(start, "ranks")
     lost = state.filter("leaf").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
     turn, converged = 0, False
     while turn < max_iterations and not converged:
         turn += 1
         inflow = weighted.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
         base = (1.0 - damping) / count + damping * lost / count
-        state = checkpointed(
-            state.withColumnRenamed("rank", "old").join(inflow, "id", "left")
-            .select("id", (F.lit(base) + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))).alias("rank"), "leaf", "old")
+        state = written(
+            state.select("id", F.col("rank").alias("old"), "leaf").join(inflow, "id", "left")
+            .select("id", (F.lit(base) + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))).alias("rank"), "leaf", "old"), "ranks",
         )
         change, lost = state.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("leaf"), F.col("rank"))), F.lit(0.0))).first()
         converged = change < tolerance
-        state = state.drop("old")
+    weighted.unpersist()
     largest = state.agg(F.max("rank")).first()[0]
     return Ranking(state.select("id", "rank"), count, links, turn, converged, largest)
 

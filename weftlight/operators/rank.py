@@ -26,11 +26,12 @@ def candidates(terms: DataFrame, index: DataFrame, page_count: int, k: int = CAN
     Only postings of query words go on; a word's frequency is counted after that.
     Sums are rounded to twelve decimals before ranking, ties go to the smaller id.
     """
+    size = terms.count()  # what is joined below is at most as large
     words = terms.select("word").distinct()
-    hits = sized_join(index.select("page_id", "word", "tf"), words, ["word"], "left_semi")
+    hits = sized_join(index.select("page_id", "word", "tf"), words, ["word"], "left_semi", right_rows=size)
     weights = with_idf(hits.groupBy("word").agg(F.count("*").alias("df")), page_count).select("word", "idf")
     asked = terms.join(weights, "word")
-    scored = sized_join(hits, asked, ["word"]).groupBy("query_id", "page_id").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 12).alias("raw"))
+    scored = sized_join(hits, asked, ["word"], right_rows=size).groupBy("query_id", "page_id").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 12).alias("raw"))
     best = Window.partitionBy("query_id").orderBy(F.desc("raw"), F.asc("page_id"))
     return scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 
@@ -47,7 +48,7 @@ def search(
     has one; a missing or unusable page vector counts as 0.
     """
     count = pages.count() if page_count is None else page_count
-    terms = query_terms(queries)
+    terms = written(query_terms(queries), "query-terms")
     found = written(candidates(terms, index, count), "candidates")  # at most 50 rows a query, used three times
     wide = pages.select(F.col("id").alias("page_id"), "url", "title", "content", "language", "crawl_time", F.coalesce("pagerank", F.lit(UNRANKED)).alias("pagerank"))
     # the candidates are few: they find their pages, not the other way round
@@ -70,7 +71,7 @@ def search(
     blend = [F.when(F.col("has_vector"), a).otherwise(b) for a, b in zip(WITH_VECTOR, WITHOUT_VECTOR, strict=True)]
     rows = rows.withColumn("score", F.bround(blend[0] * F.col("tfidf") + blend[1] * F.col("rank") + blend[2] * F.col("semantic"), 5))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("page_id"))
-    top = rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+    top = rows.withColumn("position", F.row_number().over(order).cast("long")).filter(F.col("position") <= limit)
     out = top.select(
         "query_id", "position", "page_id", "url", F.when(F.coalesce("title", F.lit("")) == "", "Untitled").otherwise(F.col("title")).alias("title"), "score",
         F.when(F.coalesce("language", F.lit("")) == "", "en").otherwise(F.col("language")).alias("language"), "crawl_time",

@@ -263,15 +263,37 @@ def _ranking(spark, d, iterations, tolerance):
     return graph.pagerank(table(spark, d, "pages"), _edges(spark, d), max_iterations=iterations, tolerance=tolerance)
 
 
+def _rounded_ranks(spark, d):
+    """(id, pagerank) after twenty rounds, to six digits."""
+    found = _ranking(spark, d, 20, 0.0)
+    return found.ranks.select("id", F.round(F.col("rank") / F.lit(found.largest or 1.0), 6).alias("pagerank"))
+
+
 @query
 def pagerank_scores(spark, d):
-    return _ranking(spark, d, 20, 0.0).normalised(9).select("id", F.round("pagerank", 6).alias("pagerank"))
+    return _rounded_ranks(spark, d)
 
 
 @query
 def pagerank_update(spark, d):
-    fresh = _ranking(spark, d, 20, 0.0).normalised(9).select("id", F.round("pagerank", 6).alias("pagerank"))
-    return graph.ranked_pages(table(spark, d, "pages"), fresh).select("id", "url", "pagerank")
+    return graph.ranked_pages(table(spark, d, "pages"), _rounded_ranks(spark, d)).select("id", "url", "pagerank")
+
+
+@query
+def pagerank_top(spark, d):
+    return _rounded_ranks(spark, d).orderBy(F.desc("pagerank"), F.asc("id")).limit(5)
+
+
+@query
+def vector_cosine(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = F.array(*[F.lit(float(x)) for x in rows.filter("id = 1").first()["v"]])
+    return rows.select("id", F.round(vector.cosine(F.col("v"), asked), 6).alias("cosine"))
+
+
+@query
+def robots_addresses(spark, d):
+    return robots.addresses(table(spark, d, "pages").filter("url is not null")).select("url")
 
 
 @query

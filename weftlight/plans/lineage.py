@@ -42,6 +42,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     column, so it is the better cut where a wide table is read twice.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    path = f"{_tables_of(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _tables_of(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Removes the tables that ``written`` made in this application, once their readers are done."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_tables_of(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

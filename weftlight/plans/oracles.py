@@ -63,7 +63,7 @@ qv AS (SELECT v AS qv FROM pv ORDER BY page_id LIMIT 1)"""
 
 
 def search_sql(n: int, with_vectors: bool, columns: str, tail: str = "") -> str:
-    similarity = "coalesce(list_dot_product(v, qv), 0)" if with_vectors else "0.0"
+    similarity = "coalesce(list_dot_product(v, qv), 0)" if with_vectors else "0.0::DOUBLE"
     joins = "LEFT JOIN pv USING (page_id) CROSS JOIN qv" if with_vectors else ""
     weights = ("0.5", "0.3", "0.2") if with_vectors else ("0.7", "0.3", "0.0")
     return f"""
@@ -192,6 +192,9 @@ ORACLES: dict[str, str] = {
     "dangling_nodes": f"WITH {EDGES} SELECT id FROM pages WHERE id NOT IN (SELECT src FROM e)",
     "pagerank_scores": PAGERANK,
     "pagerank_update": PAGERANK.replace("SELECT id, round(rank / max(rank) OVER (), 6) + 0.0 AS pagerank FROM r WHERE k = 20", "SELECT p.id, p.url, round(rank / max(rank) OVER (), 6) + 0.0 AS pagerank FROM r JOIN pages p USING (id) WHERE k = 20"),
+    "pagerank_top": f"SELECT * FROM ({PAGERANK}) ORDER BY pagerank DESC, id LIMIT 5",
+    "vector_cosine": "SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)), 6) AS cosine FROM embeddings",
+    "robots_addresses": r"SELECT DISTINCT lower(split_part(url, ':', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) || '/robots.txt' AS url FROM pages WHERE url IS NOT NULL",
     "cosine_topk": "SELECT vec_id AS id, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings ORDER BY 2 DESC, 1 LIMIT 20",
     "page_similarity": f"WITH {VECTORS_CTE} SELECT page_id, round(list_dot_product(v, qv), 8) AS similarity FROM pv, qv",
     "embedding_json_roundtrip": f"WITH {VECTORS_CTE} SELECT page_id, len(v)::INT AS dims, round(list_sum(v), 6) AS total, round(sqrt(list_dot_product(v, v)), 6) AS length FROM pv",

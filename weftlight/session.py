@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import zipfile
 from pathlib import Path
 
@@ -37,14 +36,23 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once per application."""
+    """Makes this package importable in the executors' Python workers, once per application.
+
+    The archive lies in the shared folder, or in a local one in local mode. Where
+    the shared folder is no mounted path, executors must have the package installed.
+    """
+    from weftlight.plans.lineage import shared_folder
+
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="weftlight-ship-")) / "weftlight.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as file:
-        for path in sorted(root.rglob("*.py")):
-            file.write(path, os.path.join(root.name, path.relative_to(root)))
-    context.addPyFile(str(target))
+    folder = shared_folder(spark)
+    if folder.startswith(("file:", "/")):
+        target = Path("/" + folder.removeprefix("file:").lstrip("/")) / "code" / f"weftlight-{context.applicationId}.zip"
+        target.parent.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as file:
+            for path in sorted(root.rglob("*.py")):
+                file.write(path, os.path.join(root.name, path.relative_to(root)))
+        context.addPyFile(str(target))
     _shipped.add(context.applicationId)

@@ -46,3 +46,14 @@ def permissions(urls: DataFrame, robots: DataFrame, agent: str = AGENT, default:
             yield pd.DataFrame({"url": frame["url"], "allowed": allowed, "delay": delay})
 
     return joined.mapInPandas(judge, "url string, allowed boolean, delay double")
+
+
+def addresses(urls: DataFrame) -> DataFrame:
+    """(url, etag, last_modified): the robots.txt of each site in ``urls``, as the page source reads them."""
+    sites = urls.select(U.robots_of(F.col("url")).alias("url")).filter(U.authority(F.col("url")) != "").distinct()
+    return sites.withColumn("etag", F.lit(None).cast("string")).withColumn("last_modified", F.lit(None).cast("string"))
+
+
+def from_fetches(fetched: DataFrame) -> DataFrame:
+    """(domain, robots_txt) of fetched robots.txt files; anything but a 200 means no rules."""
+    return fetched.select(U.authority(F.col("url")).alias("domain"), F.when(F.col("status_code") == 200, F.col("html")).alias("robots_txt"))
