@@ -122,13 +122,13 @@ def label_code(label: Column, codes: DataFrame) -> Column:
 
 def fit_model(pages: DataFrame, codes: DataFrame, fit_pages: int = FIT_PAGES) -> Model | None:
     """A model of the languages in ``codes``, from at most about ``fit_pages`` labelled pages of each."""
-    labelled = pages.select("id", "content", label_code(F.col("language"), codes).alias("code")).filter("code is not null and content <> ''")
+    labelled = pages.select("id", "content", label_code(F.col("language"), codes).alias("code")).filter("code is not null")
     counts = {r["code"]: r["count"] for r in labelled.groupBy("code").count().collect()}  # one row per language
     if not counts:
         return None
     shares = {code: int(min(1.0, fit_pages / count) * 1_000_003) for code, count in counts.items()}
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("code")]
-    sample = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share).toPandas().sort_values("id")
+    sample = labelled.filter("content <> ''").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share).toPandas().sort_values("id")
     languages = sorted(counts)
     lines, labels = [], []
     for code, content in zip(sample["code"], sample["content"], strict=True):
