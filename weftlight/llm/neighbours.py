@@ -30,7 +30,7 @@ from weftlight.plans.lineage import written
 #: Numbers of a valid vector.
 DIMENSIONS = 384
 #: Vectors the centroids are fitted on, at most about this many.
-FIT_VECTORS = 24_576
+FIT_VECTORS = 16_384
 #: Centroids, at most; fewer for small collections (4 times the square root of the vectors).
 MAX_CENTROIDS = 2048
 #: Cells that each vector is put into.
@@ -41,6 +41,8 @@ SAME_REGION = 0.9
 BLOCK = 4096
 #: Width of the error bound in standard deviations.
 BOUND = 2.5
+#: Rows of one matrix product while fitting and placing.
+STEP = 1024
 _SEED = 20_011
 
 
@@ -109,11 +111,13 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(_SEED)
     centroids = sample[rng.choice(len(sample), k, replace=False)].copy()
     for _ in range(rounds):
-        nearest = np.concatenate([(sample[i : i + 2048] @ centroids.T).argmax(axis=1) for i in range(0, len(sample), 2048)])
-        order = np.argsort(nearest, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(nearest[order]) > 0])
         fresh = np.zeros_like(centroids)
-        fresh[nearest[order][starts]] = np.add.reduceat(sample[order], starts)
+        for i in range(0, len(sample), STEP):  # piece by piece: the sample is never copied whole
+            part = sample[i : i + STEP]
+            nearest = (part @ centroids.T).argmax(axis=1)
+            order = np.argsort(nearest, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(nearest[order]) > 0])
+            fresh[nearest[order][starts]] += np.add.reduceat(part[order], starts)
         empty = ~fresh.any(axis=1)
         fresh[empty] = sample[rng.choice(len(sample), int(empty.sum()))]
         centroids = fresh / np.maximum(np.linalg.norm(fresh, axis=1, keepdims=True), 1e-12)
@@ -138,11 +142,14 @@ class Index:
 
     def __init__(self, sample: np.ndarray, total: int, probes: int = PROBES, block: int = BLOCK):
         k = int(min(MAX_CENTROIDS, max(1, 4 * math.isqrt(max(total, 1))), len(sample)))
-        self.centroids = fit_centroids(sample, k).astype(np.float32)
+        self.centroids = fit_centroids(sample, k)
         self.cell = joined_cells(self.centroids)
         self.cells = int(self.cell.max()) + 1
         self.probes = min(probes, self.cells)
-        share = np.bincount(self.nearest(sample.astype(np.float32)).ravel(), minlength=self.cells) / len(sample)
+        count = np.zeros(self.cells, np.int64)
+        for i in range(0, len(sample), STEP):
+            count += np.bincount(self.nearest(sample[i : i + STEP]).ravel(), minlength=self.cells)
+        share = count / len(sample)
         self.blocks = np.maximum(1, np.ceil(share * total / block)).astype(np.int64)
 
     def nearest(self, vectors: np.ndarray) -> np.ndarray:
@@ -249,14 +256,18 @@ def nearest_neighbours(
     schema = "page_id long, neighbour long, cosine double"
     if not len(fit):
         return spark.createDataFrame([], schema + ", rank int")
-    fit = fit.sort_values("page_id")
-    index = spark.sparkContext.broadcast(Index(unpacked(list(fit["payload"]), dimensions), total, probes, block))
+    payloads = list(fit.sort_values("page_id")["payload"])
+    del fit
+    sample = np.concatenate([unpacked(payloads[i : i + STEP], dimensions).astype(np.float32) for i in range(0, len(payloads), STEP)])
+    del payloads
+    index = spark.sparkContext.broadcast(Index(sample, total, probes, block))
+    del sample
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         it = index.value
         for frame in batches:
-            for a in range(0, len(frame), 2048):
-                part = frame.iloc[a : a + 2048]
+            for a in range(0, len(frame), STEP):
+                part = frame.iloc[a : a + STEP]
                 ids, payloads = part["page_id"].to_numpy(), part["payload"].to_numpy()
                 cells = it.nearest(unpacked(list(payloads), dimensions).astype(np.float32))
                 row = np.repeat(np.arange(len(part)), cells.shape[1])
