@@ -8,7 +8,7 @@ the mixed corpus.
 
 Size of a mix: the largest total at which no source with text has to be
 repeated more than ``max_repeats`` times, so the shares of those sources are
-met up to one document each. A source without text cannot contribute; the other
+met up to half a document each. A source without text cannot contribute; the other
 shares are scaled to add up to 1, and the report shows the gap.
 """
 
@@ -109,9 +109,9 @@ def mixed_sequence(
     tilt = (F.pmod(F.xxhash64("mix_name", "source"), F.lit(2001)).cast("double") / 1000.0 - 1.0) * F.lit(spread)
     offered = running_tokens(counted).join(F.broadcast(fixed), "source")
     uses = (
-        offered.withColumn("_last", F.floor((F.col("wanted_tokens") - F.col("tokens_before") - 1e-6) / F.col("tokens_there")))
+        offered.withColumn("_last", F.floor((F.col("wanted_tokens") - F.col("tokens_before") - F.col("n_tokens") / 2.0) / F.col("tokens_there")))
         .filter("_last >= 0")
-        # pass p of a document begins at p * tokens_there + tokens_before; it is used while that is below the demand
+        # pass p of a document begins at p * tokens_there + tokens_before; it is used while most of it is within the demand
         .withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.least(F.col("_last"), F.col("max_repeats") - 1).cast("int"))))
         .withColumn("_at", F.col("pass_no") * F.col("tokens_there") + F.col("tokens_before") + F.col("n_tokens") / 2.0)
         .withColumn("position", inverse_demand(F.least(F.col("_at") / F.col("wanted_tokens"), F.lit(1.0)), tilt))
