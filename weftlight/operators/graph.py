@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from weftlight.functions import html, url as U
 from weftlight.plans.lineage import written
@@ -80,8 +80,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, max_i
     stay partitioned by their source, so a round shuffles only the ranks and the
     map-side combined sums (a page with a seventh of all links is one key of
     those). Each round's ranks are a small written table, so plans stay flat and a
-    lost executor costs one round; one aggregate of it gives the change and the
-    dangling mass.
+    lost executor costs one round; the change and the dangling mass are observed
+    while it is written.
     """
     nodes = nodes.select("id").filter("id is not null").distinct()
     inside = known_edges(edges.select("src", "dst"), nodes)
@@ -95,19 +95,21 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, max_i
     start = nodes.join(leaves, "id", "left").select("id", F.lit(1.0 / count).alias("rank"), F.coalesce("leaf", F.lit(False)).alias("leaf"), F.lit(0.0).alias("old"))
     state = written(start, "ranks")
     lost = state.filter("leaf").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-    turn, converged = 0, False
+    turn, converged, largest = 0, False, 1.0 / count
     while turn < max_iterations and not converged:
         turn += 1
         inflow = weighted.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
         base = (1.0 - damping) / count + damping * lost / count
-        state = written(
+        seen = Observation()  # taken while the round is written; no job of its own
+        fresh = (
             state.select("id", F.col("rank").alias("old"), "leaf").join(inflow, "id", "left")
-            .select("id", (F.lit(base) + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))).alias("rank"), "leaf", "old"), "ranks",
+            .select("id", (F.lit(base) + F.lit(damping) * F.coalesce("inflow", F.lit(0.0))).alias("rank"), "leaf", "old")
+            .observe(seen, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change"), F.sum(F.when(F.col("leaf"), F.col("rank"))).alias("lost"), F.max("rank").alias("largest"))
         )
-        change, lost = state.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("leaf"), F.col("rank"))), F.lit(0.0))).first()
+        state = written(fresh, "ranks")
+        change, lost, largest = seen.get["change"], seen.get["lost"] or 0.0, seen.get["largest"]
         converged = change < tolerance
     weighted.unpersist()
-    largest = state.agg(F.max("rank")).first()[0]
     return Ranking(state.select("id", "rank"), count, links, turn, converged, largest)
 
 
