@@ -42,8 +42,8 @@ def letters_of(line: str) -> str:
     return f" {_OTHER.sub(' ', line.lower()).strip()} "
 
 
-def presence(lines: list[str]) -> np.ndarray:
-    """The normalised presence vectors of lines (float32, one row each)."""
+def presence_bits(lines: list[str]) -> np.ndarray:
+    """Which n-grams each line has (0 or 1, one row each)."""
     out = np.zeros((len(lines), GRAMS), np.uint8)
     codes = np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32)
     end = codes == 10
@@ -59,29 +59,43 @@ def presence(lines: list[str]) -> np.ndarray:
         mixed = (h ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35)
         slot = (mixed >> np.uint32(16)) & np.uint32(GRAMS - 1)
         out[row[:size][clear], slot[clear]] = 1
-    dense = out.astype(np.float32)
+    return out
+
+
+def normalised(bits: np.ndarray) -> np.ndarray:
+    """Presence vectors of length 1 (float32)."""
+    dense = bits.astype(np.float32)
     return dense / np.sqrt(np.maximum(dense.sum(axis=1, keepdims=True), 1))
 
 
+def presence(lines: list[str]) -> np.ndarray:
+    """The normalised presence vectors of lines."""
+    return normalised(presence_bits(lines))
+
+
 class Model:
     """Languages and the folded weights."""
 
     def __init__(self, languages: list[str], lines: list[str], labels: np.ndarray):
         self.languages = languages
-        x = np.concatenate([presence(lines[i : i + ROWS]) for i in range(0, len(lines), ROWS)])
-        labels = labels.copy()
+        bits = np.concatenate([presence_bits(lines[i : i + ROWS]) for i in range(0, len(lines), ROWS)])
         keep = np.ones(len(labels), bool)
-        self.weights = self._fit(x, labels, keep)
+        self.weights = self._fit(bits, labels, keep)
         for _ in range(3):  # a label that the others contradict is taken out
-            keep = self.scores_of(x).argmax(axis=1) == labels
-            self.weights = self._fit(x, labels, keep)
+            keep = self._times(bits, self.weights).argmax(axis=1) == labels
+            self.weights = self._fit(bits, labels, keep)
 
-    def _fit(self, x: np.ndarray, labels: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _times(bits: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+        """The product of all presence vectors with a matrix; only a batch of vectors is ever dense."""
+        return np.concatenate([normalised(bits[i : i + ROWS]) @ matrix for i in range(0, len(bits), ROWS)])
+
+    def _fit(self, bits: np.ndarray, labels: np.ndarray, keep: np.ndarray) -> np.ndarray:
         marks = np.concatenate([np.flatnonzero(keep & (labels == c))[:LANDMARKS] for c in range(len(self.languages))])
-        landmarks = x[marks].astype(np.float64)
-        values, vectors = np.linalg.eigh(landmarks @ landmarks.T + 1e-3 * np.eye(len(marks)))
+        landmarks = normalised(bits[marks])
+        values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64) + 1e-3 * np.eye(len(marks)))
         half = vectors / np.sqrt(values) @ vectors.T
-        features = (x[keep] @ x[marks].T).astype(np.float64) @ half
+        features = self._times(bits, landmarks.T)[keep].astype(np.float64) @ half
         targets = np.where(labels[keep][:, None] == np.arange(len(self.languages)), 1.0, -1.0)
         # rare languages weigh as much as common ones
         count = np.bincount(labels[keep], minlength=len(self.languages))
@@ -89,14 +103,11 @@ class Model:
         weight *= len(weight) / weight.sum()
         ridge = RIDGE * len(features) / len(marks)
         solved = np.linalg.solve(features.T @ (features * weight[:, None]) + ridge * np.eye(len(marks)), features.T @ (targets * weight[:, None]))
-        return (landmarks.T @ (half @ solved)).astype(np.float32)
-
-    def scores_of(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights
+        return landmarks.T @ (half @ solved).astype(np.float32)
 
     def scores(self, lines: list[str]) -> np.ndarray:
         """One row per line, one column per language."""
-        parts = [self.scores_of(presence(lines[i : i + ROWS])) for i in range(0, len(lines), ROWS)]
+        parts = [presence(lines[i : i + ROWS]) @ self.weights for i in range(0, len(lines), ROWS)]
         return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)), np.float32)
 
 
