@@ -100,6 +100,25 @@ def test_equivalence_classes(spark):
     assert [(r["tokens"], r["pages"]) for r in classes] == [(2, 12)]
 
 
+def test_an_article_fetched_again_is_no_template(spark):
+    article = "A mill without html\nIt was repaired\nThe ferry came later"
+    rows = site_rows() + [(100 + i, 1, article, None) for i in range(4)]
+    found = T.Templates(pages_of(spark, rows)).lines().filter("furniture and page_id between 100 and 103")
+    assert found.count() == 0
+
+
+def test_support_is_relative_to_the_site(spark):
+    names = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = [(i, 1, f"We use cookies\nStory {n} of the mill\n" + ("Chapter of the ferry\n" if i < 4 else "") + f"End {n}", None) for i, n in enumerate(names)]
+    made = T.Templates(pages_of(spark, rows))
+    found = {(r["page_id"], r["line_no"]) for r in made.lines().filter("furniture").collect()}
+    assert found == {(i, 0) for i in range(100)}
+    # a class that nests in a small valid one is measured by that one
+    rows = [(i, c, text + (f"\nSeccion\nA {n}" if i < 10 else "") + ("\nPie" if i < 6 else ""), h) for (i, c, text, h), n in zip(rows, names, strict=True)]
+    classes = {r["pages"]: r["parent"] for r in T.Templates(pages_of(spark, rows)).equivalence_classes().collect()}
+    assert set(classes) == {100, 10, 6} and classes[100] is None and classes[10] is None and classes[6] is not None
+
+
 def test_blocks_line_up_with_content():
     for _, _, content, html in site_rows(3):
         assert [b[0] for b in T.blocks_of(html)] == content.split("\n")

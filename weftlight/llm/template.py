@@ -2,11 +2,14 @@
 
 Every non-empty line of a page's content is one text block of its html. Two
 kinds of tokens describe a page: the text of a block, and the markup that holds
-it (element and class, its role). Over the pages of one site each token has an
-occurrence vector, the number of times it occurs on each page; tokens with the
-same vector form an equivalence class. A class of enough pages is valid and
-belongs to the template. Text classes nest in roles: a role whose text is
-template text (headings of side columns, menus, notices) is template structure,
+it (element and class, its role). Over the distinct contents of one site (pages
+fetched again count once) each text has an occurrence vector, the number of times
+it occurs in each content; texts with the same vector form an equivalence class.
+A class is valid if it stands in a share of the site's contents that its size
+asks for, or if it nests in such a class, whose contents hold all of its own, and
+stands in half of them. The valid classes are the site's template, and only their
+texts are template text. They nest in roles: a role whose text is template text
+(headings of side columns, menus, notices) is template structure,
 and its slots are furniture, also those with changing text such as the links
 under "read next". Running text that is not template text is main body even
 inside such a role. Roles whose text changes from page to page are the slots
@@ -31,10 +34,14 @@ from weftlight.plans.joins import sized_join
 from weftlight.plans.lineage import written
 from weftlight.plans.spread import spread
 
-#: Pages on which a text class must occur to belong to a site's template.
-MIN_PAGES = 3
-#: Sites and pages on which a text must occur to be template text everywhere.
-MIN_SITES, MIN_PAGES_EVERYWHERE = 3, 8
+#: Distinct contents without which equal vectors say nothing.
+MIN_CONTENTS = 3
+#: Share of a site's distinct contents that a class must stand in, of several texts and of a single one.
+CLASS_SHARE, SINGLE_SHARE = 0.05, 0.1
+#: Share of the contents of the class it nests in that any other class must stand in.
+NESTED_SHARE = 0.5
+#: Share of all sites, and their number at least, on which a text must stand to be template text everywhere.
+SITES_SHARE, MIN_SITES = 0.02, 3
 #: Lines that the judgement of a role on all sites weighs as much as.
 PRIOR_LINES = 12.0
 #: Share of template text from which a role is template structure.
@@ -134,20 +141,24 @@ def page_blocks(content: str, html: str | None) -> list[tuple[int, str, str, boo
 
 
 def block_table(pages: DataFrame) -> DataFrame:
-    """(page_id, website_id, line_no, text, role, heading, link, passage, first) of each non-empty line of content.
+    """(page_id, website_id, body, line_no, text, lead, role, heading, link, passage, nth) of each non-empty line of content.
 
-    ``text`` is a hash of the letters; ``first`` marks the first line of a page
-    with that text. A page delivered twice counts once; null ids and contents
-    give no row; pages without a website form a site of their own (-1).
+    ``text`` is a hash of the letters, ``body`` one of the whole content; ``nth``
+    counts the lines of a page with that text, headings left out; ``lead`` is the text
+    of the last line before that is no link, 0 for a heading. A page delivered
+    twice counts once; null ids and contents give no row; pages without a website
+    form a site of their own (-1).
     """
     plain = unique_by(spread(pages.select(F.col("id").alias("page_id"), F.coalesce("website_id", F.lit(-1)).cast("long").alias("website_id"), "content", "html")), "page_id")
+    plain = plain.withColumn("body", F.xxhash64("content"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys: dict[str, int] = {}
         for frame in batches:
-            page, line_no, text, role, link, passage, first = [], [], [], [], [], [], []
+            page, line_no, text, lead, role, heading, link, passage, nth = [], [], [], [], [], [], [], [], []
             for p, content, html in zip(range(len(frame)), frame["content"], frame["html"], strict=True):
-                seen = set()
+                seen: dict[int, int] = {}
+                leading = 0
                 for i, t, r, k in page_blocks(content, html):
                     key = keys.get(t)
                     if key is None:
@@ -157,50 +168,83 @@ def block_table(pages: DataFrame) -> DataFrame:
                     page.append(p)
                     line_no.append(i)
                     text.append(key)
+                    lead.append(leading)
                     role.append(r)
+                    heading.append(r.split(".")[0] in _HEADINGS)
                     link.append(k)
                     passage.append(running(t))
-                    first.append(key not in seen)
-                    seen.add(key)
+                    seen[key] = seen.get(key, 0) + (not heading[-1])
+                    nth.append(seen[key])
+                    if not k:
+                        leading = 0 if heading[-1] else key
             at = np.array(page, np.int64)
             yield pd.DataFrame({
-                "page_id": frame["page_id"].to_numpy()[at], "website_id": frame["website_id"].to_numpy()[at], "line_no": line_no,
-                "text": np.array(text, np.int64), "role": role, "heading": [r.split(".")[0] in _HEADINGS for r in role], "link": link, "passage": passage, "first": first,
+                "page_id": frame["page_id"].to_numpy()[at], "website_id": frame["website_id"].to_numpy()[at], "body": frame["body"].to_numpy()[at], "line_no": line_no,
+                "text": np.array(text, np.int64), "lead": np.array(lead, np.int64), "role": role, "heading": heading, "link": link, "passage": passage, "nth": nth,
             })
 
-    schema = "page_id long, website_id long, line_no int, text long, role string, heading boolean, link boolean, passage boolean, first boolean"
+    schema = "page_id long, website_id long, body long, line_no int, text long, lead long, role string, heading boolean, link boolean, passage boolean, nth int"
     return plain.filter("content <> ''").mapInPandas(cut, schema)
 
 
-def text_classes(blocks: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(website_id, text, pages, vector, template): the text tokens of each site that recur.
+def text_vectors(blocks: DataFrame) -> DataFrame:
+    """(website_id, text, pages, vector): the text tokens of each site.
 
-    ``vector`` is a fingerprint of the occurrence vector: the sum, over the pages,
-    of the page's hash times the number of occurrences. Tokens of a site with
-    equal fingerprints are one equivalence class. Headings are left out.
+    ``vector`` is a fingerprint of the occurrence vector: the sum, over the distinct
+    contents (their number is ``pages``), of the content's hash times the number of
+    occurrences. Headings are left out.
     """
     tokens = blocks.filter("text <> 0 and not heading")
-    # only the fields that a map-side sum can take; a hot site is many texts, not one group
-    per_site = tokens.groupBy("website_id", "text").agg(
-        F.sum(F.col("first").cast("int")).alias("pages"),
-        F.sum(F.shiftrightunsigned(F.xxhash64("page_id"), 24)).alias("vector"),
-    )
-    everywhere = per_site.groupBy("text").agg(F.sum("pages").alias("all_pages"), F.count("*").alias("sites")).filter(
-        (F.col("sites") >= MIN_SITES) & (F.col("all_pages") >= MIN_PAGES_EVERYWHERE)
-    )
-    joined = per_site.join(everywhere, "text", "left")
-    return joined.filter((F.col("pages") >= min_pages) | F.col("sites").isNotNull()).select("website_id", "text", "pages", "vector")
+    # map-side sums; a hot site is many texts, not one group
+    counted = tokens.groupBy("website_id", "text", "body").agg(F.max("nth").cast("long").alias("n"))
+    return counted.groupBy("website_id", "text").agg(F.count("*").alias("pages"), F.sum(F.shiftrightunsigned("body", 24) * F.col("n")).alias("vector"))
+
+
+def nested_classes(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(website_id, vector, pages, tokens, parent, valid): the equivalence classes of each site's text tokens.
+
+    A class that reaches its share of the site's distinct contents is valid and
+    hangs from the site itself (no ``parent``). Any other class nests in the
+    smallest such class whose contents hold all of its own, if there is one, and is
+    valid if it stands in ``NESTED_SHARE`` of these.
+    """
+    sizes = blocks.groupBy("website_id").agg(F.countDistinct("body").alias("contents"))
+    classes = vectors.filter(F.col("pages") >= MIN_CONTENTS).groupBy("website_id", "vector", "pages").agg(F.count("*").alias("tokens"), F.min("text").alias("one"))
+    asked = F.when(F.col("tokens") > 1, CLASS_SHARE).otherwise(SINGLE_SHARE) * F.col("contents")
+    classes = written(sized_join(classes, sizes, ["website_id"]).withColumn("top", F.col("pages") >= asked).drop("contents"), "classes")
+    # all texts of a class stand in the same contents: one of them tells which
+    of_text = classes.select("website_id", F.col("one").alias("text"), "vector", "pages", "top")
+    tokens = blocks.filter("text <> 0 and not heading").select("website_id", "text", "body").distinct()
+    stands = written(sized_join(tokens, of_text, ["website_id", "text"]).drop("text"), "class-contents")
+    inner = stands.filter("not top").select("website_id", "body", "vector", "pages")
+    outer = stands.filter("top").select("website_id", "body", F.col("vector").alias("parent"), F.col("pages").alias("parent_pages"))
+    # a content's classes are at most its lines
+    both = inner.join(outer, ["website_id", "body"]).groupBy("website_id", "vector", "pages", "parent", "parent_pages").agg(F.count("*").alias("shared"))
+    nests = both.filter("shared = pages").groupBy("website_id", "vector", "pages").agg(F.min(F.struct("parent_pages", "parent")).alias("p"))
+    out = classes.join(nests, ["website_id", "vector", "pages"], "left")
+    valid = F.col("top") | F.coalesce(F.col("pages") >= NESTED_SHARE * F.col("p.parent_pages"), F.lit(False))
+    return out.select("website_id", "vector", "pages", "tokens", F.col("p.parent").alias("parent"), valid.alias("valid"))
+
+
+def template_texts(vectors: DataFrame, classes: DataFrame) -> DataFrame:
+    """(website_id, text): the texts of each site's valid classes, and those that stand on ``SITES_SHARE`` of all sites."""
+    valid = classes.filter("valid").select("website_id", "vector", "pages")
+    own = vectors.join(valid, ["website_id", "vector", "pages"], "left_semi").select("website_id", "text")
+    sites = vectors.select("website_id").distinct().count()
+    everywhere = vectors.groupBy("text").agg(F.count("*").alias("sites")).filter(F.col("sites") >= max(MIN_SITES, SITES_SHARE * sites)).select("text")
+    return own.unionByName(sized_join(vectors.select("website_id", "text"), written(everywhere, "texts-everywhere"), ["text"]).select("website_id", "text")).distinct()
 
 
 def role_judgement(marked: DataFrame) -> DataFrame:
     """(website_id, role, lines, share, furniture): how far each role of a site holds template text.
 
-    Where a role has text outside links, that decides; else its links do. The
+    Where a role has text outside links, that decides; else its links do: they fill
+    a slot of the template where template text leads them. The
     share on all sites counts as ``PRIOR_LINES`` further lines.
     """
     counts = marked.filter("role <> '' and not heading").groupBy("website_id", "role").agg(
         F.sum(F.when(~F.col("link"), 1).otherwise(0)).alias("plain"), F.sum(F.when(~F.col("link") & F.col("is_template"), 1).otherwise(0)).alias("plain_t"),
-        F.sum(F.when(F.col("link"), 1).otherwise(0)).alias("links"), F.sum(F.when(F.col("link") & F.col("is_template"), 1).otherwise(0)).alias("links_t"),
+        F.sum(F.when(F.col("link"), 1).otherwise(0)).alias("links"), F.sum(F.when(F.col("link") & (F.col("is_template") | F.col("led")), 1).otherwise(0)).alias("links_t"),
     )
     overall = counts.groupBy("role").agg(*[F.sum(c).alias(f"all_{c}") for c in ("plain", "plain_t", "links", "links_t")])
     # one row per name of a role: a bounded vocabulary, yet sized
@@ -213,14 +257,17 @@ def role_judgement(marked: DataFrame) -> DataFrame:
 
 
 class Templates:
-    """The block table of a collection, its text classes and role judgements, kept as tables."""
+    """The block table of a collection, its equivalence classes, template texts and role judgements, kept as tables."""
 
     def __init__(self, pages: DataFrame):
         self.blocks = written(block_table(pages), "page-blocks")
-        self.classes = written(text_classes(self.blocks), "text-classes")
-        flag = self.classes.select("website_id", "text", F.lit(True).alias("is_template"))
+        vectors = written(text_vectors(self.blocks), "text-vectors")
+        self.classes = written(nested_classes(self.blocks, vectors), "nested-classes")
+        flag = template_texts(vectors, self.classes).withColumn("is_template", F.lit(True))
+        flag = written(flag, "template-texts")
         joined = sized_join(self.blocks, flag, ["website_id", "text"], "left")
-        self.marked = joined.withColumn("is_template", F.coalesce("is_template", F.lit(False)))
+        joined = sized_join(joined, flag.select("website_id", F.col("text").alias("lead"), F.lit(True).alias("led")), ["website_id", "lead"], "left")
+        self.marked = joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_template", "led")})
         self.roles = written(role_judgement(self.marked), "roles")
 
     def lines(self) -> DataFrame:
@@ -244,11 +291,8 @@ class Templates:
         )
 
     def equivalence_classes(self) -> DataFrame:
-        """(website_id, class_id, tokens, pages): the valid equivalence classes of each site's text tokens."""
-        return (
-            self.classes.filter(F.col("pages") >= MIN_PAGES).groupBy("website_id", "vector", "pages").agg(F.count("*").alias("tokens"))
-            .withColumnRenamed("vector", "class_id")
-        )
+        """(website_id, class_id, tokens, pages, parent): the valid equivalence classes of each site's text tokens."""
+        return self.classes.filter("valid").select("website_id", F.col("vector").alias("class_id"), "tokens", "pages", "parent")
 
 
 def main_bodies(pages: DataFrame, lines: DataFrame) -> DataFrame:
