@@ -38,6 +38,18 @@ def test_stuffing_cases(spark):
     assert sorted(r["page_id"] for r in found.collect()) == [1, 2, 3, 9, 10, 11]
 
 
+def test_stuffing_by_periods_over_the_whole_page(spark):
+    phrase = "Buy your cheap boat in Velmora."
+    other = "The mill of Karruth was moved because the orchard needed more room, and nobody asked why."
+    rows = [
+        (1, "t", "便宜的船。" * 30), (2, "t", "\n".join([phrase] * 20)), (3, "t", "\n".join([phrase] * 20 + [other])), (4, "t", "ซื้อเรือราคาถูกที่สุด? " * 20),
+        (5, "t", "\n".join([phrase] * 2 + [EN, other, EN])), (6, "t", "去年冬天，邓米尔的花园几乎无法到达。小心仓库！是谁让港口开着的？"), (7, "t", "\n".join([EN] * 6)),
+        (8, "t", "作坊。水井。灯塔。作坊。仓库。水井。作坊。灯塔。仓库。水井。灯塔。作坊。"), (9, "t", "\n".join([phrase] * 3)),
+    ]
+    found = stuffing.stuffed_pages(stuffing.page_weights(frame(spark, rows)))
+    assert sorted(r["page_id"] for r in found.collect()) == [1, 2, 3, 4, 8, 9]
+
+
 def test_empty_tables_and_clashing_columns(spark):
     empty = frame(spark, [])
     assert residue.page_residue(empty).count() == 0

@@ -92,11 +92,13 @@ def keyword_text(line: str, tokens: list[str], script: str, function: float) ->
     n = len(tokens)
     if n < 10:
         return False
-    if script == "east":
-        # sentences of these scripts have no spaces: single terms between spaces are a list
+    if script:
+        # sentences of these scripts have no spaces: single terms between spaces or marks are a list, clauses do not recur
+        if recurrence(tokens)[0] > 0.5:
+            return True
+        if script == "thai":
+            return sum(map(len, tokens)) / n <= 13
         return sum(map(len, tokens)) / n <= 6 and sum(line.count(m) for m in "。！？") * 12 < n
-    if script == "thai":
-        return sum(map(len, tokens)) / n <= 13
     if function >= 0.4:
         return False
     lower = [t.lower() for t in tokens]
