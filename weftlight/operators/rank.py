@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftlight.functions import vector
@@ -13,6 +17,8 @@ from weftlight.plans.lineage import written
 CANDIDATES, RESULTS, UNRANKED = 50, 20, 0.15
 #: Weights with and without a query vector: TF-IDF, PageRank, similarity.
 WITH_VECTOR, WITHOUT_VECTOR = (0.5, 0.3, 0.2), (0.7, 0.3, 0.0)
+#: Vectors of one side of a matrix product, and the queries of one step of it.
+BLOCK, STEP = 4096, 512
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -31,6 +37,8 @@ def candidates(terms: DataFrame, index: DataFrame, page_count: int, k: int = CAN
     hits = sized_join(index.select("page_id", "word", "tf"), words, ["word"], "left_semi", right_rows=size)
     weights = with_idf(hits.groupBy("word").agg(F.count("*").alias("df")), page_count).select("word", "idf")
     asked = terms.join(weights, "word")
+    # a page's postings in one place: its sums for all queries, and the k best there, need no further shuffle
+    hits = hits.repartition(4 * int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
     scored = sized_join(hits, asked, ["word"], right_rows=size).groupBy("query_id", "page_id").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 12).alias("raw"))
     best = Window.partitionBy("query_id").orderBy(F.desc("raw"), F.asc("page_id"))
     return scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
@@ -54,9 +62,9 @@ def search(
     # the candidates are few: they find their pages, not the other way round
     rows = sized_join(wide, found, ["page_id"])
     if query_vectors is not None and page_vectors is not None:
-        own = page_vectors.join(F.broadcast(found.select("page_id").distinct()), "page_id", "left_semi").withColumnRenamed("vector", "_page")
+        own = sized_join(page_vectors, found.select("page_id").distinct(), ["page_id"], "left_semi").withColumnRenamed("vector", "_page")
         asked = query_vectors.select("query_id", F.col("vector").alias("_query"))
-        rows = rows.join(own, "page_id", "left").join(F.broadcast(asked), "query_id", "left")
+        rows = sized_join(rows.join(own, "page_id", "left"), asked, ["query_id"], "left", broadcast_rows=BLOCK)
         similarity = F.coalesce(vector.dot(F.col("_page"), F.col("_query")), F.lit(0.0))
         rows = rows.withColumn("similarity", similarity).withColumn("has_vector", F.coalesce(F.size("_query") > 0, F.lit(False))).drop("_page", "_query")
     else:
@@ -80,10 +88,54 @@ def search(
     if not with_snippets:
         return out.drop("content")
     words = terms.groupBy("query_id").agg(F.sort_array(F.collect_set("word")).alias("_words"))  # bounded by the length of a query
-    return out.join(F.broadcast(words), "query_id").withColumn("snippet", snippet(F.col("content"), F.col("_words"))).drop("content", "_words")
+    return sized_join(out, words, ["query_id"]).withColumn("snippet", snippet(F.col("content"), F.col("_words"))).drop("content", "_words")
 
 
 def nearest_by_vector(vectors: DataFrame, query_vector: list[float], k: int) -> DataFrame:
     """(id, similarity): the k rows of (id, vector) most similar to one vector."""
     asked = F.array(*[F.lit(float(x)) for x in query_vector])
     return vectors.select("id", F.round(vector.dot(F.col("vector"), asked), 6).alias("similarity")).orderBy(F.desc("similarity"), F.asc("id")).limit(k)
+
+
+def nearest_by_vectors(vectors: DataFrame, asked: DataFrame, k: int, *, digits: int = 6, cosine: bool = False, block: int = BLOCK) -> DataFrame:
+    """(query_id, id, similarity): the k rows of (id, vector) most similar to each vector of (query_id, vector).
+
+    Both sides are cut into blocks of about ``block`` vectors, whose pairs are one
+    matrix product each; only its k best rows a query go on. Null ids and vectors
+    are left out; with ``cosine`` vectors of length 0 are too. Ties go to the smaller id.
+    """
+    rows, queries = (df.filter(F.col(key).isNotNull() & F.col("vector").isNotNull()).select(key, "vector") for df, key in ((vectors, "id"), (asked, "query_id")))
+    row_blocks, query_blocks = (max(1, math.ceil(df.count() / block)) for df in (rows, queries))
+
+    def dealt(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        placed = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def matrix(frame: pd.DataFrame) -> np.ndarray:
+        return np.array(frame["vector"].tolist(), np.float64)
+
+    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            left = left.sort_values("id")
+            m, q = matrix(left), matrix(right)
+            kept, wanted = np.ones(len(m), bool), np.ones(len(q), bool)
+            if cosine:
+                lengths, asked_lengths = np.linalg.norm(m, axis=1), np.linalg.norm(q, axis=1)
+                kept, wanted = lengths > 0, asked_lengths > 0
+                m, q = m[kept] / lengths[kept, None], q[wanted] / asked_lengths[wanted, None]
+            ids, query_ids = left["id"].to_numpy()[kept], right["query_id"].to_numpy()[wanted]
+            for at in range(0, len(q), STEP):
+                found = np.round(q[at : at + STEP] @ m.T, digits)
+                best = np.argsort(-found, axis=1, kind="stable")[:, :k]  # ids ascend: ties go to the smaller one
+                out.append(pd.DataFrame({
+                    "query_id": np.repeat(query_ids[at : at + STEP], best.shape[1]), "id": ids[best].ravel(), "similarity": np.take_along_axis(found, best, 1).ravel(),
+                }))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+
+    left, right = dealt(rows, "id", "_r", row_blocks, "_q", query_blocks), dealt(queries, "query_id", "_q", query_blocks, "_r", row_blocks)
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, similarity double"
+    found = left.groupBy("_r", "_q").cogroup(right.groupBy("_r", "_q")).applyInPandas(product, kinds)
+    # at most k rows of each block
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("id"))
+    return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")

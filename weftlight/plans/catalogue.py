@@ -164,6 +164,54 @@ def page_similarity(spark, d):
     return vectors.crossJoin(F.broadcast(one)).select("page_id", F.round(vector.dot(F.col("vector"), F.col("q")), 8).alias("similarity"))
 
 
+# Many queries at once: every row whose id is divisible by 20 asks, all rows answer
+
+ASKING = 20
+
+
+def _embeddings(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def _asking(vectors: DataFrame) -> DataFrame:
+    return vectors.filter(F.col("id") % ASKING == 0).select(F.col("id").alias("query_id"), "vector")
+
+
+@query
+def cosine_topk_asked(spark, d):
+    rows = _embeddings(spark, d)
+    return rank.nearest_by_vectors(rows, _asking(rows), 20)
+
+
+@query
+def vector_cosine_asked(spark, d):
+    rows = _embeddings(spark, d)
+    return rank.nearest_by_vectors(rows, _asking(rows), 20, cosine=True).withColumnRenamed("similarity", "cosine")
+
+
+@query
+def page_similarity_asked(spark, d):
+    rows = written(_page_vectors(spark, d), "page-vectors").withColumnRenamed("page_id", "id")
+    return rank.nearest_by_vectors(rows, _asking(rows), 20, digits=8).withColumnRenamed("id", "page_id")
+
+
+@query
+def tfidf_topk_asked(spark, d):
+    documents = table(spark, d, "documents")
+    asked = documents.filter(F.col("doc_id") % ASKING == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    terms = written(rank.query_terms(asked), "query-terms")
+    return rank.candidates(terms, written(_doc_index(spark, d), "postings"), documents.count()).select("query_id", "page_id", "raw")
+
+
+@query
+def search_blended_asked(spark, d):
+    """Titles as queries, each with the vector of its own page where it has one."""
+    pages, vectors = table(spark, d, "pages"), written(_page_vectors(spark, d), "page-vectors")
+    asked = pages.filter(F.col("id") % ASKING == 0).select(F.col("id").alias("query_id"), F.col("title").alias("query"))
+    asked_vectors = vectors.filter(F.col("page_id") % ASKING == 0).select(F.col("page_id").alias("query_id"), "vector")
+    return rank.search(asked, written(_page_index(spark, d), "postings"), pages, query_vectors=asked_vectors, page_vectors=vectors, with_snippets=False).select(*_RESULT)
+
+
 @query
 def embedding_json_roundtrip(spark, d):
     again = _page_vectors(spark, d).select("page_id", vector.from_json(vector.to_json(F.col("vector"))).alias("v"))
