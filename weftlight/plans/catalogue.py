@@ -538,16 +538,33 @@ def mock_corpus(spark, d):
 
 # Streams
 
-def _streamed(spark, source: DataFrame, build, mode="append") -> DataFrame:
-    """Runs a stream over a table's files and gives what it wrote."""
+def _streamed(spark, source: DataFrame, build, mode="append", flush: DataFrame | None = None) -> DataFrame:
+    """Runs a stream over a table's files and gives what it wrote. ``flush``: rows that arrive after all others, to close the last windows."""
     folder = f"{shared_folder(spark)}/streams/{tempfile.mktemp(prefix='', dir='')}"
     source.write.mode("overwrite").parquet(folder + "/in")
     schema = spark.read.parquet(folder + "/in").schema
     made = build(streams.folder_stream(spark, folder + "/in", schema))
     streams.drained(made, folder + "/out", folder + "/state", mode)
+    if flush is not None:
+        flush.select(*schema.names).write.mode("append").parquet(folder + "/in")
+        streams.drained(made, folder + "/out", folder + "/state", mode)
     return spark.read.schema(made.schema).parquet(folder + "/out")
 
 
+def _windowed(spark, source: DataFrame, time: str, window_s: int, build) -> DataFrame:
+    """A windowed stream on a table's own times, whole: its watermark covers the table's lateness, a row behind it closes the last window.
+
+    ``build`` takes the stream and the lateness. Rows without a time are in no window.
+    """
+    timed = source.filter(F.col(time).isNotNull())
+    first, last = timed.agg(F.unix_micros(F.min(time)), F.unix_micros(F.max(time))).first()
+    first, last = (first, last) if last is not None else (0, 0)
+    late_s = (last - first) // 1_000_000 + 1  # no row can be later, in whatever order files are read
+    end = F.timestamp_micros(F.lit(last + (late_s + 2 * window_s) * 1_000_000).cast("long"))
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in timed.schema if f.name != time]
+    return _streamed(spark, timed, lambda s: build(s, f"{late_s} seconds"), flush=spark.range(1).select(end.alias(time), *others))
+
+
 @query
 def stream_dedup(spark, d):
     return _streamed(spark, _queue(spark, d).select("url", "ts"), lambda s: streams.new_addresses(s, within="3650 days")).select("url")
@@ -555,7 +572,7 @@ def stream_dedup(spark, d):
 
 @query
 def stream_heartbeats(spark, d):
-    return _streamed(spark, _queue(spark, d).select("worker", "ts"), streams.heartbeats)
+    return _windowed(spark, _queue(spark, d).select("worker", "ts"), "ts", 15, lambda s, late: streams.heartbeats(s, late=late))
 
 
 @query
@@ -563,8 +580,15 @@ def stream_polite(spark, d):
     return _streamed(spark, _queue(spark, d).select("domain", "url", "ts", F.lit(1.0).alias("delay")), streams.polite)
 
 
+@query
+def stream_query_days(spark, d):
+    """(start, query, searches) by day of the log's own times; searches without a time have no start."""
+    log = table(spark, d, "search_history").select("query", "searched_at")
+    timed = _windowed(spark, log, "searched_at", 86_400, lambda s, late: streams.query_counts(s, late=late))
+    rest = log.filter("searched_at is null").groupBy("query").agg(F.count("*").alias("searches"))
+    return timed.unionByName(rest.withColumn("start", F.lit(None).cast("timestamp")))
+
+
 @query
 def stream_query_counts(spark, d):
-    daily = _streamed(spark, table(spark, d, "search_history").select("query", F.lit("2025-01-01 00:00:00").cast("timestamp").alias("searched_at")).unionByName(
-        spark.createDataFrame([(None, "2026-01-01 00:00:00")], "query string, t string").select("query", F.col("t").cast("timestamp").alias("searched_at"))), lambda s: streams.query_counts(s))
-    return daily.groupBy("query").agg(F.sum("searches").alias("searches"))
+    return stream_query_days(spark, d).groupBy("query").agg(F.sum("searches").alias("searches"))
