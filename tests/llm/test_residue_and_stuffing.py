@@ -25,6 +25,12 @@ def test_residue_cases(spark):
     assert sorted(r["page_id"] for r in found.collect()) == [1, 2, 3, 6, 8, 10, 14]
 
 
+def test_filler_in_a_title(spark):
+    titles = ["Lorem ipsum dolor sit amet", "Your text goes here", "Lorem ipsum dolor | Velmora Courier", "A short history of Boats", None, "Why lorem ipsum is still used by every printer"]
+    found = residue.residue_pages(residue.page_residue(frame(spark, [(i, t, EN) for i, t in enumerate(titles)])))
+    assert sorted(r["page_id"] for r in found.collect()) == [0, 1, 2]
+
+
 def test_stuffing_cases(spark):
     words = "cheap boat near me boat Velmora best boat deals boat cheap mill near me mill best mill deals mill boat mill " * 3
     tags = ", ".join(f"{a} {b}" for a in ("cheap", "best", "top") for b in ("boat", "mill", "ferry", "index", "cache", "trail", "pump"))

@@ -19,7 +19,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from weftlight.llm.common import unique_by
-from weftlight.llm.linekinds import kind_of
+from weftlight.llm.linekinds import WORD, kind_of, normal
+from weftlight.llm.notices import FILLER_WORDS, covered, phrases
 from weftlight.llm.stuffing import LIST_LINES
 from weftlight.plans.spread import spread
 
@@ -40,6 +41,11 @@ ABOUT = regex.compile(
     regex.IGNORECASE,
 )
 SENTENCE = regex.compile(r"(?<=[.!?।。！？])\s+")
+#: The sentences of the filler phrases, which a title holds one at a time; two words of a language with spaces may be an honest title.
+FILLER_SENTENCES = frozenset(
+    s.rstrip(".。।") for p in phrases("filler") for s in regex.split(r"(?<=[.。।])\s*", p) if len(s.split()) >= 3 or (len(s) >= 8 and " " not in s)
+)
+TITLE_PARTS = regex.compile(r"\s+[|·»–—-]\s+")
 #: Share of a page's text, furniture aside, that matched phrases must cover.
 COVERAGE = 0.5
 
@@ -59,10 +65,19 @@ def unfilled(text: str) -> bool:
     return False
 
 
+def filler_title(title: str) -> bool:
+    """Whether a title is filler text; the name of the site may stand beside it, and it may be short."""
+    for part in [title, *TITLE_PARTS.split(title)]:
+        text, tokens = normal(part), WORD.findall(part.lower())
+        if text.rstrip(".!。") in FILLER_SENTENCES or text and covered(text).get("filler", 0) >= COVERAGE * len(text) or len(tokens) >= 3 and sum(t in FILLER_WORDS for t in tokens) >= 0.7 * len(tokens):
+            return True
+    return False
+
+
 def judged(title: str | None, content: str) -> tuple[bool, bool, int, int]:
     """(unfilled field, filler text, characters of messages and notices, characters of other content)."""
     matched = other = 0
-    filler = False
+    filler = bool(title) and filler_title(title)
     run: list[int] = []
     for line in content.split("\n"):
         kind = kind_of(line)
