@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from weftlight.llm import neighbours as N
+from weftlight.sources.tables import table
 
 SCHEMA = "page_id long, embedding string, model_name string, created_at timestamp"
 
@@ -46,6 +47,13 @@ def test_recall_and_blocks(spark, clustered, block):
     assert all(r["page_id"] != r["neighbour"] for r in found)
 
 
+def test_recall_where_the_index_is_fitted_on_a_small_sample(spark, small):
+    frame = table(spark, small.replace("0.001", "0.01"), "page_embeddings")
+    whole = {(r["page_id"], r["neighbour"]) for r in N.nearest_neighbours(frame, 5, probes=10_000).collect()}
+    found = {(r["page_id"], r["neighbour"]) for r in N.nearest_neighbours(frame, 5, fit_vectors=40).collect()}
+    assert len(whole) > 2000 and len(found & whole) / len(whole) >= 0.9
+
+
 def test_ties_go_to_the_smaller_id(spark, clustered):
     found = N.nearest_neighbours(spark.createDataFrame(rows_of(clustered), SCHEMA), 5, dimensions=16).filter("page_id = 470").orderBy("rank").collect()
     assert [r["neighbour"] for r in found] == [1, 461, 462, 463, 464]
