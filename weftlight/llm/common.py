@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 from pyspark.sql import DataFrame, functions as F
 
 
 def unique_by(df: DataFrame, key: str) -> DataFrame:
     """``df`` with rows of a null ``key`` left out and each key once.
 
-    Only the keys are counted first; the wide rows are shuffled solely if a key
-    does occur more than once.
+    Of rows with the same key the one counts whose other columns, in order, are
+    largest (nulls are smallest). Only the keys are counted first; the wide rows
+    are shuffled solely if a key does occur more than once.
     """
     df = df.filter(F.col(key).isNotNull())
     repeated = df.groupBy(key).count().filter("count > 1").limit(1).count()
-    return df.dropDuplicates([key]) if repeated else df
-
-
-def frames(batches: Iterable, columns: list[str]) -> Iterator:
-    """The non-empty pandas frames of ``mapInPandas``, restricted to ``columns``."""
-    for frame in batches:
-        if len(frame):
-            yield frame[columns]
+    if not repeated:
+        return df
+    others = [c for c in df.columns if c != key]
+    if not others:
+        return df.distinct()
+    best = df.groupBy(key).agg(F.max(F.struct(*others)).alias("_best"))
+    return best.select(*[key if c == key else F.col("_best")[c].alias(c) for c in df.columns])
