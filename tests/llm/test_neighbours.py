@@ -37,9 +37,10 @@ def clustered():
     return vectors
 
 
-@pytest.mark.parametrize("block", [4096, 24])
-def test_recall_and_blocks(spark, clustered, block):
-    found = N.nearest_neighbours(spark.createDataFrame(rows_of(clustered), SCHEMA), 5, dimensions=16, block=block).collect()
+@pytest.mark.parametrize(("block", "cell_size", "fit_vectors"), [(4096, 512, 16384), (24, 512, 16384), (4096, 20, 16384), (24, 12, 96)])
+def test_recall_and_blocks(spark, clustered, block, cell_size, fit_vectors):
+    """Whole, in blocks, in many cells, and in cells that are cut again from small samples."""
+    found = N.nearest_neighbours(spark.createDataFrame(rows_of(clustered), SCHEMA), 5, dimensions=16, block=block, cell_size=cell_size, fit_vectors=fit_vectors).collect()
     expected = brute_force(clustered, 5)
     hits = {(r["page_id"], r["neighbour"]) for r in found}
     truth = {(i, j) for i, js in expected.items() for j in js}
@@ -49,8 +50,8 @@ def test_recall_and_blocks(spark, clustered, block):
 
 def test_recall_where_the_index_is_fitted_on_a_small_sample(spark, small):
     frame = table(spark, small.replace("0.001", "0.01"), "page_embeddings")
-    whole = {(r["page_id"], r["neighbour"]) for r in N.nearest_neighbours(frame, 5, probes=10_000).collect()}
-    found = {(r["page_id"], r["neighbour"]) for r in N.nearest_neighbours(frame, 5, fit_vectors=40).collect()}
+    whole = {(r["page_id"], r["neighbour"]) for r in N.nearest_neighbours(frame, 5, cell_size=1 << 20).collect()}
+    found = {(r["page_id"], r["neighbour"]) for r in N.nearest_neighbours(frame, 5, fit_vectors=160, cell_size=64).collect()}
     assert len(whole) > 2000 and len(found & whole) / len(whole) >= 0.9
 
 
@@ -84,22 +85,60 @@ def test_newest_vector_counts(spark):
     assert (found["neighbour"], found["cosine"]) == (1, 1.0)
 
 
+def test_a_group_of_copies_of_any_size(spark, clustered):
+    """Half of all rows are one vector: copies are neighbours of each other, and the smallest of them of others."""
+    vectors = dict(clustered)
+    vectors |= {1000 + i: vectors[3] for i in range(len(clustered))}
+    found = N.nearest_neighbours(spark.createDataFrame(rows_of(vectors), SCHEMA), 5, dimensions=16).collect()
+    expected = brute_force(vectors, 5)
+    by_page = {}
+    for r in sorted(found, key=lambda r: (r["page_id"], r["rank"])):
+        by_page.setdefault(r["page_id"], []).append(r["neighbour"])
+    assert by_page == expected
+    assert [r["cosine"] for r in found if r["page_id"] == 1200] == [1.0] * 5
+
+
+def test_a_tree_of_several_levels():
+    rng = np.random.default_rng(3)
+    tree = N.Tree()
+    centres = rng.standard_normal((40, 8)).astype(np.float32)
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    tree.add(centres[:4], np.array([0, 1, 1, 2]))
+    tree.add(centres[4:10], np.arange(6), 1)
+    tree.add(centres[10:14], np.arange(4), 5)
+    tree.add(centres[14:15], np.array([0]), 0)  # it cannot be cut: a dense region
+    assert tree.dense == {0} and tree.cells == 13
+    row, cell = tree.nearest(centres, 2)
+    assert set(cell) <= {0, 2, *range(3, 13)} - {5} and (np.diff(row) >= 0).all() and np.bincount(row).max() == 2
+    alone = [tree.nearest(centres[i : i + 1], 2)[1].tolist() for i in range(40)]
+    assert alone == [cell[row == i].tolist() for i in range(40)]
+
+
 def test_packing_is_exact():
     rng = np.random.default_rng(1)
-    for v in (np.round(rng.standard_normal(8), 4), rng.standard_normal(8), rng.standard_normal(8) * 1e6):
-        unit = N.unpacked([N.packed(v)], 8)[0]
-        assert np.allclose(unit, v / np.linalg.norm(v), atol=1e-15)
+    vectors = [np.round(rng.standard_normal(8), 4), rng.standard_normal(8), rng.standard_normal(8) * 1e6]
+    together = N.Vectors([N.packed(v) for v in vectors], 8)
+    every = np.arange(3)
+    assert np.allclose(together.cosines(every, together, every[::-1]), [a @ b / np.linalg.norm(a) / np.linalg.norm(b) for a, b in zip(vectors, vectors[::-1], strict=True)], atol=1e-15)
+    for i, v in enumerate(vectors):
+        alone = N.Vectors([N.packed(v)], 8)
+        assert np.allclose(alone.unit[0], v / np.linalg.norm(v), atol=1e-6) and np.allclose(alone.unit[0], together.unit[i], atol=1e-6)
 
 
 def test_codes_bound_the_inner_product():
     rng = np.random.default_rng(2)
-    x = rng.standard_normal((200, 64))
+    x = rng.standard_normal((200, 64)) + rng.standard_normal((200, 1)) * np.ones(64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     turn = N.rotation(64)
     assert np.allclose(turn @ turn.T, np.eye(64), atol=1e-9)
     centre = x.mean(axis=0)
     codes = N.Codes(x, centre, turn)
-    around = x - centre
-    estimate = (around @ turn @ codes.signs(64).T) * (codes.length / codes.faith / 8) + codes.centre_dot + (x @ centre)[:, None]
-    error = 2.5 * np.linalg.norm(around, axis=1)[:, None] * codes.length * codes.spread
-    assert (np.abs(estimate - x @ x.T) <= error).mean() > 0.97
+    differ = N.differing_bits(codes.words, codes.words)
+    signs = (x - centre) @ turn >= 0
+    assert (differ == (signs[:, None] != signs[None]).sum(axis=2)).all()
+    estimate, upper = N.cosine_bounds(64, 2.5)
+    lengths = codes.length[:, None] * codes.length
+    rest = codes.centre_dot + (x @ centre)[:, None]
+    other = ~np.eye(200, dtype=bool)
+    assert (upper[differ] * lengths + rest >= x @ x.T)[other].mean() > 0.97
+    assert abs((estimate[differ] * lengths + rest - x @ x.T)[other].mean()) < 0.02
