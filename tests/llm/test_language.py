@@ -16,15 +16,22 @@ def codes(spark):
 
 
 def pages_of(spark, rows):
+    """Each page on a site of its own, each paragraph with a name of its own: what many pages share is furniture."""
     blank = {f.name: None for f in PAGES}
-    return spark.createDataFrame([tuple({**blank, **r}.values()) for r in rows], PAGES)
+    made = []
+    for r in rows:
+        i = r["id"] or 0
+        lines = (r["content"] or "").split("\n")
+        own = [line and f"{line[:-1]} {chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}." if line.endswith(".") else line for k, line in enumerate(lines)]
+        made.append({**r, "website_id": i, "content": r["content"] and "\n".join(own)})
+    return spark.createDataFrame([tuple({**blank, **r}.values()) for r in made], PAGES)
 
 
 def corpus():
-    # 12 well labelled pages a language, and one that is wrong
+    # 24 well labelled pages a language
     rows, n = [], 0
     for code, text in (("en-GB", EN), ("ES", ES), ("de_AT", DE), ("ru", RU)):
-        for _ in range(12):
+        for _ in range(24):
             n += 1
             rows.append({"id": n, "language": code, "content": f"Menu | Home\n{text}"})
     return rows
@@ -62,7 +69,7 @@ def test_empty_and_unlabelled_tables(spark, codes):
 
 def test_clashing_columns(spark, codes):
     pages = pages_of(spark, corpus()).selectExpr("*", "'x' as page_id", "'y' as lang", "1 as label")
-    assert language.page_paragraphs(pages, codes).count() == 48
+    assert language.page_paragraphs(pages, codes).count() == 96
 
 
 def test_folded_weights_are_the_kernel_machine():

@@ -20,7 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftlight.llm.common import unique_by
-from weftlight.llm.linekinds import kind_of
+from weftlight.llm.linekinds import judged_lines
+from weftlight.llm.template import page_flags
 from weftlight.plans.spread import spread
 
 #: Dimensions of the hashed presence vectors (a power of two).
@@ -111,9 +112,9 @@ class Model:
         return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)), np.float32)
 
 
-def paragraphs(content: str) -> list[tuple[int, str]]:
+def paragraphs(content: str, furniture: list[int] | None = None, headings: list[int] | None = None) -> list[tuple[int, str]]:
     """(line number, text) of the lines of a content that are ordinary sentences."""
-    return [(i, line) for i, line in enumerate(content.split("\n")) if kind_of(line) == "prose"]
+    return [(i, line) for i, line, kind in judged_lines(content, furniture, headings) if kind == "prose"]
 
 
 def label_code(label: Column, codes: DataFrame) -> Column:
@@ -131,19 +132,20 @@ def label_code(label: Column, codes: DataFrame) -> Column:
     return F.coalesce(F.try_element_at(named, text), F.try_element_at(named, F.regexp_extract(text, "^[^-_]*", 0)))
 
 
-def fit_model(pages: DataFrame, codes: DataFrame, fit_pages: int = FIT_PAGES) -> Model | None:
-    """A model of the languages in ``codes``, from at most about ``fit_pages`` labelled pages of each."""
+def fit_model(pages: DataFrame, flags: DataFrame, codes: DataFrame, fit_pages: int = FIT_PAGES) -> Model | None:
+    """A model of the languages in ``codes``, from at most about ``fit_pages`` labelled pages of each; ``flags`` are those of the pages' lines."""
     labelled = pages.select("id", "content", label_code(F.col("language"), codes).alias("code")).filter("code is not null")
     counts = {r["code"]: r["count"] for r in labelled.groupBy("code").count().collect()}  # one row per language
     if not counts:
         return None
     shares = {code: int(min(1.0, fit_pages / count) * 1_000_003) for code, count in counts.items()}
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("code")]
-    sample = labelled.filter("content <> ''").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share).toPandas().sort_values("id")
+    sample = labelled.filter("content <> ''").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share)
+    sample = sample.join(flags, "id", "left").toPandas().sort_values("id")  # bounded by fit_pages
     languages = sorted(counts)
     lines, labels = [], []
-    for code, content in zip(sample["code"], sample["content"], strict=True):
-        for _, line in paragraphs(content)[:FIT_PARAGRAPHS]:
+    for code, *page in zip(*(sample[c] for c in ("code", "content", "furniture", "headings")), strict=True):
+        for _, line in paragraphs(*page)[:FIT_PARAGRAPHS]:
             lines.append(letters_of(line))
             labels.append(languages.index(code))
     return Model(languages, lines, np.array(labels)) if lines else None
@@ -153,13 +155,15 @@ def page_paragraphs(pages: DataFrame, codes: DataFrame, fit_pages: int = FIT_PAG
     """(page_id, label, line_no, chars, lang, confidence) of each paragraph of ordinary sentences.
 
     ``label`` is the code the page's own label names, or null. Null and empty
-    contents and null ids give no row; a page delivered twice counts once; without
-    any usable label there is no model and no row.
+    contents and null ids give no row; of pages with one id the one with the largest
+    fields counts; without any usable label there is no model and no row.
     """
     spark = pages.sparkSession
-    plain = unique_by(spread(pages.select("id", "language", "content")), "id")
+    plain = unique_by(spread(pages.select("id", "language", "content", "html", "website_id").filter("content <> ''")), "id")
+    flags = page_flags(plain)
+    plain = plain.drop("html", "website_id")
     schema = "page_id long, label string, line_no int, chars int, lang string, confidence double"
-    model = fit_model(plain, codes, fit_pages)
+    model = fit_model(plain, flags, codes, fit_pages)
     if model is None:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(model)
@@ -168,7 +172,7 @@ def page_paragraphs(pages: DataFrame, codes: DataFrame, fit_pages: int = FIT_PAG
         machine = shared.value
         names = np.array(machine.languages, object)
         for frame in batches:
-            found = [paragraphs(c) for c in frame["content"]]
+            found = [paragraphs(*row) for row in zip(frame["content"], frame["furniture"], frame["headings"], strict=True)]
             count = np.fromiter((len(f) for f in found), np.int64, len(found))
             page = np.repeat(np.arange(len(found)), count)
             if not len(page):
@@ -183,7 +187,7 @@ def page_paragraphs(pages: DataFrame, codes: DataFrame, fit_pages: int = FIT_PAG
                 "line_no": [i for f in found for i, _ in f], "chars": size, "lang": names[best], "confidence": np.round(sure.astype(float), 4),
             })
 
-    plain = plain.filter("content <> ''").select(F.col("id").alias("page_id"), label_code(F.col("language"), codes).alias("label"), "content")
+    plain = plain.join(flags, "id", "left").select(F.col("id").alias("page_id"), label_code(F.col("language"), codes).alias("label"), "content", "furniture", "headings")
     return plain.mapInPandas(classify, schema)
 
 

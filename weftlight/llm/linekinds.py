@@ -1,14 +1,16 @@
-"""What a line of a page is: prose, a notice, furniture, keyword text, or a short line.
+"""What the lines of a page are: notices, furniture, headings, keyword text, prose, or short lines.
 
-Shared by the operators for languages, residue and stuffing. A line is judged
-by itself, from its own characters; nothing here looks at ids or positions.
+Shared by the operators for languages, residue and stuffing. Furniture and
+headings are known from the page's template (``template.page_flags``); notices
+by their phrases; keyword text by how the terms of the whole page recur.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import regex
 
-from weftlight.llm.notices import FILLER_WORDS, covered
+from weftlight.llm.notices import FIELD, FIELD_MARKS, dummy_words, notice_of
 
 # The most frequent function words of the languages that put spaces between words.
 FUNCTION_WORDS = frozenset("""
@@ -18,8 +20,11 @@ le les des et du que qui est dans pour ne pas plus sur avec nous au ont été au
 der die das und ist den dem des ein eine nicht mit von zu im auf für wir noch als wie bei war um hat oder nachdem wenn ohne ihn ihren jeden
 de het een en van is dat niet met op voor wij zijn nog als te aan bij was tot wie zonder hem elke hun uit nadat keer onze
 o os as um uma do da dos das em que não por com seu ao é mais como para ainda duas até quando sem foi
+no na nos nas aos à às pelo pela seus suas quem ou já muito também durante depois cada ele ela isso este esta
 и в не на что с по как но никто почему всегда тому кто почти наш рядом это все так из за для после того был если то его до их наши мы под же когда чем
+уже ещё еще чтобы при о об у я он она они вы себя пока только есть быть сих пор около больше или бы нет раз кто-нибудь рядом том этот эта после
 من في على إلى أن ما لا هل كان عن مع لم التي هو قال أي كل بعد
+أو هذا هذه ذلك الذي قد لقد ثم حتى إذا لكن بين عند منذ كيف هي هم نحن أكثر دائما دون أحد لمدة إن عندما قرب
 का के की में को है से पर और तक ने जब तब कि नहीं हैं किसी एक भी यह था कुछ गया हर साथ क्योंकि हमारे हमने
 """.split())
 
@@ -28,89 +33,43 @@ CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 THAI = regex.compile(r"\p{Thai}")
 END_MARK = regex.compile(r"[.!?…؟।][\"'”»“)\]]*(?=\s|$)|[。！？]")
 SENTENCE_END = regex.compile(r"[.!?…؟।。！？][\"'”»“」』)\]]*\s*$")
-SEPARATED = regex.compile(r"\s+[|/·»>]\s+")
-ITEM_MARKS = regex.compile(r"[,;|•、，]")
 TAIL = regex.compile(r"\s*(?:\(\d+\)|\(/[^)]*\))\s*$|^[»\s]+|[»\s]+$")
 
-#: Share of a line that phrases must cover for the line to be of their kind.
-COVERED = 0.5
-#: The same for furniture, whose short lines also hold the name of the site.
-FURNITURE_COVERED, FURNITURE_LENGTH = 0.25, 90
-#: Judgements kept per worker; a site's furniture recurs on all its pages.
+#: Terms behind a term within which it recurs: a keyword text's few terms come back at once, those of sentences do not.
+WINDOW = 24
+#: Share of a line's terms that recur within the window, from which it is keyword text; pairs of letters recur in sentences, too.
+RECURRING, DENSE_RECURRING = 0.5, 0.95
+#: Lags of the autocorrelation, those of scripts without spaces, and the mean share of the three best lags from which a line is periodic.
+LAGS, DENSE_LAGS, PERIODIC = 24, 36, 0.6
+#: Share of function words below which recurrence is no refrain: of a line without and with the form of sentences.
+FEW_FUNCTION, FEW_IN_SENTENCES = 0.25, 0.15
+#: Share of function words below which a line of distinct terms is a list of nouns.
+NO_FUNCTION = 0.08
+#: Share of distinct terms of such a list; repeated keywords are known by their recurrence alone.
+DISTINCT = 0.4
+#: Terms for each end mark, from which a line of distinct nouns is no sentence.
+NOUNS = 12
+#: Judgements kept per worker; the lines of a site recur on its pages.
 REMEMBERED = 100_000
 
+EMPTY, FURNITURE, HEADING = "empty", "furniture", "heading"
+NOTICES = frozenset(("error", "script", "filler"))
+
 
 def normal(line: str) -> str:
     """Lower case, single spaces, without a trailing number or path in brackets."""
     return TAIL.sub("", " ".join(line.lower().split()))
 
 
-def autocorrelation(tokens: list[str], lags: int = 24) -> float:
-    """Mean share of positions that hold the same term at the best three lags up to ``lags``."""
-    n = len(tokens)
-    if n < 6:
-        return 0.0
-    code = {}
-    ids = [code.setdefault(t, len(code)) for t in tokens]
-    shares = []
-    for lag in range(1, min(lags, n - 2) + 1):
-        shares.append(sum(map(int.__eq__, ids[lag:], ids[:-lag])) / (n - lag))
-    shares.sort(reverse=True)
-    return sum(shares[:3]) / 3
-
-
-def recurrence(tokens: list[str]) -> tuple[float, float]:
-    """(share of tokens that recur, coefficient of variation of the recurrence gaps)."""
-    last: dict[str, int] = {}
-    gaps = []
-    for i, t in enumerate(tokens):
-        if t in last:
-            gaps.append(i - last[t])
-        last[t] = i
-    if not gaps:
-        return 0.0, 0.0
-    mean = sum(gaps) / len(gaps)
-    spread = (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5
-    return len(gaps) / len(tokens), spread / mean
-
-
 def scripts_of(line: str, letters: int) -> str:
     """"east" or "thai" where most letters belong to a script without spaces, else ""."""
-    if line.isascii() or max(line) < "\u0e00":
+    if line.isascii() or max(line) < "฀":
         return ""
     if len(CJK.findall(line)) > 0.3 * letters:
         return "east"
     return "thai" if len(THAI.findall(line)) > 0.3 * letters else ""
 
 
-def keyword_text(line: str, tokens: list[str], script: str, function: float) -> bool:
-    """Whether a line is repeated keywords or a list of tags rather than sentences.
-
-    Two signs: terms that recur at short, even gaps or correlate with themselves
-    at some lag, and many nouns without function words (their share is ``function``).
-    """
-    n = len(tokens)
-    if n < 10:
-        return False
-    if script:
-        # sentences of these scripts have no spaces: single terms between spaces or marks are a list, clauses do not recur
-        if recurrence(tokens)[0] > 0.5:
-            return True
-        if script == "thai":
-            return sum(map(len, tokens)) / n <= 13
-        return sum(map(len, tokens)) / n <= 6 and sum(line.count(m) for m in "。！？") * 12 < n
-    if function >= 0.4:
-        return False
-    lower = [t.lower() for t in tokens]
-    again, unevenness = recurrence(lower)
-    marks = len(END_MARK.findall(line))
-    if function >= 0.12:  # words such as those in "for sale": only without sentences
-        return again > 0.5 and marks * (25 if function < 0.2 else 50) <= n
-    if marks * 12 < n:
-        return True
-    return again > 0.55 and (unevenness < 0.9 or autocorrelation(lower) > 0.2)
-
-
 def is_prose(line: str, tokens: list[str], script: str, function: float) -> bool:
     """Whether a line reads as sentences."""
     if script == "east":
@@ -127,46 +86,127 @@ def is_prose(line: str, tokens: list[str], script: str, function: float) -> bool
     return len(tokens) >= 14 and function >= 0.2  # cut short
 
 
-def kind_of(line: str) -> str:
-    """One of empty, error, script, filler, furniture, menu, keywords, prose, short."""
-    kind = _kinds.get(line)
-    if kind is None:
-        if len(_kinds) >= REMEMBERED:
-            _kinds.clear()
-        kind = _kinds[line] = _judged(line)
-    return kind
-
-
-_kinds: dict[str, str] = {}
-
-
-def _judged(line: str) -> str:
-    text = normal(line)
-    if not text:
-        return "empty"
-    size = len(text)
-    found = covered(text)
-    if found:
-        kind, most = max(found.items(), key=lambda kv: kv[1])
-        if most >= COVERED * size:
-            return kind
-        if kind == "furniture":
-            if size <= FURNITURE_LENGTH and most >= FURNITURE_COVERED * size:
-                return kind
-        elif size - sum(found.values()) <= 26 or (kind == "error" and size <= 140 and most >= 0.3 * size):
-            return kind
-    tokens = WORD.findall(line)
-    n = len(tokens)
-    parts = SEPARATED.split(text)
-    if 2 <= len(parts) <= 10 and size <= 140 and not SENTENCE_END.search(text):
-        return "menu"
-    if n < 4:
+class Line:
+    """What one line shows by itself."""
+
+    __slots__ = ("notice", "notice_chars", "terms", "dense", "function", "nouns", "prose")
+
+    def __init__(self, line: str):
+        text = normal(line)
+        plain = FIELD.sub(" ", line) if any(m in line for m in FIELD_MARKS) else line  # a field is no term
+        tokens = WORD.findall(plain)
+        n = len(tokens)
+        lower = [t.lower() for t in tokens]
         script = scripts_of(line, sum(map(len, tokens)))
-        return "prose" if script and is_prose(line, tokens, script, 0) else "short"
-    if n >= 6 and sum(t.lower() in FILLER_WORDS for t in tokens) >= 0.7 * n:
-        return "filler"
-    script = scripts_of(line, sum(map(len, tokens)))
-    function = 0.0 if script else sum(t.lower() in FUNCTION_WORDS for t in tokens) / n
-    if keyword_text(line, tokens, script, function):
-        return "keywords"
-    return "prose" if is_prose(line, tokens, script, function) else "short"
+        named = [t in FUNCTION_WORDS for t in lower]
+        self.function = 0.0 if script or not n else sum(named) / n
+        self.notice, self.notice_chars = notice_of(text) if text else ("", 0)
+        if not self.notice and n >= 6 and not script and dummy_words(lower):
+            self.notice = "filler"
+        self.dense = bool(script)
+        self.prose = is_prose(line, tokens, script, self.function)
+        #: what recurs: words that are no function words, or pairs of letters
+        if script:
+            self.terms = [pair for w in lower for pair in ([w[i : i + 2] for i in range(len(w) - 1)] or [w])]
+            pieces = line.split() if script == "thai" else tokens
+            size = sum(map(len, pieces)) / max(len(pieces), 1)
+            self.nouns = n >= 4 and (size <= 13 if script == "thai" else size <= 6 and sum(line.count(m) for m in "。！？") * NOUNS < n)
+        else:
+            self.terms = [t for t, f in zip(lower, named, strict=True) if not f]
+            self.nouns = n >= 4 and self.function < NO_FUNCTION and len(END_MARK.findall(line)) * NOUNS < n
+        self.nouns = self.nouns and len(set(self.terms)) >= DISTINCT * len(self.terms)
+
+
+_lines: dict[str, Line] = {}
+
+
+def seen(line: str) -> Line:
+    """The ``Line`` of a text, kept."""
+    found = _lines.get(line)
+    if found is None:
+        if len(_lines) >= REMEMBERED:
+            _lines.clear()
+        found = _lines[line] = Line(line)
+    return found
+
+
+def recurring(ids: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which positions hold a term that stands within ``window`` positions before or behind, too."""
+    order = np.argsort(ids, kind="stable")
+    near = (np.diff(ids[order]) == 0) & (np.diff(order) <= window)
+    out = np.zeros(len(ids), bool)
+    out[order[1:][near]] = True
+    out[order[:-1][near]] = True
+    return out
+
+
+def periodic(ids: np.ndarray, lags: int) -> np.ndarray:
+    """For each position the number of the three best lags of the autocorrelation at which its term recurs."""
+    n = len(ids)
+    held = np.zeros(n)
+    if n < 6:
+        return held
+    same = [ids[lag:] == ids[:-lag] for lag in range(1, min(lags, n - 2) + 1)]
+    for k in sorted(range(len(same)), key=lambda k: (-np.count_nonzero(same[k]) / len(same[k]), k))[:3]:
+        either = np.zeros(n, bool)
+        either[k + 1 :] = same[k]
+        either[: n - k - 1] |= same[k]
+        held += either
+    return held
+
+
+def keyword_lines(lines: list[Line]) -> list[bool]:
+    """Which of a page's lines are repeated keywords or lists of nouns rather than sentences, judged over all of them.
+
+    A line is if its terms recur within the window, unless its function words show
+    sentences; if the terms of its positions are those of the sequence's three best
+    lags; or if it is a list of nouns without function words.
+    """
+    code: dict[str, int] = {}
+    ids = np.array([code.setdefault(t, len(code)) for line in lines for t in line.terms], np.int64)
+    again = recurring(ids)
+    dense = sum(len(line.terms) for line in lines if line.dense)
+    held = periodic(ids, DENSE_LAGS if 2 * dense > len(ids) else LAGS)
+    out, at = [], 0
+    for line in lines:
+        z = slice(at, at + len(line.terms))
+        at = z.stop
+        if not line.terms:
+            out.append(False)
+            continue
+        enough = DENSE_RECURRING if line.dense and line.prose else RECURRING
+        if line.function < (FEW_IN_SENTENCES if line.prose else FEW_FUNCTION) and again[z].mean() >= enough:
+            out.append(True)
+        else:
+            out.append(bool(held[z].mean() >= 3 * PERIODIC) or line.nouns and not line.prose)
+    return out
+
+
+def judged_lines(content: str, furniture: np.ndarray | list[int] | None = None, headings: np.ndarray | list[int] | None = None) -> list[tuple[int, str, str]]:
+    """(line number, line, kind) of the lines of a content.
+
+    Kinds: empty, error, script, filler, furniture, heading, keywords, prose,
+    short. A notice is one wherever it stands.
+    """
+    aside, above = set(furniture if furniture is not None else ()), set(headings if headings is not None else ())
+    out, open_lines, open_at = [], [], []
+    for i, line in enumerate(content.split("\n")):
+        if not line or line.isspace():
+            out.append((i, line, EMPTY))
+            continue
+        found = seen(line)
+        if found.notice:
+            out.append((i, line, found.notice))
+        elif i in aside:
+            out.append((i, line, FURNITURE))
+        elif i in above:
+            out.append((i, line, HEADING))
+        else:
+            open_at.append(len(out))
+            open_lines.append(found)
+            out.append((i, line, "prose" if found.prose else "short"))
+    for at, found, keywords in zip(open_at, open_lines, keyword_lines(open_lines), strict=True):
+        # a short line by itself shows nothing: it is an entry of a list or none
+        if keywords and (found.prose or len(found.terms) >= 8):
+            out[at] = (*out[at][:2], "keywords")
+    return out

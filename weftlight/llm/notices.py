@@ -1,9 +1,11 @@
-"""Phrases that stand in place of content, and phrases of page furniture.
-
-The tables are fixed values: what servers, site generators and themes print, in
-the twelve languages of the language table. Phrases are lower case, without
-digits, names and end marks; a multi-pattern automaton finds all of them in one
-pass over a text.
+"""Phrases that stand in place of content: errors, script notices, filler text.
+
+The tables are fixed values: what web servers, gateways, programming languages,
+frameworks, site builders and themes print, in the twelve languages of the
+language table. An entry is a phrase that tells by itself, or a subject and a
+predicate that tell together ("page" and "not found"), so that wordings need not
+be listed one by one. Entries are lower case; a multi-pattern automaton finds all
+of them in one pass over a text.
 """
 
 from __future__ import annotations
@@ -11,286 +13,234 @@ from __future__ import annotations
 from functools import cache
 
 import ahocorasick
+import regex
 
-# Messages of servers and programs.
+# Error messages that tell by themselves.
 ERRORS = """
-the page you were looking for could not be found
-the link you followed may be broken or the document was removed
-access denied. you do not have permission to view this resource
-service temporarily unavailable while we carry out maintenance
-internal server error. please try again in a few minutes
-sorry, something went wrong on our side. reference code
-too many requests from your address, slow down and retry
-fatal error: uncaught
-thrown in /srv/
-warning: cannot modify header information - output started at
-query failed: relation
-does not exist (sqlstate
-java.lang.
-exhausted at app.render
-traceback (most recent call last)
-no se encontró la página solicitada
-acceso denegado. no tiene permiso para ver este recurso
-error interno del servidor. inténtelo más tarde
-servicio no disponible por mantenimiento
-die gesuchte seite wurde leider nicht gefunden
-zugriff verweigert. ihnen fehlt die berechtigung
-interner serverfehler. bitte versuchen sie es später erneut
-wegen wartungsarbeiten ist dieser dienst zurzeit nicht erreichbar
-la page demandée est introuvable
-accès refusé. vous n'avez pas les droits nécessaires
-erreur interne du serveur. veuillez réessayer plus tard
-service indisponible pour cause de maintenance
-a página pedida não foi encontrada
-não foi encontrada
-acesso negado. não tem permissão para ver este recurso
-erro interno do servidor. tente mais tarde
-de gevraagde pagina bestaat niet meer
-geen toegang. u heeft geen rechten voor deze pagina
-er ging iets mis op de server. probeer het later opnieuw
-страница не найдена
-доступ запрещён. у вас нет прав на просмотр
-внутренняя ошибка сервера. попробуйте позже
-الصفحة المطلوبة غير موجودة
-خطأ داخلي في الخادم. حاول لاحقا
-यह पृष्ठ नहीं मिला
-सर्वर में त्रुटि हुई। बाद में फिर कोशिश करें
-お探しのページは見つかりません
-サーバー内部でエラーが起きました。後でもう一度お試しください
-找不到您要的页面
-服务器内部错误。请稍后再试
-ไม่พบหน้าที่คุณต้องการ
-เซิร์ฟเวอร์ขัดข้อง กรุณาลองใหม่ภายหลัง
+en not found; forbidden; access denied; access is denied; permission denied; do not have permission; don't have permission; not authorized; unauthorized; bad gateway; bad request; gateway time
+en internal server error; internal error; something went wrong; an error occurred; an error has occurred; unexpected error; critical error; application error; error establishing a database connection
+en too many requests; rate limit exceeded; temporarily unavailable; service unavailable; try again later; try again in; please try again; slow down; under maintenance; carry out maintenance; down for maintenance
+en error code; reference code; request id; ray id; connection refused; connection timed out; this site can't be reached; no longer available; no longer exists; an exception
+es acceso denegado; acceso prohibido; no tiene permiso; error interno; algo salió mal; se ha producido un error; ha ocurrido un error; inténtelo más tarde; inténtalo más tarde; inténtelo de nuevo; demasiadas solicitudes
+de zugriff verweigert; zugriff nicht erlaubt; keine berechtigung; fehlt die berechtigung; serverfehler; interner fehler; ein fehler ist aufgetreten; etwas ist schiefgelaufen; versuchen sie es später; zu viele anfragen
+fr accès refusé; accès interdit; erreur interne; une erreur est survenue; une erreur s'est produite; réessayer plus tard; droits nécessaires; n'avez pas les droits; n'êtes pas autorisé; trop de requêtes
+pt acesso negado; acesso proibido; não tem permissão; erro interno; ocorreu um erro; algo deu errado; algo correu mal; tente mais tarde; tente novamente; muitas solicitações
+nl geen toegang; toegang geweigerd; geen rechten; geen toestemming; interne serverfout; er is een fout opgetreden; er ging iets mis; er is iets misgegaan; probeer het later; te veel verzoeken
+ru доступ запрещён; доступ запрещен; нет прав; недостаточно прав; внутренняя ошибка; произошла ошибка; что-то пошло не так; попробуйте позже; повторите попытку; слишком много запросов
+ar تم رفض الوصول; الوصول مرفوض; ليس لديك إذن; ليست لديك صلاحية; خطأ داخلي; حدث خطأ; حاول لاحقا; حاول مرة أخرى; يرجى المحاولة
+hi पहुँच अस्वीकृत; अनुमति नहीं; आंतरिक त्रुटि; सर्वर त्रुटि; त्रुटि हुई; कुछ गलत हो गया; बाद में फिर; पुनः प्रयास
+ja アクセスが拒否; アクセス権; 権限がありません; 内部エラー; サーバーエラー; エラーが発生; エラーが起き; もう一度お試し; 後でもう一度; しばらくしてから
+zh 拒绝访问; 访问被拒绝; 没有权限; 无权访问; 内部错误; 服务器错误; 发生错误; 出错了; 稍后再试; 请稍后; 重试; 请求过多
+th ปฏิเสธการเข้าถึง; ไม่มีสิทธิ์; ข้อผิดพลาดภายใน; เกิดข้อผิดพลาด; ลองใหม่; ลองอีกครั้ง; ภายหลัง
 """
 
-# Notices that scripts or a check are required.
-SCRIPTS = """
-checking your browser before you can enter, this may take a moment
-your browser does not run scripts. this application needs them to show anything
-please enable javascript to continue using this site
-active javascript para seguir usando este sitio
-veuillez activer javascript pour afficher ce site
-bitte aktivieren sie javascript in ihrem browser
-ohne skripte kann diese anwendung nichts anzeigen
-включите javascript, чтобы продолжить работу с сайтом
-ative o javascript para continuar a usar este sítio
-zet javascript aan om deze site te gebruiken
-请启用脚本以继续使用本网站
-このサイトを見るにはjavascriptを有効にしてください
-โปรดเปิดใช้งานสคริปต์เพื่อดูเว็บไซต์นี้
-يرجى تفعيل جافا سكريبت لعرض هذا الموقع
-इस साइट के लिए जावास्क्रिप्ट चालू करें
+# What failing programs print.
+FAILURES = """
+fatal error; parse error; syntax error; uncaught; unhandled; stack trace; traceback (most recent call last); thrown in; on line; cannot modify header information; output started at; headers already sent
+undefined index; undefined variable; undefined offset; allowed memory size; memory exhausted; exhausted at; out of memory; segmentation fault; core dumped; nullpointerexception; null pointer; exception in thread
+java.lang.; java.io.; java.util.; at java.; at org.; at com.; at app.; caused by:; nested exception; system.web.; asp.net; mysql_connect; mysqli; sqlstate; sql syntax; query failed; ora-0; relation
+typeerror; valueerror; keyerror; referenceerror; syntaxerror; runtimeerror; is not defined; is not a function; cannot read propert; module not found; no such file or directory; failed to open stream; /var/www/; /srv/; /usr/lib/; .php:; .php on; .py", line; .js:; .rb:; .jsp
 """
 
-# What site generators put where text should go.
-FILLERS = """
-your text goes here. replace this paragraph with your own words
-insert headline here. insert two or three lines of body copy here
-sample page. edit or delete it, then start writing
-lorem ipsum dolor sit amet
-su texto va aquí. sustituya este párrafo
-votre texte ici. remplacez ce paragraphe
-hier steht ihr text. ersetzen sie diesen absatz
-beispielseite, bitte bearbeiten oder löschen
-o seu texto aqui. substitua este parágrafo
-hier komt uw tekst. vervang deze alinea
-здесь будет ваш текст. замените этот абзац
-نصك هنا. استبدل هذه الفقرة
-आपका पाठ यहाँ आएगा। इस अनुच्छेद को बदलें
-ここに文章が入ります。この段落を置き換えてください
-这里填写您的文字。请替换这一段
-ข้อความของคุณอยู่ที่นี่ โปรดแทนที่ย่อหน้านี้
+# Subjects of error messages.
+ERROR_SUBJECTS = """
+en page; site; website; file; document; resource; service; server; link; address; url; request; article; content
+es página; sitio; archivo; documento; recurso; servicio; servidor; enlace; dirección
+de seite; datei; dokument; dienst; server; ressource; adresse; inhalt; link
+fr page; fichier; document; ressource; service; serveur; lien; adresse; site
+pt página; arquivo; ficheiro; documento; recurso; serviço; servidor; endereço; ligação; site
+nl pagina; bestand; document; bron; dienst; server; adres; link; website
+ru страниц; файл; документ; ресурс; сервис; сервер; адрес; ссылк; сайт
+ar الصفحة; الملف; المورد; الخدمة; الخادم; الرابط; الموقع
+hi पृष्ठ; पेज; फ़ाइल; सेवा; सर्वर; साइट; लिंक
+ja ページ; ファイル; サービス; サーバー; サイト; リソース
+zh 页面; 网页; 您要的页; 文件; 服务; 服务器; 网站; 资源; 链接
+th หน้า; ไฟล์; บริการ; เซิร์ฟเวอร์; เว็บไซต์; ลิงก์
 """
 
-# Words of dummy text, classic and imitated.
-FILLER_WORDS = frozenset("""
-lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna
-lorpa ipsa dolmen sitte amera consec adipen elitra seddo eiusta tempra incidu labora magnat aliqua enimus minven quista
-nostra tatur
-""".split())
+# Predicates of error messages.
+ERROR_PREDICATES = """
+en could not be found; cannot be found; can't be found; couldn't find; was not found; does not exist; doesn't exist; may be broken; is broken; was removed; has been removed; been moved; is unavailable; is not available; is down; failed; expired; maintenance
+es no encontrad; no se encontró; no se ha encontrado; no se encuentra; no existe; no disponible; no está disponible; mantenimiento; solicitad
+de nicht gefunden; nicht vorhanden; existiert nicht; nicht erreichbar; nicht verfügbar; wartung; gesuchte; angeforderte
+fr introuvable; n'existe pas; n'existe plus; non trouvé; pas été trouvé; indisponible; maintenance; demandé
+pt não encontrad; não foi encontrad; não existe; indisponível; não disponível; manutenção; pedida; solicitad
+nl niet gevonden; bestaat niet; niet beschikbaar; onbereikbaar; onderhoud; gevraagde; opgevraagde
+ru не найден; не существует; недоступн; обслуживан; запрошенн
+ar غير موجود; غير متاح; لم يتم العثور; تعذر العثور; غير متوفر; صيانة; المطلوب
+hi नहीं मिला; नहीं मिली; मौजूद नहीं; उपलब्ध नहीं; त्रुटि; रखरखाव
+ja 見つかりません; 見つかりませんでした; 存在しません; 利用できません; メンテナンス; お探しの
+zh 找不到; 未找到; 不存在; 无法访问; 不可用; 维护; 无法找到
+th ไม่พบ; ไม่มีอยู่; ไม่พร้อมใช้งาน; ขัดข้อง; ปิดปรับปรุง; ที่คุณต้องการ
+"""
 
-# Furniture of pages.
-FURNITURE = """
-copyright 20
-(c) 20
-reuse of any text needs written permission from
-never miss a story: join
-all views are those of the authors and not of
-sign up for the weekly letter from
-all rights reserved
-media - terms - privacy
-is not liable for losses caused by errors on this page
-more like this
-share this page with a friend
-send by mail - copy link - print
-found this useful? pass it on
-manage consent: necessary, statistics, marketing
-you may also like
-written by the
-read next
-this site stores small files on your device; by staying you agree
-from our correspondent at
-posted by staff of
-we use cookies to remember your settings
-accept or decline
-most read today
-opening hours: monday to friday
-tip: use the search box to find older notes
-jetzt den wochenbrief von
-reciba el boletín semanal de
-todos los derechos reservados
-поделитесь этой страницей с другом
-no responde de los errores de esta página
-prohibida la reproducción sin permiso de
-nachdruck nur mit erlaubnis von
-все права защищены
-подпишитесь на еженедельное письмо
-написано редакцией
-recevez la lettre hebdomadaire de
-tous droits réservés
-este sitio guarda pequeños archivos en su equipo
-- impressum - datenschutz
-haftet nicht für fehler auf dieser seite
-comparta esta página con un amigo
-diese seite legt kleine dateien auf ihrem gerät ab
-per mail senden - link kopieren - drucken
-von unseren leuten bei
-más sobre esto
-schrijf u in voor de weekbrief van
-diese seite weiterempfehlen
-перепечатка только с разрешения
-мы используем файлы cookie, чтобы запомнить ваши настройки
-принять или отклонить
-mehr davon
-partilhe esta página com um amigo
-lesen sie auch
-receba o boletim semanal de
-alle rechten voorbehouden
-todos os direitos reservados
-lea también
-geschreven door de redactie van
-publicado por
-не отвечает за ошибки на этой странице
-enviar por correo - copiar enlace - imprimir
-toute reprise exige l'accord de
-alle rechte vorbehalten
-n'est pas responsable des erreurs de cette page
-escrito pela redação de
-このページを友だちに知らせる
-escrito por la redacción de
-あわせて読む
-geöffnet montag bis freitag
-geschrieben von der redaktion
-無断転載を禁じます
-lo más leído hoy
-ещё по теме
-proibida a reprodução sem autorização de
-แบ่งปันหน้านี้กับเพื่อน
-設定を覚えるためにクッキーを使います。同意または拒否してください
-把这个页面分享给朋友
-overname alleen met toestemming van
-延伸阅读
-สงวนลิขสิทธิ์ทั้งหมด
-เราใช้คุกกี้เพื่อจำการตั้งค่าของคุณ ยอมรับหรือปฏิเสธ
-dans la même rubrique
-envoyer par mail - copier le lien - imprimer
-保留一切权利
-wij gebruiken cookies om uw instellingen te bewaren
-akkoord of weigeren
-อ่านเพิ่มเติม
-usamos cookies para lembrar as suas preferências
-aceitar ou recusar
-ce site dépose de petits fichiers sur votre appareil
-читайте также
-我们使用小文件来记住您的设置。接受或拒绝
-partager cette page avec un ami
-publié par
-is niet aansprakelijk voor fouten op deze pagina
-verstuur per mail - kopieer link - print
-não responde por erros nesta página
-wir verwenden cookies, um ihre einstellungen zu speichern
-annehmen oder ablehnen
-usamos cookies para recordar sus preferencias
-aceptar o rechazar
-heute oft gelesen
-شارك هذه الصفحة مع صديق
-今日よく読まれた記事
-abierto de lunes a viernes de
-à lire aussi
-meer hierover
-جميع الحقوق محفوظة
-لا يجوز إعادة النشر إلا بإذن من
-écrit par la rédaction de
-mais sobre isto
-اشترك في الرسالة الأسبوعية من
-यह पृष्ठ किसी मित्र को भेजें
-самое читаемое сегодня
-اقرأ أيضا
-deel deze pagina met een vriend
-सभी अधिकार सुरक्षित
-открыто с понедельника по пятницу с
-อ่านมากที่สุดวันนี้
-lees ook
-今日最多人阅读
-leia também
-की अनुमति के बिना दोबारा छापना मना है
-كتبه فريق
-का साप्ताहिक पत्र पाएँ
-les plus lus aujourd'hui
-ouvert du lundi au vendredi de
-की टीम ने लिखा
-nous utilisons des cookies pour mémoriser vos choix
-accepter ou refuser
-mais lidas hoje
-الأكثر قراءة اليوم
-نستخدم ملفات تعريف الارتباط لحفظ إعداداتك
-قبول أو رفض
-आज सबसे ज़्यादा पढ़ा गया
-open van maandag tot vrijdag
-vandaag veel gelezen
-हम आपकी पसंद याद रखने के लिए कुकी रखते हैं
-स्वीकार करें या मना करें
-यह भी पढ़ें
-aberto de segunda a sexta das
-編集部が書きました
-の週刊便りに登録する
-の許可なく転載することはできません
-订阅
-的每周来信
-未经
-书面许可不得转载
-เขียนโดยทีมงาน
-สมัครรับจดหมายรายสัปดาห์จาก
-版权所有
-编辑部撰写
+# Notices about scripts and checks that tell by themselves.
+SCRIPTS = """
+en checking your browser; verify you are human; verifying you are human; are you a robot; i'm not a robot; just a moment; this may take a moment; may take a few seconds; security check; does not run scripts; does not support scripts; redirected automatically
+es compruebe que es humano; comprobando su navegador
+de browser wird überprüft; überprüfen sie, dass sie ein mensch sind
+fr vérification de votre navigateur; vérifiez que vous êtes humain
+pt verificando o seu navegador; verifique que é humano
+nl uw browser wordt gecontroleerd
+ru проверка браузера; подтвердите, что вы не робот
+ja ブラウザを確認しています
+zh 正在检查您的浏览器; 验证您是真人
 """
 
-KINDS = {"error": ERRORS, "script": SCRIPTS, "filler": FILLERS, "furniture": FURNITURE}
+# What such notices are about.
+SCRIPT_SUBJECTS = """
+en javascript; scripts; scripting; cookies
+es javascript; scripts
+de javascript; skripte
+fr javascript; scripts
+pt javascript; scripts
+nl javascript; scripts
+ru javascript; скрипт
+ar جافا سكريبت; جافاسكريبت; javascript
+hi जावास्क्रिप्ट; javascript; स्क्रिप्ट
+ja javascript; スクリプト
+zh javascript; 脚本
+th javascript; จาวาสคริปต์; สคริปต์
+"""
 
+# What such notices ask for.
+SCRIPT_PREDICATES = """
+en enable; turn on; activate; switch on; allow; disabled; turned off; required; requires; needs; need; without; to run this app; to view this
+es active; activar; active el; habilite; habilitar; active javascript; necesita; requiere; desactivado
+de aktivieren; einschalten; aktiviert; deaktiviert; benötigt; erforderlich; ohne
+fr activer; activez; activé; désactivé; nécessaire; nécessite; sans
+pt ative; ativar; habilite; desativado; necessário; requer; sem
+nl zet; inschakelen; schakel; aanzetten; uitgeschakeld; vereist; nodig; zonder
+ru включите; включить; отключен; требуется; необходим; без
+ar تفعيل; تمكين; فعّل; معطل; يتطلب
+hi चालू करें; सक्षम करें; सक्रिय करें; आवश्यक; अक्षम
+ja 有効; オンに; 無効; 必要
+zh 启用; 开启; 打开; 禁用; 需要
+th เปิดใช้งาน; เปิดการใช้งาน; ปิดใช้งาน; จำเป็น
+"""
 
-def phrases(kind: str) -> list[str]:
-    """The phrases of one kind."""
-    return [p for p in KINDS[kind].strip().split("\n") if p]
+# The forms in which template languages write a field.
+FIELD = regex.compile(
+    r"\{\{[^{}\n]+\}\}|\$\{[^{}\n]+\}|<%[^%\n]+%>|\{%[^%\n]+%\}|#\{[^{}\n]+\}|\[\[[^\[\]\n]+\]\]|@@[\w.\- ]+@@"
+    r"|__[A-Za-z][\w.]*?__|%[A-Za-z_][\w.]*%|%\([\w.]+\)[sd]|\[insert [^\[\]\n]+\]|&lt;[A-Za-z_][\w.]*&gt;"
+)
+FIELD_MARKS = ("{{", "${", "<%", "{%", "#{", "[[", "@@", "__", "%", "[insert", "&lt;")
+# Filler text of site builders and themes, and the name of the classic dummy text.
+FILLERS = """
+en lorem ipsum; text goes here; your text here; your content here; content goes here; title goes here; headline goes here; headline here; insert text; insert your text; insert headline; insert two; add your text; add text here; type your text
+en replace this text; replace this paragraph; replace this with; body copy; placeholder text; dummy text; sample text; sample page; example page; edit or delete it; start writing; click here to edit; click to edit; this is your first post; welcome to wordpress
+es su texto aquí; su texto va aquí; tu texto aquí; inserte texto; inserte su texto; escriba su texto; texto de ejemplo; texto de relleno; sustituya este; reemplace este; página de ejemplo
+de ihr text; ihren text; hier steht text; text hier einfügen; beispieltext; blindtext; platzhaltertext; beispielseite; ersetzen sie diesen; bearbeiten oder löschen; bitte bearbeiten
+fr votre texte; texte d'exemple; faux texte; remplacez ce; page d'exemple; insérez du texte; cliquez pour modifier
+pt seu texto aqui; texto aqui; insira o seu texto; insira seu texto; texto de exemplo; substitua este; página de exemplo
+nl uw tekst; jouw tekst; voorbeeldtekst; voorbeeldpagina; vervang deze; plaats hier; klik om te bewerken
+ru ваш текст; введите текст; вставьте текст; пример текста; пример страницы; замените этот; здесь будет текст
+ar نصك هنا; ضع النص هنا; أدخل النص; نص تجريبي; نص افتراضي; استبدل هذه; استبدل هذا; استبدل النص
+hi आपका पाठ; अपना पाठ; नमूना पाठ; अपना टेक्स्ट; अनुच्छेद को बदलें; टेक्स्ट को बदलें
+ja ここに文章; ここにテキスト; 文章が入ります; テキストが入ります; ダミーテキスト; サンプルテキスト; サンプルページ; 置き換えてください
+zh 您的文字; 您的文本; 在此输入; 在这里输入; 请替换; 示例文字; 示例文本; 示例页面; 占位文字
+th ข้อความของคุณ; ใส่ข้อความ; พิมพ์ข้อความ; ข้อความตัวอย่าง; หน้าตัวอย่าง; โปรดแทนที่
+"""
+
+# The classic dummy text. Generators cut, mix and alter its words.
+CLASSIC = """
+lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
+ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat
+duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur
+excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
+"""
+#: First letters by which an altered word of the classic dummy text is known, and the share of a text's words that must be known.
+ALTERED, FILLER_SHARE = 3, 0.7
+_BEGINNINGS = frozenset(w[:ALTERED] for w in CLASSIC.split() if len(w) >= ALTERED)
+
+WHOLE, SUBJECT, PREDICATE = range(3)
+TABLES = (
+    ("error", WHOLE, ERRORS), ("error", WHOLE, FAILURES), ("error", SUBJECT, ERROR_SUBJECTS), ("error", PREDICATE, ERROR_PREDICATES),
+    ("script", WHOLE, SCRIPTS), ("script", SUBJECT, SCRIPT_SUBJECTS), ("script", PREDICATE, SCRIPT_PREDICATES), ("filler", WHOLE, FILLERS),
+)
+LANGUAGES = frozenset("en es de fr pt nl ru ar hi ja zh th".split())
+#: Share of a sentence's characters that entries must cover for it to be a notice.
+SENTENCE_COVERED = 0.2
+#: Share of a line's characters that lie in such sentences for the line to be one: what to do and a reference often stand beside the message.
+LINE_COVERED = 0.33
+
+_SENTENCE = regex.compile(r"(?<=[.!?।])\s+|(?<=[。！？])\s*")
+_SPACELESS = regex.compile(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}]")
+
+
+def entries() -> list[tuple[str, int, str, str]]:
+    """(kind, part, language, phrase) of all tables; failures have no language."""
+    out = []
+    for kind, part, text in TABLES:
+        for line in text.strip().split("\n"):
+            first, _, rest = line.partition(" ")
+            language, listed = (first, rest) if first in LANGUAGES else ("", line)
+            out.extend((kind, part, language, phrase.strip()) for phrase in listed.split(";") if phrase.strip())
+    return out
 
 
 @cache
 def automaton() -> ahocorasick.Automaton:
-    """One automaton of all phrases; a value is (kind, length)."""
+    """One automaton of all entries; a value is (length, whether it begins at a word, its meanings)."""
+    meanings: dict[str, list[tuple[str, int, str]]] = {}
+    for kind, part, language, phrase in entries():
+        meanings.setdefault(phrase, []).append((kind, part, language))
     made = ahocorasick.Automaton()
-    for kind in KINDS:
-        for phrase in phrases(kind):
-            made.add_word(phrase, (kind, len(phrase)))
+    for phrase, meant in meanings.items():
+        made.add_word(phrase, (len(phrase), phrase[0].isalpha() and not _SPACELESS.match(phrase), meant))
     made.make_automaton()
     return made
 
 
-def covered(line: str) -> dict[str, int]:
-    """Characters of a line (lower case, single spaces) that phrases of each kind cover."""
+def covered(sentence: str) -> dict[str, int]:
+    """Characters of a sentence (lower case, single spaces) that entries of each kind cover.
+
+    Subjects and predicates count where both stand in the sentence, in one language.
+    """
+    hits = []
+    for end, (length, at_word, meant) in automaton().iter(sentence):
+        start = end + 1 - length
+        before = sentence[start - 1] if start else " "
+        if not (at_word and before.isalnum() and not _SPACELESS.match(before)):
+            hits.append((start, end + 1, meant))
+    if not hits:
+        return {}
+    parts: dict[tuple[str, str], set[int]] = {}
+    for _, _, meant in hits:
+        for kind, part, language in meant:
+            parts.setdefault((kind, language), set()).add(part)
     found: dict[str, int] = {}
     reach: dict[str, int] = {}
-    for end, (kind, length) in automaton().iter(line):
-        start = max(end + 1 - length, reach.get(kind, 0))
-        if end + 1 > start:
-            found[kind] = found.get(kind, 0) + end + 1 - start
-            reach[kind] = end + 1
+    for start, end, meant in sorted(hits, key=lambda h: h[:2]):
+        for kind in {kind for kind, part, language in meant if part == WHOLE or parts[kind, language] >= {SUBJECT, PREDICATE}}:
+            new = end - max(start, reach.get(kind, 0))
+            if new > 0:
+                found[kind] = found.get(kind, 0) + new
+                reach[kind] = end
     return found
+
+
+def dummy_words(words: list[str]) -> bool:
+    """Whether words, lower case, are the classic dummy text, or cut, mixed and altered from it."""
+    return len(words) >= 3 and sum(w[:ALTERED] in _BEGINNINGS for w in words) >= FILLER_SHARE * len(words)
+
+
+def notice_of(text: str) -> tuple[str, int]:
+    """The kind of notice that a text (lower case, single spaces) is, and the characters of its matched sentences.
+
+    The kind is error, script or filler, or "" if it is none.
+    """
+    matched: dict[str, int] = {}
+    whole = 0
+    for sentence in _SENTENCE.split(text.replace("’", "'")):
+        size = len(sentence)
+        whole += size
+        found = covered(sentence)
+        if found:
+            kind = max(found, key=lambda k: (found[k], k))
+            if found[kind] >= SENTENCE_COVERED * size:
+                matched[kind] = matched.get(kind, 0) + size
+    total = sum(matched.values())
+    if not matched or total < LINE_COVERED * whole:
+        return "", 0
+    return max(matched, key=lambda k: (matched[k], k)), total

@@ -19,35 +19,28 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from weftlight.llm.common import unique_by
-from weftlight.llm.linekinds import WORD, kind_of, normal
-from weftlight.llm.notices import FILLER_WORDS, covered, phrases
-from weftlight.llm.stuffing import LIST_LINES
+from weftlight.llm.linekinds import WORD, judged_lines, normal, seen
+from weftlight.llm.notices import FIELD, FIELD_MARKS, covered, dummy_words
+from weftlight.llm.template import with_flags
 from weftlight.plans.spread import spread
 
-# The forms in which template languages write a field.
-FIELD = regex.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\$\{[^{}\n]{1,60}\}|<%[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|#\{[^{}\n]{1,60}\}"
-    r"|\[\[[^\[\]\n]{1,60}\]\]|@@[\w.\- ]{1,40}@@|__[A-Za-z][\w.]{0,40}?__|%[A-Za-z_][\w.]{0,40}%|%\([\w.]{1,40}\)[sd]"
-    r"|\[insert [^\[\]\n]{1,40}\]|&lt;[A-Za-z_][\w.]{0,40}&gt;"
-)
-FIELD_MARKS = ("{{", "${", "<%", "{%", "#{", "[[", "@@", "__", "%", "[insert", "&lt;")
 # What programs print for a value that is not there.
 EMPTY_VALUE = regex.compile(r"\[object \w+\]|\bnull null\b|\(null\)|(?<![\w'’])(?:undefined|NaN)(?![\w'’])")
 EMPTY_MARKS = ("[object", "null", "undefined", "NaN")
-# Words by which a sentence speaks about a mark or a value instead of containing one by mistake.
+# Words of sentences that speak about a mark, a field or a value instead of containing one by mistake.
 ABOUT = regex.compile(
-    r"a mark such as|template engines?|placeholder|shell wrote|a variable|the value|\bmeans\b|die marke|der platzhalter|der wert|on lisait|la valeur de"
-    r"|la marca|el valor|a marca|o valor|метк|значение|de waarde|het merk",
+    r"\b(?:marks?|placeholders?|template engines?|templates?|variables?|syntax|tokens?|literals?|notation|shells?|scripts?|source code|expressions?|means|meant|denotes|stands for|wrote|typed|printed|values?"
+    r"|marken?|platzhaltern?|variablen?|vorlagen?|schreibweise|bedeutet|schrieb|werte?|balises?|gabarits?|syntaxe|signifie|lisait|écrivait|valeurs?"
+    r"|marcas?|plantillas?|marcador(?:es)?|sintaxis|significa|escribía|valor(?:es)?|sintaxe|modelos?|escrevia|tijdelijke aanduiding|variabelen?|sjablo(?:on|nen)|betekent|schreef|waarden?|merk(?:en)?)\b"
+    r"|метк|переменн|шаблон|заполнител|синтаксис|означа|значени|متغير|قالب|علامة|قيمة|चर |टेम्पलेट|चिह्न|मान |変数|テンプレート|プレースホルダ|記号|変量|变量|模板|占位符|标记|ตัวแปร|แม่แบบ|เครื่องหมาย",
     regex.IGNORECASE,
 )
 SENTENCE = regex.compile(r"(?<=[.!?।。！？])\s+")
-#: The sentences of the filler phrases, which a title holds one at a time; two words of a language with spaces may be an honest title.
-FILLER_SENTENCES = frozenset(
-    s.rstrip(".。।") for p in phrases("filler") for s in regex.split(r"(?<=[.。।])\s*", p) if len(s.split()) >= 3 or (len(s) >= 8 and " " not in s)
-)
 TITLE_PARTS = regex.compile(r"\s+[|·»–—-]\s+")
-#: Share of a page's text, furniture aside, that matched phrases must cover.
+#: Share of a page's text, furniture aside, that notices must cover.
 COVERAGE = 0.5
+#: Share of a title that filler phrases must cover: a title may be about them.
+TITLE_COVERED = 0.4
 
 
 def unfilled(text: str) -> bool:
@@ -66,51 +59,42 @@ def unfilled(text: str) -> bool:
 
 
 def filler_title(title: str) -> bool:
-    """Whether a title is filler text; the name of the site may stand beside it, and it may be short."""
+    """Whether a title is filler text; the name of the site may stand beside it. Two words of a language with spaces may be an honest title."""
     for part in [title, *TITLE_PARTS.split(title)]:
         text, tokens = normal(part), WORD.findall(part.lower())
-        if text.rstrip(".!。") in FILLER_SENTENCES or text and covered(text).get("filler", 0) >= COVERAGE * len(text) or len(tokens) >= 3 and sum(t in FILLER_WORDS for t in tokens) >= 0.7 * len(tokens):
+        if (len(tokens) >= 3 or not text.isascii()) and (covered(text).get("filler", 0) >= TITLE_COVERED * len(text) or dummy_words(tokens)):
             return True
     return False
 
 
-def judged(title: str | None, content: str) -> tuple[bool, bool, int, int]:
+def judged(title: str | None, content: str, furniture: list[int] | None = None, headings: list[int] | None = None) -> tuple[bool, bool, int, int]:
     """(unfilled field, filler text, characters of messages and notices, characters of other content)."""
-    matched = other = 0
+    matched = other = short = 0
     filler = bool(title) and filler_title(title)
-    run: list[int] = []
-    for line in content.split("\n"):
-        kind = kind_of(line)
-        if kind == "short":
-            run.append(len(line))
-            continue
-        if kind == "empty":
-            continue
-        if len(run) >= LIST_LINES:
-            other += sum(run)
-        run = []
+    for _, line, kind in judged_lines(content, furniture, headings):
         if kind in ("error", "script"):
-            matched += len(line)
+            matched += seen(line).notice_chars  # what stands beside the message in its line is neither
         elif kind == "filler":
             filler = True
         elif kind in ("prose", "keywords"):
             other += len(line)
-    if len(run) >= LIST_LINES:
-        other += sum(run)
-    return unfilled(content) or bool(title and unfilled(title)), filler, matched, other
+        elif kind == "short":
+            short += len(line)
+    return unfilled(content) or bool(title and unfilled(title)), filler, matched, other + short
 
 
 def page_residue(pages: DataFrame) -> DataFrame:
     """(page_id, unfilled, filler, notice_chars, other_chars) of each page with content.
 
     Pages with null or empty content give no row, whatever their title; a null
-    title counts as empty; a page delivered twice counts once.
+    title counts as empty; of pages with one id the one with the largest fields counts.
     """
-    plain = unique_by(spread(pages.select(F.col("id").alias("page_id"), "title", "content").filter("content <> ''")), "page_id")
+    plain = with_flags(unique_by(spread(pages.select("id", "title", "content", "html", "website_id").filter("content <> ''")), "id"))
+    plain = plain.select(F.col("id").alias("page_id"), "title", "content", "furniture", "headings")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            rows = [judged(t, c) for t, c in zip(frame["title"], frame["content"], strict=True)]
+            rows = [judged(*row) for row in zip(frame["title"], frame["content"], frame["furniture"], frame["headings"], strict=True)]
             out = pd.DataFrame(rows, columns=["unfilled", "filler", "notice_chars", "other_chars"])
             out.insert(0, "page_id", frame["page_id"].to_numpy())
             yield out

@@ -1,11 +1,11 @@
 """Problem 6: pages of repeated keywords, tags or lists of links.
 
-The terms of a page's lines, furniture and short lines aside, are one sequence
-(pairs of letters in scripts without spaces). A line is keyword text if its
-positions hold the terms of the sequence's three best lags, or if all terms recur
-at even gaps; by itself it is if its terms recur so or are a long list of distinct
-nouns without function words (``linekinds.keyword_text``). A run of many short
-lines is a list of links. A page is found if such text, page furniture aside,
+The terms of a page's lines, furniture and headings aside, are one sequence
+(words that are no function words; pairs of letters in scripts without spaces).
+Recurrence gaps and the positional autocorrelation over lag windows decide which
+lines are keyword text: terms that come back within a short window, or at the
+same lags through the page. Lists of distinct nouns without function words count
+too, and short lines are the entries of lists. A page is found if such text
 outweighs its sentences.
 """
 
@@ -13,100 +13,44 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from weftlight.llm.common import unique_by
-from weftlight.llm.linekinds import FUNCTION_WORDS, WORD, kind_of, recurrence, scripts_of
+from weftlight.llm.linekinds import judged_lines
+from weftlight.llm.template import with_flags
 from weftlight.plans.spread import spread
 
-#: Short lines in a row that make a list of links; menus and side columns are shorter.
-LIST_LINES = 10
-#: Lags of the autocorrelation, and those of scripts without spaces.
-LAGS, DENSE_LAGS = 24, 36
-#: Mean share of the three best lags from which a line is periodic. A refrain of whole sentences has one such lag.
-PERIODIC = 0.6
-#: Share of terms that recur, the largest variation of their gaps, and the share of function words below which even gaps are no refrain.
-RECURRING, EVEN, FEW_FUNCTION = 0.7, 0.3, 0.2
+#: Short lines that make a list; fewer are a title, a date or a caption. A page of two links and nothing else is not found.
+LIST_LINES = 3
 
 
-def terms_of(line: str) -> tuple[list[str], bool]:
-    """(the terms of a line, whether its script has no spaces): words, or pairs of letters."""
-    words = WORD.findall(line.lower())
-    if not scripts_of(line, sum(map(len, words))):
-        return words, False
-    return [pair for w in words for pair in ([w[i : i + 2] for i in range(len(w) - 1)] or [w])], True
-
-
-def periodic_lines(lines: list[str]) -> list[bool]:
-    """Whether each line is part of a short cycle of terms that goes through the lines, judged over all of them."""
-    parts = [terms_of(line) for line in lines]
-    tokens = [t for part, _ in parts for t in part]
-    n = len(tokens)
-    if n < 6:
-        return [False] * len(lines)
-    again, unevenness = recurrence(tokens)
-    if again >= RECURRING and unevenness < EVEN and sum(t in FUNCTION_WORDS for t in tokens) < FEW_FUNCTION * n:
-        return [True] * len(lines)
-    code: dict[str, int] = {}
-    ids = np.array([code.setdefault(t, len(code)) for t in tokens])
-    lags = range(1, min(DENSE_LAGS if 2 * sum(len(part) for part, dense in parts if dense) > n else LAGS, n - 2) + 1)
-    same = [ids[lag:] == ids[:-lag] for lag in lags]
-    best = sorted(range(len(same)), key=lambda k: (-np.count_nonzero(same[k]) / len(same[k]), k))[:3]
-    held = np.zeros(n)
-    for k in best:
-        either = np.zeros(n, bool)
-        either[k + 1 :] = same[k]
-        either[: n - k - 1] |= same[k]
-        held += either
-    out, at = [], 0
-    for part, _ in parts:
-        out.append(bool(part) and held[at : at + len(part)].mean() >= 3 * PERIODIC)
-        at += len(part)
-    return out
-
-
-def weighed(content: str) -> tuple[int, int, int]:
-    """(characters of keyword text, of link lists, of sentences) in a page's content."""
-    keywords = lists = prose = 0
-    run: list[int] = []
-    sentences: list[str] = []
-    for line in content.split("\n"):
-        kind = kind_of(line)
-        if kind == "short":
-            run.append(len(line.strip()))
-            continue
-        if kind == "empty":
-            continue
-        if len(run) >= LIST_LINES:
-            lists += sum(run)
-        run = []
+def weighed(content: str, furniture: list[int] | None = None, headings: list[int] | None = None) -> tuple[int, int, int]:
+    """(characters of keyword text, of lists, of sentences) in a page's content."""
+    keywords = lists = prose = entries = 0
+    for _, line, kind in judged_lines(content, furniture, headings):
         if kind == "keywords":
             keywords += len(line)
         elif kind == "prose":
-            sentences.append(line)
-    if len(run) >= LIST_LINES:
-        lists += sum(run)
-    for line, periodic in zip(sentences, periodic_lines(sentences), strict=True):
-        if periodic:
-            keywords += len(line)
-        else:
             prose += len(line)
-    return keywords, lists, prose
+        elif kind == "short":
+            entries += 1
+            lists += len(line.strip())
+    return keywords, lists if entries >= LIST_LINES else 0, prose
 
 
 def page_weights(pages: DataFrame) -> DataFrame:
     """(page_id, keyword_chars, list_chars, prose_chars) of each page with content.
 
-    Null and empty contents and null ids give no row; a page delivered twice counts once.
+    Null and empty contents and null ids give no row; of pages with one id the one
+    with the largest fields counts.
     """
-    plain = pages.select(F.col("id").alias("page_id"), "content").filter("content <> ''")
-    plain = unique_by(spread(plain), "page_id")
+    plain = with_flags(unique_by(spread(pages.select("id", "content", "html", "website_id").filter("content <> ''")), "id"))
+    plain = plain.select(F.col("id").alias("page_id"), "content", "furniture", "headings")
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            rows = [weighed(text) for text in frame["content"]]
+            rows = [weighed(*row) for row in zip(frame["content"], frame["furniture"], frame["headings"], strict=True)]
             out = pd.DataFrame(rows, columns=["keyword_chars", "list_chars", "prose_chars"], dtype="int64")
             out.insert(0, "page_id", frame["page_id"].to_numpy())
             yield out

@@ -271,7 +271,7 @@ class Templates:
         self.roles = written(role_judgement(self.marked), "roles")
 
     def lines(self) -> DataFrame:
-        """(page_id, website_id, line_no, furniture) of each non-empty line of content.
+        """(page_id, website_id, line_no, heading, furniture) of each non-empty line of content.
 
         A line without a role (its html is missing) is furniture if its text is
         template text, or if it stands in the page's tail: after its last passage,
@@ -285,16 +285,32 @@ class Templates:
         )
         judged = sized_join(judged, tails, ["page_id"], "left")
         return judged.select(
-            "page_id", "website_id", "line_no",
+            "page_id", "website_id", "line_no", "heading",
             F.when(F.col("heading") | (F.col("passage") & ~F.col("link") & ~F.col("is_template")), False)
             .when(F.col("role") == "", F.col("is_template") | F.coalesce(F.col("line_no") >= F.col("_tail"), F.lit(False))).otherwise(F.coalesce("furniture", F.lit(False))).alias("furniture"),
         )
 
+    def flags(self) -> DataFrame:
+        """(page_id, furniture, headings): the numbers of the furniture lines and headings of each page with content."""
+        marked = self.lines().filter("furniture or heading")
+        # at most the lines of a page
+        return marked.groupBy("page_id").agg(*[F.collect_list(F.when(F.col(c), F.col("line_no"))).alias(name) for c, name in (("furniture", "furniture"), ("heading", "headings"))])
+
     def equivalence_classes(self) -> DataFrame:
         """(website_id, class_id, tokens, pages, parent): the valid equivalence classes of each site's text tokens."""
         return self.classes.filter("valid").select("website_id", F.col("vector").alias("class_id"), "tokens", "pages", "parent")
 
 
+def page_flags(pages: DataFrame) -> DataFrame:
+    """(id, furniture, headings): the numbers of each page's furniture lines and headings, kept as a table."""
+    return written(Templates(pages).flags(), "page-flags").withColumnRenamed("page_id", "id")
+
+
+def with_flags(pages: DataFrame) -> DataFrame:
+    """``pages`` (with id, content, html and website_id) without html and website, with the flags of their lines."""
+    return pages.drop("html", "website_id").join(page_flags(pages), "id", "left")
+
+
 def main_bodies(pages: DataFrame, lines: DataFrame) -> DataFrame:
     """(page_id, body, lines_kept, lines_removed): each page's content without its furniture lines.
 
