@@ -50,6 +50,8 @@ PROBES = 3
 SAME_REGION = 0.9
 #: Vectors of one block of a large cell.
 BLOCK = 16_384
+#: Bytes of vectors that a task should read, besides one pair of blocks.
+TASK_BYTES = 32 << 20
 #: Width of the error bound in standard deviations.
 BOUND = 2.5
 #: Share of pairs within the bounds from which one matrix product is cheaper than pairs.
@@ -432,7 +434,11 @@ def nearest_neighbours(
         return pd.DataFrame({"page_id": page, "neighbour": other, "cosine": cosine})
 
     placed = vectors.mapInPandas(place, "cell long, first long, second long, own long, page_id long, payload binary")
-    local = placed.groupBy("cell", "first", "second").applyInPandas(search, schema)
+    # a task reads about as much at any number of vectors
+    shuffled = int((counts["placed"].to_numpy() * blocks[counts["cell"].to_numpy()]).sum()) * (2 * dimensions + 64)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(shuffled / TASK_BYTES))
+    keys = ["cell", "first", "second"]
+    local = placed.repartition(parts, *keys).groupBy(*keys).applyInPandas(search, schema)
     # at most k rows of each task a page is in: a bounded list per page
     best = local.groupBy("page_id").agg(_best(k).alias("b"))
     if copied:
