@@ -90,13 +90,55 @@ def test_running_tokens_against_plain_sum(spark):
             total += n
 
 
+def test_schedules_add_up_and_meet_their_shares():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    times = np.array([0.0, 0.2, 0.5, 1.0])
+    for shares in ([0.5, 0.3, 0.2], [0.9, 0.1, 0.0], [1.0, 0.0, 0.0]):
+        w = mixing.fitted_schedules(rng.random((3, 4)) + 0.2, times, np.array(shares))
+        assert np.allclose(w.sum(axis=0), 1) and np.allclose(np.trapezoid(w, times, axis=1), shares, atol=1e-6) and (w >= 0).all()
+
+
 def test_inverse_demand_inverts(spark):
+    import numpy as np
     from pyspark.sql import functions as F
 
-    rows = spark.range(0, 101).select((F.col("id") / 100).alias("t"), F.explode(F.array(*[F.lit(x) for x in (-0.9, -0.3, 0.0, 0.4, 1.0)])).alias("tilt"))
-    demand = (1 + F.col("tilt")) * F.col("t") - F.col("tilt") * F.col("t") * F.col("t")
-    gap = rows.select(F.max(F.abs(mixing.inverse_demand(demand, F.col("tilt")) - F.col("t"))).alias("g")).first()["g"]
-    assert gap < 1e-6
+    times = [0.0, 0.3, 0.6, 1.0]
+    for weights in ([0.2, 0.8, 0.8, 0.0], [0.0, 0.0, 1.0, 3.0], [1.0, 1.0, 1.0, 1.0], [2.0, 0.0, 0.0, 2.0]):
+        fine = np.linspace(0, 1, 20_001)
+        total = np.r_[0, np.cumsum((np.interp(fine[1:], times, weights) + np.interp(fine[:-1], times, weights)) / 2 * np.diff(fine))]
+        demand = [float(total[np.searchsorted(fine, t - 1e-9)]) for t in times]
+        lists = [F.array(*[F.lit(x) for x in part]) for part in (times, weights, demand)]
+        rows = spark.range(1, 100).select((F.col("id") / 100).alias("f")).select("f", mixing.inverse_demand(F.col("f"), *lists).alias("t")).collect()
+        assert all(abs(np.interp(r["t"], fine, total) - r["f"] * total[-1]) < 1e-6 for r in rows)
+
+
+def test_a_stated_schedule_orders_the_run(spark):
+    docs = [(i, "word " * 20, "a") for i in range(300)] + [(1000 + i, "word " * 20, "b") for i in range(300)]
+    targets = spark.createDataFrame([("m", "a", 1.0, 1), ("m", "b", 1.0, 1)], TARGETS)
+    stated = spark.createDataFrame([("m", "a", 0.0, 1.0), ("m", "a", 1.0, 0.0), ("m", "b", 0.0, 0.0), ("m", "b", 1.0, 1.0), ("m", None, 0.5, 1.0), ("m", "a", None, 1.0)], "mix_name string, source string, t double, weight double")
+    rows = mixing.mixed_sequence(spark.createDataFrame(docs, DOCS), targets, schedules=stated)[0].collect()
+    assert len(rows) == 600
+    for low, high, share in ((0.0, 0.1, 0.95), (0.45, 0.55, 0.5), (0.9, 1.0, 0.05)):
+        part = [r["source"] == "a" for r in rows if low <= r["position"] < high]
+        assert abs(len(part) / 600 - 0.1) < 0.01  # the position is the share of the run that is done
+        assert abs(sum(part) / len(part) - share) < 0.03
+
+
+def test_a_stated_size(spark):
+    import numpy as np
+
+    docs = [(i, "word " * 20, "a") for i in range(100)] + [(1000 + i, "word " * 20, "b") for i in range(100)]
+    targets = spark.createDataFrame([("m", "a", 3.0, 1), ("m", "b", 1.0, 2), ("n", "a", 1.0, 1)], TARGETS)
+    frame = spark.createDataFrame(docs, DOCS)
+    half = mixing.mixed_sequence(frame, targets, total_tokens=400)
+    used = {(r["mix_name"], r["source"]): r["tokens_used"] for r in mixing.shares_reached(*half).collect()}
+    assert abs(used["m", "a"] - 300) <= 21 and abs(used["m", "b"] - 100) <= 21 and abs(used["n", "a"] - 400) <= 21
+    more = mixing.mixed_sequence(frame, targets, total_tokens={"m": 10**9})
+    used = {(r["mix_name"], r["source"]): (r["repeats_used"], r["tokens_used"] == r["tokens_there"] * r["max_repeats"]) for r in mixing.shares_reached(*more).collect()}
+    assert used == {("m", "a"): (1, True), ("m", "b"): (2, True), ("n", "a"): (1, True)}
+    assert mixing.wanted_tokens(np.array([0.5, 0.5]), np.array([10.0, 100.0]), 60).tolist() == [10.0, 50.0]
 
 
 def test_mix_dirty(spark):
