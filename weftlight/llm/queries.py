@@ -48,8 +48,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_blocks(spark: SparkSession, d: str) -> DataFrame:
-    _, blocks = repeated_lines.stored_lines_and_blocks(table(spark, d, "pages"))
-    return blocks.groupBy("website_id", "block").agg(F.count("*").alias("lines"), F.max("pages").alias("pages"))
+    """The blocks of each site: their lines, the pages of the most frequent one, and where the block stands first."""
+    lines, blocks = repeated_lines.stored_lines_and_blocks(table(spark, d, "pages"))
+    first = repeated_lines.repeated_occurrences(lines, blocks).groupBy("website_id", "block").agg(F.min(F.struct("page_id", "line_no")).alias("f"))
+    sizes = blocks.groupBy("website_id", "block").agg(F.count("*").cast("int").alias("lines"), F.max("pages").alias("pages"))
+    return sizes.join(first, ["website_id", "block"]).select("website_id", "lines", "pages", F.col("f.page_id").alias("first_page"), F.col("f.line_no").alias("first_line"))
 
 
 def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
@@ -130,6 +133,32 @@ ORACLES: dict[str, str] = {
 WITH {_LINES},
 often AS (SELECT website_id, k FROM lines WHERE k <> '' GROUP BY 1, 2 HAVING count(DISTINCT page_id) >= 8)
 SELECT page_id, line_no FROM lines JOIN often USING (website_id, k)""",
+    "p4_blocks": f"""
+WITH RECURSIVE {_LINES},
+often AS (SELECT website_id, k, count(DISTINCT page_id) AS pages FROM lines WHERE k <> '' GROUP BY 1, 2 HAVING count(DISTINCT page_id) >= 8),
+seq AS (SELECT website_id, page_id, k AS a, lead(k) OVER (PARTITION BY page_id ORDER BY line_no) AS b FROM lines WHERE k <> ''),
+edge AS (SELECT website_id, a, b FROM seq WHERE a <> b GROUP BY 1, 2, 3 HAVING count(DISTINCT page_id) >= 8),
+both_ AS (SELECT website_id, a, b FROM edge UNION SELECT website_id, b, a FROM edge),
+reach AS (SELECT website_id, k, k AS root FROM often UNION SELECT r.website_id, e.b, r.root FROM reach r JOIN both_ e ON e.website_id = r.website_id AND e.a = r.k),
+comp AS (SELECT website_id, k, min(root) AS root FROM reach GROUP BY 1, 2),
+size AS (SELECT website_id, root, count(*)::INT AS lines, max(pages) AS pages FROM comp JOIN often USING (website_id, k) GROUP BY 1, 2),
+first_ AS (SELECT website_id, root, min({{'p': page_id, 'l': line_no}}) AS f FROM lines JOIN comp USING (website_id, k) GROUP BY 1, 2)
+SELECT website_id, lines, pages, f.p AS first_page, f.l AS first_line FROM size JOIN first_ USING (website_id, root)""",
+    "p4_cleaned": f"""
+WITH {_LINES},
+often AS (SELECT website_id, k FROM lines WHERE k <> '' GROUP BY 1, 2 HAVING count(DISTINCT page_id) >= 8),
+marked AS (SELECT id AS page_id, (i - 1)::INT AS line_no, l[i] AS line FROM (SELECT id, string_split(content, chr(10)) AS l FROM pages WHERE content IS NOT NULL), unnest(range(1, len(l) + 1)) t(i)),
+gone AS (SELECT page_id, line_no FROM lines JOIN often USING (website_id, k)),
+kept AS (SELECT page_id, string_agg(line, chr(10) ORDER BY line_no) FILTER (g.page_id IS NULL) AS c, count(g.page_id)::INT AS n
+  FROM marked LEFT JOIN gone g USING (page_id, line_no) GROUP BY 1)
+SELECT id AS page_id, CASE WHEN content IS NOT NULL THEN coalesce(c, '') END AS content, coalesce(n, 0) AS lines_removed FROM pages LEFT JOIN kept ON page_id = id""",
+    "p5_scores": """
+WITH p AS (SELECT page_id, word_id, max(tf) AS tf FROM inverted_index WHERE tf > 0 GROUP BY 1, 2),
+one AS (SELECT page_id, min(tf) AS one FROM p GROUP BY 1), n AS (SELECT count(DISTINCT page_id)::DOUBLE AS n FROM p),
+w AS (SELECT word_id, count(*) AS df, sum(round(tf / one)) AS cf FROM p JOIN one USING (page_id) GROUP BY 1),
+s AS (SELECT word_id, df, ln(n / df) AS observed, -ln(1 - exp(-cf / n)) AS expected FROM w, n)
+SELECT page_id, word_id, df, round(tf, 9) AS tf, round(observed, 9) AS observed, round(expected, 9) AS expected, round(observed - expected, 9) AS residual,
+  round(tf * (observed - expected), 9) AS score FROM p JOIN s USING (word_id)""",
     "p5_found": """
 WITH p AS (SELECT page_id, word_id, max(tf) AS tf FROM inverted_index WHERE tf > 0 GROUP BY 1, 2),
 n AS (SELECT count(DISTINCT page_id) AS n FROM p),
