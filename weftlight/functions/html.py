@@ -7,7 +7,10 @@ fields at once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import cache
+from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
@@ -15,25 +18,94 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from weftlight.functions import url as U
-from weftlight.functions.text import clean_text
+from weftlight.functions.text import bound, clean_text
 
 #: Elements whose text is not content; scripts first, since they may hold anything.
 NOT_CONTENT = ("script", "style", "noscript", "header", "footer", "nav")
-# The named entities that the expressions decode, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 UNTITLED, DEFAULT_LANGUAGE, LANGUAGE_LENGTH = "Untitled", "en", 10
-
-
-def decoded(text: Column) -> Column:
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+#: An entity after its ampersand, as HTML reads it: a number in either base or a name.
+_ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*)(;?)"
+#: A tag's attributes may hold ">" between quotation marks.
+_INSIDE = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
+
+
+@cache
+def _names() -> str:
+    """All named entities, by their first letter, as JSON; those that need no semicolon stand without one."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, text in html5.items():
+        by_letter.setdefault(name[0], {})[name] = text
+    return json.dumps(by_letter)
+
+
+@cache
+def _old_names() -> str:
+    """The names that need no semicolon, as alternatives, the longest first."""
+    return "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
+def _character(code: Column) -> Column:
+    """The character of a number; windows-1252 where the standard says so, a replacement character for none."""
+    windows = {c: bytes([c]).decode("cp1252") for c in range(128, 160) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+    remapped = F.from_json(F.lit(json.dumps({str(c): t for c, t in windows.items()})), "map<string,string>")
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    invalid = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    return F.when(invalid, "\ufffd").when(code.between(128, 159), F.coalesce(F.try_element_at(remapped, code.cast("string")), plain)).otherwise(plain)
+
+
+def decoded(text: Column, attribute: bool = False) -> Column:
+    """``text`` with its entities, named and numeric, as characters.
+
+    Names of old may lack their semicolon; in an ``attribute`` only where no
+    letter, digit or "=" follows, so that addresses with parameters stay whole.
+    """
+    names = F.from_json(F.lit(_names()), "map<string,map<string,string>>")
+    old = rf"^({_old_names()})" + (r"(?![A-Za-z0-9=])" if attribute else "")
+
+    def named(name: Column) -> Column:
+        return F.try_element_at(F.try_element_at(names, name.substr(1, 1)), name)
+
+    def piece(p: Column) -> Column:
+        entity, end = F.regexp_extract(p, _ENTITY, 1), F.regexp_extract(p, _ENTITY, 2)
+        number = F.when(entity.rlike("^#[xX]"), F.conv(F.substring(entity, 3, 6), 16, 10)).otherwise(F.substring(entity, 2, 7)).cast("int")
+        legacy = F.regexp_extract(p, old, 1)
+        after = p.substr(F.length(entity) + F.length(end) + 1, F.length(p))
+        whole = named(F.concat(entity, F.lit(";")))
+        return (
+            F.when(entity == "", F.concat(F.lit("&"), p))
+            .when(entity.startswith("#"), F.concat(_character(number), after))
+            .when((end == ";") & whole.isNotNull(), F.concat(whole, after))
+            .when(legacy != "", F.concat(named(legacy), p.substr(F.length(legacy) + 1, F.length(p))))
+            .otherwise(F.concat(F.lit("&"), p))
+        )
+
+    pieces = F.split(text, "&", -1)
+    all_of = F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), piece), ""))
+    return F.when(text.contains("&"), all_of).otherwise(text)
 
 
 def _all(html: Column, pattern: str) -> Column:
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
 
 
+def tags(html: Column, name: str) -> Column:
+    """The opening tags of an element."""
+    return _all(bare(html), rf"(?is)(<{name}\b{_INSIDE}>)")
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute in quotation marks of either kind or bare, decoded; null where it is missing."""
+    between = r"""(?:[\s/]++|(?<=["']))"""
+    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]*+)"""
+    # the attributes before the wanted one are passed over whole, whatever their values hold
+    pattern = rf"""(?is)^<[a-z][a-z0-9]*+(?:{between}(?!{name}\s*=)[^\s=>/"']++(?:\s*+=\s*+{value})?+)*+{between}{name}\s*(=\s*{value})"""
+
+    def bare_value(found: Column) -> Column:
+        return F.when(found != "", decoded(F.regexp_extract(found, r"""(?s)^=\s*(["']?)(.*?)\1$""", 2), attribute=True))
+
+    return bound(F.regexp_extract(tag, pattern, 1), bare_value)
+
+
 def bare(html: Column) -> Column:
     """Without scripts, styles and comments."""
     return F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)", " ")
@@ -50,10 +122,9 @@ def language(html: Column) -> Column:
 
 
 def meta(html: Column, name: str) -> Column:
-    """The content of the first meta element of a name, in either order of its attributes."""
-    forward = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*?\bname\s*=\s*["']?{name}["'\s][^>]*?\bcontent\s*=\s*"([^"]*)\"""", 1)
-    backward = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*?\bcontent\s*=\s*"([^"]*)"[^>]*?\bname\s*=\s*["']?{name}["'\s>]""", 1)
-    return F.trim(decoded(F.when(forward != "", forward).otherwise(backward)))
+    """The content of the first meta element of a name; "" where there is none."""
+    named = F.filter(tags(html, "meta"), lambda t: F.lower(F.trim(attribute(t, "name"))) == name)
+    return F.trim(F.coalesce(attribute(F.try_element_at(named, F.lit(1)), "content"), F.lit("")))
 
 
 def description(html: Column) -> Column:
@@ -65,12 +136,16 @@ def keywords(html: Column) -> Column:
 
 
 def headings(html: Column) -> Column:
-    inner = _all(bare(html), r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]\s*>")
-    return F.filter(F.transform(inner, lambda h: clean_text(decoded(F.regexp_replace(h, r"<[^>]*>", "")))), lambda h: h != "")
+    inner = _all(bare(html), rf"(?is)<h[1-3]\b{_INSIDE}>(.*?)</h[1-3]\s*>")
+    return F.filter(F.transform(inner, lambda h: clean_text(decoded(F.regexp_replace(h, rf"<{_INSIDE}>", "")))), lambda h: h != "")
+
+
+def _values(html: Column, element: str, name: str) -> Column:
+    return F.filter(F.transform(tags(html, element), lambda t: attribute(t, name)), lambda v: v.isNotNull())
 
 
 def hrefs(html: Column) -> Column:
-    return F.transform(_all(bare(html), r"""(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)\""""), decoded)
+    return _values(html, "a", "href")
 
 
 def links(html: Column, base: Column) -> Column:
@@ -81,17 +156,16 @@ def links(html: Column, base: Column) -> Column:
 
 
 def images(html: Column, base: Column) -> Column:
-    sources = F.transform(_all(bare(html), r"""(?is)<img\b[^>]*?\bsrc\s*=\s*"([^"]*)\""""), decoded)
-    return F.array_sort(F.array_distinct(F.filter(F.transform(sources, lambda s: U.resolve(base, s)), U.is_web)))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(_values(html, "img", "src"), lambda s: U.resolve(base, s)), U.is_web)))
 
 
 def content(html: Column) -> Column:
     """The text of a page, its title first; elements that are not content are left out."""
     text = html
     for element in NOT_CONTENT:
-        text = F.regexp_replace(text, rf"(?is)<{element}\b[^>]*>.*?(?:</{element}\s*>|\z)", " ")
+        text = F.regexp_replace(text, rf"(?is)<{element}\b{_INSIDE}>.*?(?:</{element}\s*>|\z)", " ")
     text = F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*(?:>|\z)", " ")
+    text = F.regexp_replace(text, rf"(?s)</?[A-Za-z!?]{_INSIDE}(?:>|\z|[\"'][^>]*(?:>|\z))", " ")
     return clean_text(decoded(text))
 
 
@@ -195,5 +269,3 @@ def parse_html(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Da
     for html, base in batches:
         rows = [parsed(h, b) or dict.fromkeys(names) for h, b in zip(html, base, strict=True)]
         yield pd.DataFrame(rows, columns=names)
-
-
