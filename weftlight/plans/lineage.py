@@ -6,6 +6,7 @@ that is unset (tests, local runs) a local folder is made.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -42,17 +43,45 @@ def written(df: DataFrame, label: str) -> DataFrame:
     column, so it is the better cut where a wide table is read twice.
     """
     spark = df.sparkSession
-    path = f"{_tables_of(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = _tables_of(spark)
+    if folder not in _to_drop:
+        _to_drop.add(folder)
+        atexit.register(_drop_at_exit, spark, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_to_drop: set[str] = set()
+_dropped: dict[str, int] = {}
+
+
+def generation(spark: SparkSession) -> tuple[str, int]:
+    """Changes when the tables of an application are dropped: what was kept of them is gone then."""
+    folder = _tables_of(spark)
+    return folder, _dropped.get(folder, 0)
+
+
 def _tables_of(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+def _drop_at_exit(spark: SparkSession, folder: str) -> None:
+    """The tables of an application go when its driver ends; the results that read them are gone then."""
+    try:
+        _delete(spark, folder)
+    except Exception:  # the JVM may have gone before
+        pass
+
+
 def drop_written(spark: SparkSession) -> None:
     """Removes the tables that ``written`` made in this application, once their readers are done."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_tables_of(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    folder = _tables_of(spark)
+    _dropped[folder] = _dropped.get(folder, 0) + 1
+    _delete(spark, folder)

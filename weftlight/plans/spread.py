@@ -13,4 +13,4 @@ def spread(scan: DataFrame) -> DataFrame:
     are dealt out evenly; a larger table has more splits and is left alone, without a shuffle.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
