@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# The vocabulary and the sentence forms of the mock corpus.
+#: Nouns, and sentence forms with two places for them.
 WORDS = """
-python asyncio redis postgres fastapi docker compose sql database indexing concurrency benchmark performance search pagerank algorithm
-vector embedding model inference latency throughput cache server client request response cluster distributed worker thread coroutine
-event loop schema inverted index crawler robots delay politeness parse beautifulsoup lxml html css javascript network socket port
+anchor basin beacon bellows bridge canal candle canvas carriage cellar chimney cistern clock compass copper cradle crane ditch dock
+engine fence flint forge furnace gallery gate granary hammer harvest hinge kiln ladder lantern lock loom meadow mill mortar oven
+paddle pasture pier plough pulley quarry raft rudder saddle sluice stable
 """.split()
 SENTENCES = (
-    "The %s library provides high-performance %s operations.",
-    "Using %s with %s reduces overall search latency.",
-    "This %s model generates semantic vector %s structures.",
-    "Our distributed %s worker pool coordinates via %s.",
-    "We can benchmark %s throughput to optimize %s usage.",
-    "The %s inverted index maps tokens to their %s occurrences.",
-    "Enforcing %s politeness prevents %s server crashes.",
-    "PageRank evaluates the significance of %s based on %s inbound edges.",
+    "Nobody repairs a %s before the %s has dried.",
+    "In the third year the %s was traded for a smaller %s.",
+    "A good %s lasts longer than any %s in the valley.",
+    "We keep one %s in the shed and lend the %s to neighbours.",
+    "The oldest record mentions a %s, a rope and half a %s.",
+    "Rain fills the %s first and reaches the %s by noon.",
+    "Every child there learns to draw a %s and to count a %s.",
+    "What the %s cannot hold is left beside the %s.",
 )
 ROBOTS = "User-agent: *\nDisallow:\nCrawl-delay: 0\n"
 
@@ -38,7 +38,8 @@ def mock_pages(spark: SparkSession, pages: int = 2000, seed: int = 7) -> DataFra
     def sentence(p: Column, j: Column) -> Column:
         first = _draw(seed + 1, len(WORDS), F.col("page_no"), p, j)
         second = F.pmod(first + 1 + _draw(seed + 2, len(WORDS) - 1, F.col("page_no"), p, j), F.lit(len(WORDS)))
-        return F.format_string("%s", F.replace(F.replace(F.replace(forms[_draw(seed + 3, len(SENTENCES), F.col("page_no"), p, j)], F.lit("%s"), F.lit("\u0001")), F.lit("\u0001 "), F.concat(vocabulary[first], F.lit(" "))), F.lit("\u0001"), vocabulary[second]))
+        parts = F.split(forms[_draw(seed + 3, len(SENTENCES), F.col("page_no"), p, j)], "%s")
+        return F.concat(parts[0], vocabulary[first], parts[1], vocabulary[second], parts[2])
 
     def paragraph(p: Column) -> Column:
         count = 4 + _draw(seed + 4, 7, F.col("page_no"), p)
@@ -47,12 +48,12 @@ def mock_pages(spark: SparkSession, pages: int = 2000, seed: int = 7) -> DataFra
     body = F.array_join(F.transform(F.sequence(F.lit(1), 3 + _draw(seed + 5, 6, F.col("page_no"))), paragraph), "")
     drawn = F.transform(F.sequence(F.lit(1), 5 + _draw(seed + 6, 16, F.col("page_no"))), lambda j: _draw(seed + 7, pages, F.col("page_no"), j))
     targets = F.filter(F.array_distinct(drawn), lambda t: t != F.col("page_no"))
-    items = F.array_join(F.transform(targets, lambda t: F.format_string('<li><a href="page_%s.html">Link to Page %s</a></li>', t, t)), "")
+    items = F.array_join(F.transform(targets, lambda t: F.format_string('<li><a href="page_%s.html">Leaf %s</a></li>', t, t)), "")
     html = F.concat(
-        F.lit("<!DOCTYPE html>\n<html>\n<head>\n<title>Mock Web Corpus - Page "), F.col("page_no"), F.lit('</title>\n<meta name="description" content="A synthetic test page about '),
-        word(F.col("page_no"), F.lit(1)), F.lit(" and "), word(F.col("page_no"), F.lit(2)), F.lit('.">\n<meta name="keywords" content="'), word(F.col("page_no"), F.lit(3)),
-        F.lit(", "), word(F.col("page_no"), F.lit(4)), F.lit(', test, corpus">\n</head>\n<body>\n<h1>Synthetic Technical Document - Page '), F.col("page_no"), F.lit("</h1>\n<div>"),
-        body, F.lit("</div>\n<h3>Outgoing Hyperlinks:</h3>\n<ul>"), items, F.lit("</ul>\n</body>\n</html>\n"),
+        F.lit("<!DOCTYPE html>\n<html>\n<head>\n<title>Almanac leaf "), F.col("page_no"), F.lit('</title>\n<meta name="description" content="Notes on the '),
+        word(F.col("page_no"), F.lit(1)), F.lit(" and the "), word(F.col("page_no"), F.lit(2)), F.lit('.">\n<meta name="keywords" content="'), word(F.col("page_no"), F.lit(3)),
+        F.lit(", "), word(F.col("page_no"), F.lit(4)), F.lit(', leaf, almanac">\n</head>\n<body>\n<h1>Leaf '), F.col("page_no"), F.lit("</h1>\n<div>"),
+        body, F.lit("</div>\n<h3>Other leaves</h3>\n<ul>"), items, F.lit("</ul>\n</body>\n</html>\n"),
     )
     numbers = spark.range(pages).select(F.col("id").cast("int").alias("page_no"))
     return numbers.select("page_no", F.format_string("http://mock.test/page_%s.html", F.col("page_no")).alias("url"), html.alias("html"))
