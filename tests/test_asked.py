@@ -1,33 +1,10 @@
 """Searches in which every row whose id is divisible by 20 asks."""
 
 import numpy as np
-import pytest
-from comparing import connection, rows_of
+from comparing import connection
 
 from weftlight.operators import rank
 from weftlight.plans.catalogue import QUERIES
-from weftlight.plans.oracles import VECTORS_CTE, postings_cte
-
-TOP = "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {by} DESC, {id}) AS r FROM s) WHERE r <= {k}"
-SQL = {
-    "cosine_topk_asked": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) "
-    + TOP.format(by="similarity", id="id", k=20),
-    "vector_cosine_asked": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) "
-    + TOP.format(by="cosine", id="id", k=20),
-    "page_similarity_asked": f"WITH {VECTORS_CTE}, s AS (SELECT q.page_id AS query_id, p.page_id, round(list_dot_product(p.v, q.v), 8) AS similarity FROM pv p, pv q WHERE q.page_id % 20 = 0) "
-    + TOP.format(by="similarity", id="page_id", k=20),
-    "tfidf_topk_asked": f"WITH {postings_cte('documents', 'doc_id', 'text')}, w AS (SELECT word, ln(1 + (SELECT count(*) FROM documents) / (1.0 + count(*))) AS idf FROM post GROUP BY 1), "
-    "s AS (SELECT q.page_id AS query_id, p.page_id, round(sum(p.tf * idf), 12) AS raw FROM post q JOIN post p USING (word) JOIN w USING (word) WHERE q.page_id % 20 = 0 GROUP BY 1, 2) "
-    + TOP.format(by="raw", id="page_id", k=50),
-}
-
-
-@pytest.mark.parametrize("name", sorted(SQL))
-def test_every_asking_row_is_answered(spark, small, name):
-    ours, theirs = QUERIES[name](spark, small), connection(small).execute(SQL[name]).df()
-    assert sorted(ours.columns) == sorted(theirs.columns)
-    assert rows_of(ours.toPandas(), sorted(ours.columns)) == rows_of(theirs, sorted(ours.columns))
-
 
 def test_blended_search_of_every_asking_page(spark, small):
     found = QUERIES["search_blended_asked"](spark, small).toPandas()

@@ -78,9 +78,9 @@ def test_crawl_round(spark):
 
 
 def test_task_json(spark):
-    tasks = spark.createDataFrame([("u", 1, 2)], "url string, depth int, priority int")
-    assert [tuple(r) for r in Fr.from_task_json(Fr.task_json(tasks)).collect()] == [("u", 1, 2)]
-    assert Fr.from_task_json(spark.createDataFrame([("{broken",)], "task string")).first()["url"] is None
+    tasks = spark.createDataFrame([(7, "u", 1, 2)], "id long, url string, depth int, priority int")
+    assert [tuple(r) for r in Fr.from_task_json(Fr.task_json(tasks)).collect()] == [(7, "u", 1, 2)]
+    assert tuple(Fr.from_task_json(spark.createDataFrame([(8, "{broken")], "id long, task string")).first()) == (8, None, None, None)
 
 
 def test_robots(spark):
@@ -209,6 +209,45 @@ def test_web_source_fetches_from_a_local_server(spark, tmp_path):
     assert got[root + "/known"]["status_code"] == 304 and got["http://127.0.0.1:1/"]["error"]
 
 
+def test_web_source_says_when_there_are_no_addresses(spark, tmp_path):
+    fetching.register(spark)
+    with pytest.raises(Exception, match="no parquet file of addresses"):
+        spark.read.format("web_pages").option("urls_path", str(tmp_path / "none")).load().count()
+
+
+def test_politeness_and_robots_of_the_source(monkeypatch):
+    now, asked = [0.0], []
+
+    def fetch(url, etag=None, last_modified=None, timeout=0):
+        asked.append((now[0], url))
+        body = "User-agent: *\nDisallow: /no\nCrawl-delay: 3" if url == "http://a/robots.txt" else "<p>"
+        return url, 404 if url == "http://b/robots.txt" else 200, None, None, None, body, None
+
+    monkeypatch.setattr(fetching, "fetch", fetch)
+    polite = fetching.Polite(0.5, True, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    rows = [polite.get(u, None, None) for u in ("http://a/1", "http://a/no/x", "http://a/2", "http://b/1", "http://b/2", "http://[x")]
+    assert [r[6] for r in rows] == [None, "forbidden by robots.txt", None, None, None, None]
+    assert [(t, u) for t, u in asked if "robots" not in u] == [(0.0, "http://a/1"), (3.0, "http://a/2"), (3.0, "http://b/1"), (3.5, "http://b/2"), (3.5, "http://[x")]
+
+
+def test_polite_stream_orders_a_batch_and_drops_idle_domains(spark, tmp_path):
+    """Rows of a batch in several files and out of order; a batch far later finds no state."""
+    start = datetime(2025, 1, 1)
+    first = [("d", f"u{i}", start.replace(second=(7 * i) % 10), 2.0) for i in range(10)] + [(None, "x", start, 1.0)]
+    schema = "domain string, url string, ts timestamp, delay double"
+    spark.createDataFrame(first, schema).repartition(5).write.parquet(str(tmp_path / "in"))
+    stream = streams.polite(streams.folder_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema), late="1 second", idle_s=60.0)
+    streams.drained(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sorted((r["fetch_at"], r["url"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert [u for _, u in got] == [u for _, u, _, _ in sorted(first[:10], key=lambda r: r[2])]
+    assert [(b[0] - a[0]).total_seconds() for a, b in zip(got, got[1:], strict=False)] == [2.0] * 9
+    for day in (2, 3):
+        spark.createDataFrame([("e", f"v{day}", datetime(2025, 1, day), 2.0)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.drained(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    state = spark.read.format("statestore").load(str(tmp_path / "cp")).selectExpr("key.domain as d").collect()
+    assert [r["d"] for r in state] == ["e"]
+
+
 def test_polite_stream_keeps_distance(spark, tmp_path):
     t = datetime(2025, 1, 1)
     rows = [("d", f"u{i}", t, 2.0) for i in range(4)] + [("e", "v", t, 0.0)]

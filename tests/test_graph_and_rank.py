@@ -44,6 +44,31 @@ def test_empty_graph_and_convergence(spark):
     assert done["converged"] and done["iterations"] == 1 and done["link_edges"] == 5 and done["pages_computed"] == 5
 
 
+def test_a_chain_of_fifty_does_not_converge_in_fifty_rounds(spark):
+    nodes, edges = list(range(50)), [(i, i + 1) for i in range(49)]
+    found = graph.pagerank(*frames(spark, nodes, edges))
+    assert found.iterations == graph.MAX_ITERATIONS == 50 and not found.converged
+    want = plain(nodes, edges, 50)
+    got = {r["id"]: r["pagerank"] for r in found.normalised().collect()}
+    assert all(abs(got[n] - want[n] / max(want.values())) < 1e-8 for n in nodes) and got[49] == 1.0
+    before = plain(nodes, edges, 49)
+    assert 1e-6 < sum(abs(want[n] - before[n]) for n in nodes) < 1e-4
+
+
+def test_iso_times(spark):
+    from pyspark.sql import functions as F
+
+    times = [(None,), ("2024-03-01 05:06:07",), ("2024-03-01 05:06:07.000120",)]
+    got = [r["t"] for r in spark.createDataFrame(times, "s string").select(rank.iso(F.col("s").cast("timestamp")).alias("t")).collect()]
+    assert got == [None, "2024-03-01T05:06:07", "2024-03-01T05:06:07.000120"]
+
+
+def test_many_query_words_take_the_other_way(spark, monkeypatch):
+    whole = searched(spark, [(1, "crawling crawls web"), (2, "other")], INDEX, PAGES)
+    monkeypatch.setattr(rank, "PUSHED_WORDS", 1)
+    assert searched(spark, [(1, "crawling crawls web"), (2, "other")], INDEX, PAGES) == whole
+
+
 def test_edges(spark):
     links = spark.createDataFrame([(1, 1, 2), (2, 1, 2), (3, 2, 2), (4, 1, 9), (5, None, 1), (6, 2, 1)], "id long, source_page long, destination_page long")
     pages = spark.createDataFrame([(1,), (2,)], "id long")

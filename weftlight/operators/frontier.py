@@ -180,10 +180,10 @@ def active_workers(pings: DataFrame, now: Column, ttl: int = HEARTBEAT_TTL) -> D
 
 
 def task_json(tasks: DataFrame) -> DataFrame:
-    """(task): a task as the JSON text that a queue carries."""
-    return tasks.select(F.to_json(F.struct("url", "depth", "priority")).alias("task"))
+    """(id, task): tasks as the JSON texts that a queue carries."""
+    return tasks.select("id", F.to_json(F.struct("url", "depth", "priority")).alias("task"))
 
 
 def from_task_json(texts: DataFrame) -> DataFrame:
-    """(url, depth, priority) from JSON texts; malformed ones give nulls."""
-    return texts.select(F.from_json("task", "url string, depth int, priority int").alias("t")).select("t.*")
+    """(id, url, depth, priority) from JSON texts; malformed ones give nulls."""
+    return texts.select("id", F.from_json("task", "url string, depth int, priority int").alias("t")).select("id", "t.*")

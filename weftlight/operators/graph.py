@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from weftlight.functions import html, url as U
+from weftlight.plans.joins import sized_join
 from weftlight.plans.lineage import written
 from weftlight.plans.spread import spread
 
@@ -15,9 +16,12 @@ DAMPING, MAX_ITERATIONS, TOLERANCE = 0.85, 50, 1e-6
 
 
 def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The edges whose two ends are nodes."""
-    ids = nodes.select("id")
-    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+    """The edges whose two ends are nodes; a node with a large part of all edges is met by many tasks."""
+    ids = nodes.select("id").filter("id is not null")
+    count = ids.count()
+    for end in ("src", "dst"):
+        edges = sized_join(edges, ids.withColumnRenamed("id", end), [end], "left_semi", right_rows=count)
+    return edges.select("src", "dst")
 
 
 def link_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -38,7 +42,7 @@ def resolved_edges(pages: DataFrame, as_of_crawl: bool = False) -> DataFrame:
     keeps only links to pages that were stored before.
     """
     known = pages.groupBy(U.without_fragment(F.col("url")).alias("target")).agg(F.min("id").alias("dst"))
-    found = extracted_links(pages).join(known, "target").filter("src <> dst").select("src", "dst").distinct()
+    found = sized_join(extracted_links(pages), known, ["target"]).filter("src <> dst").select("src", "dst").distinct()
     return found.filter("dst < src") if as_of_crawl else found
 
 

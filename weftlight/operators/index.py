@@ -25,6 +25,11 @@ def postings(pages: DataFrame, id_col: str = "id", text_col: str = "content") ->
     return counted.select("page_id", "word", "n", (F.col("n") / F.col("total")).alias("tf"))
 
 
+def by_word(index: DataFrame) -> DataFrame:
+    """The postings in ranges of words, sorted; a word with a large part of all postings is spread over several."""
+    return index.repartitionByRange("word", "page_id").sortWithinPartitions("word", "page_id")
+
+
 def document_frequency(index: DataFrame) -> DataFrame:
     """(word, df)."""
     return index.groupBy("word").agg(F.count("*").alias("df"))

@@ -17,6 +17,8 @@ from weftlight.plans.lineage import written
 CANDIDATES, RESULTS, UNRANKED = 50, 20, 0.15
 #: Weights with and without a query vector: TF-IDF, PageRank, similarity.
 WITH_VECTOR, WITHOUT_VECTOR = (0.5, 0.3, 0.2), (0.7, 0.3, 0.0)
+#: Distinct words of queries up to which they are looked up in the index by name.
+PUSHED_WORDS = 1000
 #: Vectors of one side of a matrix product, and the queries of one step of it.
 BLOCK, STEP = 4096, 512
 
@@ -32,9 +34,12 @@ def candidates(terms: DataFrame, index: DataFrame, page_count: int, k: int = CAN
     Only postings of query words go on; a word's frequency is counted after that.
     Sums are rounded to twelve decimals before ranking, ties go to the smaller id.
     """
+    words = terms.select("word").distinct().limit(PUSHED_WORDS + 1).collect()
     size = terms.count()  # what is joined below is at most as large
-    words = terms.select("word").distinct()
-    hits = sized_join(index.select("page_id", "word", "tf"), words, ["word"], "left_semi", right_rows=size)
+    if len(words) <= PUSHED_WORDS:  # few words reach the scan: an index sorted by word is read in part
+        hits = index.select("page_id", "word", "tf").filter(F.col("word").isin([r["word"] for r in words]))
+    else:
+        hits = sized_join(index.select("page_id", "word", "tf"), terms.select("word").distinct(), ["word"], "left_semi", right_rows=size)
     weights = with_idf(hits.groupBy("word").agg(F.count("*").alias("df")), page_count).select("word", "idf")
     asked = terms.join(weights, "word")
     # a page's postings in one place: its sums for all queries, and the k best there, need no further shuffle
@@ -44,6 +49,12 @@ def candidates(terms: DataFrame, index: DataFrame, page_count: int, k: int = CAN
     return scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 
 
+def iso(time: Column) -> Column:
+    """A time as ISO 8601 text, with microseconds where there are any."""
+    rest = F.pmod(F.unix_micros(time), F.lit(1_000_000))
+    return F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), F.when(rest != 0, F.concat(F.lit("."), F.lpad(rest.cast("string"), 6, "0"))).otherwise(""))
+
+
 def search(
     queries: DataFrame, index: DataFrame, pages: DataFrame, *, page_count: int | None = None, query_vectors: DataFrame | None = None,
     page_vectors: DataFrame | None = None, limit: int = RESULTS, with_snippets: bool = True,
@@ -82,7 +93,7 @@ def search(
     top = rows.withColumn("position", F.row_number().over(order).cast("long")).filter(F.col("position") <= limit)
     out = top.select(
         "query_id", "position", "page_id", "url", F.when(F.coalesce("title", F.lit("")) == "", "Untitled").otherwise(F.col("title")).alias("title"), "score",
-        F.when(F.coalesce("language", F.lit("")) == "", "en").otherwise(F.col("language")).alias("language"), "crawl_time",
+        F.when(F.coalesce("language", F.lit("")) == "", "en").otherwise(F.col("language")).alias("language"), iso(F.col("crawl_time")).alias("crawl_time"),
         F.bround("tfidf", 4).alias("tfidf"), F.bround("rank", 4).alias("pagerank"), F.bround("semantic", 4).alias("semantic"), "content",
     )
     if not with_snippets:

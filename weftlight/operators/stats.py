@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+#: Ranges of values in which ranks are counted.
+RANGES = 64
+
+
 def corpus_counts(pages: DataFrame, websites: DataFrame, words: DataFrame, links: DataFrame, history: DataFrame) -> DataFrame:
     """One row of counts, and links per page rounded to two digits."""
     parts = {"pages": pages, "websites": websites, "words": words, "links": links, "searches": history}
@@ -53,11 +57,12 @@ def latency(events: DataFrame, value: str) -> DataFrame:
 
     Percentiles are the element int(n p) of the sorted values. Their ranks are
     found without one global sort: values are counted, and the counts of equal
-    values are summed over ranges.
+    values are summed over ranges of about as many different values.
     """
     values = events.select(F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
     counts = values.groupBy("v").agg(F.count("*").alias("n"))
-    ranged = counts.withColumn("_b", F.floor(F.log1p(F.abs("v")) * 64) * F.when(F.col("v") < 0, -1).otherwise(1))
+    bounds = counts.agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)])).first()[0] or []
+    ranged = counts.withColumn("_b", F.size(F.filter(F.array(*[F.lit(x) for x in bounds]).cast("array<double>"), lambda x: x <= F.col("v"))))
     blocks = ranged.groupBy("_b").agg(F.sum("n").alias("bn"))  # a bounded number of ranges
     before = blocks.select("_b", F.coalesce(F.sum("bn").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     upto = ranged.join(F.broadcast(before), "_b").withColumn("_c", F.col("_before") + F.sum("n").over(Window.partitionBy("_b").orderBy("v")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -10,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from weftlight.functions import html, url as U, vector
 from weftlight.functions.text import stem, tokens
 from weftlight.operators import frontier, graph, index, rank, stats
-from weftlight.plans.lineage import shared_folder, written
+from weftlight.plans.lineage import generation, shared_folder, written
 from weftlight.plans.oracles import ORACLES
 from weftlight.plans.spread import spread
-from weftlight.sources import corpus, robots, storage
+from weftlight.sources import corpus, robots, sinks, storage
 from weftlight.sources.tables import table
 from weftlight.streaming import streams
 
@@ -47,6 +48,31 @@ def _page_index(spark: SparkSession, d: str) -> DataFrame:
     return index.postings(table(spark, d, "pages"))
 
 
+_stored: dict[tuple, DataFrame] = {}
+
+
+def _state_of(spark: SparkSession, d: str, name: str) -> tuple:
+    """(files, bytes, newest time) of a table: what a stored index was made of."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status, whole = system.getFileStatus(path), system.getContentSummary(path)
+    return whole.getFileCount(), whole.getLength(), status.getModificationTime()
+
+
+def _stored_index(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The postings of pages or documents, kept in the shared folder and made anew when the table has changed.
+
+    Sorted by word, so that a query's words read few row groups.
+    """
+    key = *generation(spark), d, name
+    state = _state_of(spark, d, name)
+    if key not in _stored or _stored[key][0] != state:
+        made = _page_index(spark, d) if name == "pages" else _doc_index(spark, d)
+        _stored[key] = state, written(index.by_word(made), f"{name}-index")
+    return _stored[key][1]
+
+
 def _asked(spark: SparkSession, d: str, n: int) -> DataFrame:
     """(query_id, query): the n most frequent queries of the log."""
     text = F.lower(F.trim("query"))
@@ -94,7 +120,7 @@ def idf(spark, d):
 @query
 def tfidf_topk(spark, d):
     asked = spark.createDataFrame([(1, "museum market")], "query_id long, query string")
-    return rank.candidates(rank.query_terms(asked), _doc_index(spark, d), table(spark, d, "documents").count()).select("page_id", "raw")
+    return rank.candidates(rank.query_terms(asked), _stored_index(spark, d, "documents"), table(spark, d, "documents").count()).select("page_id", "raw")
 
 
 @query
@@ -117,7 +143,7 @@ def embedding_upsert(spark, d):
 
 # Ranking
 
-_RESULT = ["query_id", "position", "page_id", "title", "score", "tfidf", "pagerank", "semantic"]
+_RESULT = ["query_id", "position", "page_id", "url", "title", "language", "crawl_time", "score", "tfidf", "pagerank", "semantic"]
 
 
 def _search(spark, d, n, semantic=False, snippets=False):
@@ -127,7 +153,7 @@ def _search(spark, d, n, semantic=False, snippets=False):
     if vectors is not None:
         one = vectors.orderBy("page_id").limit(1).select("vector")
         query_vectors = asked.select("query_id").crossJoin(F.broadcast(one))  # one row
-    return rank.search(asked, written(_page_index(spark, d), "postings"), table(spark, d, "pages"), query_vectors=query_vectors, page_vectors=vectors, with_snippets=snippets)
+    return rank.search(asked, _stored_index(spark, d, "pages"), table(spark, d, "pages"), query_vectors=query_vectors, page_vectors=vectors, with_snippets=snippets)
 
 
 @query
@@ -200,7 +226,7 @@ def tfidf_topk_asked(spark, d):
     documents = table(spark, d, "documents")
     asked = documents.filter(F.col("doc_id") % ASKING == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     terms = written(rank.query_terms(asked), "query-terms")
-    return rank.candidates(terms, written(_doc_index(spark, d), "postings"), documents.count()).select("query_id", "page_id", "raw")
+    return rank.candidates(terms, _stored_index(spark, d, "documents"), documents.count()).select("query_id", "page_id", "raw")
 
 
 @query
@@ -209,7 +235,7 @@ def search_blended_asked(spark, d):
     pages, vectors = table(spark, d, "pages"), written(_page_vectors(spark, d), "page-vectors")
     asked = pages.filter(F.col("id") % ASKING == 0).select(F.col("id").alias("query_id"), F.col("title").alias("query"))
     asked_vectors = vectors.filter(F.col("page_id") % ASKING == 0).select(F.col("page_id").alias("query_id"), "vector")
-    return rank.search(asked, written(_page_index(spark, d), "postings"), pages, query_vectors=asked_vectors, page_vectors=vectors, with_snippets=False).select(*_RESULT)
+    return rank.search(asked, _stored_index(spark, d, "pages"), pages, query_vectors=asked_vectors, page_vectors=vectors, with_snippets=False).select(*_RESULT)
 
 
 @query
@@ -252,12 +278,15 @@ def html_links(spark, d):
 
 @query
 def html_images(spark, d):
-    return _html(spark, d).select("id", F.size(html.images(F.col("html"), F.col("url"))).alias("images"))
+    return _html(spark, d).select("id", F.array_join(html.images(F.col("html"), F.col("url")), "|").alias("images"))
 
 
 @query
 def html_parsed(spark, d):
-    return _html(spark, d).select("id", html.parse_html("html", "url").alias("p")).select("id", "p.title", "p.language", "p.page_hash")
+    """All nine fields by the parser; its SQL finds them by expressions."""
+    p = _html(spark, d).filter("url is not null").select("id", html.parse_html("html", "url").alias("p"))
+    lists = [F.array_join(F.col(f"p.{name}"), "|").alias(name) for name in ("keywords", "links", "headings", "images")]
+    return p.select("id", "p.title", F.length("p.content").alias("n_chars"), "p.page_hash", "p.description", "p.language", *lists)
 
 
 @query
@@ -345,11 +374,41 @@ def robots_addresses(spark, d):
 
 
 @query
-def pagerank_stats(spark, d):
-    found = _ranking(spark, d, graph.MAX_ITERATIONS, graph.TOLERANCE).stats()
+def pagerank_converged(spark, d):
+    """(id, pagerank) as a service stores it: until ranks change by less than the tolerance, divided by the largest, eight digits."""
+    return _ranking(spark, d, graph.MAX_ITERATIONS, graph.TOLERANCE).normalised()
+
+
+def _stats(spark, found):
+    found = found.stats()
     return spark.createDataFrame([(found["pages_computed"], found.get("link_edges", 0), found["iterations"], found["converged"])], "pages long, edges long, iterations int, converged boolean")
 
 
+@query
+def pagerank_stats(spark, d):
+    return _stats(spark, _ranking(spark, d, graph.MAX_ITERATIONS, graph.TOLERANCE))
+
+
+def _forward(spark, d):
+    """The links to later pages: a graph without cycles, whose last pages are dangling."""
+    return _edges(spark, d).filter("src < dst")
+
+
+@query
+def dangling_forward(spark, d):
+    return graph.dangling(table(spark, d, "pages"), _forward(spark, d))
+
+
+@query
+def pagerank_forward(spark, d):
+    return graph.pagerank(table(spark, d, "pages"), _forward(spark, d)).normalised()
+
+
+@query
+def pagerank_forward_stats(spark, d):
+    return _stats(spark, graph.pagerank(table(spark, d, "pages"), _forward(spark, d)))
+
+
 # Figures
 
 @query
@@ -449,8 +508,65 @@ def frontier_dedup(spark, d):
 
 @query
 def child_links(spark, d):
-    links = graph.extracted_links(table(spark, d, "pages").filter("url is not null")).select("target", F.lit(0).alias("depth"), F.lit(frontier.SEED_PRIORITY).alias("priority"))
-    return frontier.child_tasks(links).distinct()
+    """Pages stand at depths 0 to 4 and priorities 0 to 10, by their id."""
+    links = graph.extracted_links(table(spark, d, "pages").filter("url is not null"))
+    return frontier.child_tasks(links.select("target", *_standing("src"))).distinct()
+
+
+def _standing(key: str) -> list:
+    """A depth and a priority for each page."""
+    return [(F.col(key) % 5).cast("int").alias("depth"), (F.col(key) % 11).cast("int").alias("priority")]
+
+
+@query
+def crawl_round(spark, d):
+    """The tasks after one round over all stored pages that were not checked again; those were visited before."""
+    pages = table(spark, d, "pages").filter("url is not null")
+    due = pages.filter("last_checked is null").select("url", *_standing("id"))
+    return frontier.crawl_round(due, pages, pages.filter("last_checked is not null"))[1]
+
+
+@query
+def redirect_targets(spark, d):
+    """Redirects as fetches give them: one in two leads to a sibling address, the others to the site's archive."""
+    location = F.when(F.col("id") % 2 == 0, F.concat(F.lit("moved-"), "id")).otherwise(F.concat(F.lit("/archive/"), "id"))
+    return frontier.redirected(table(spark, d, "pages").filter("url is not null").select("url", "status_code", location.alias("location"), *_standing("id")))
+
+
+@query
+def query_log_append(spark, d):
+    """The query log written in two appends, the searches without a time last, and counted."""
+    folder = f"{shared_folder(spark)}/streams/log-{uuid.uuid4().hex}"
+    log = table(spark, d, "search_history")
+    sinks.append(log.filter("searched_at is not null"), folder)
+    sinks.append(log.filter("searched_at is null"), folder)
+    return spark.read.schema(log.schema).parquet(folder).groupBy("query").agg(F.count("*").alias("searches"))
+
+
+@query
+def snapshot_sink(spark, d):
+    """A page snapshot replaced by its successor: what is read is the second alone."""
+    folder = f"{shared_folder(spark)}/streams/snapshot-{uuid.uuid4().hex}"
+    pages = table(spark, d, "pages")
+    sinks.write_snapshot(pages.filter("status_code = 200"), folder)
+    sinks.write_snapshot(pages, folder)
+    return spark.read.schema(pages.schema).parquet(folder).select("id", "url", "page_hash")
+
+
+@query
+def postings_sink(spark, d):
+    """Postings written by buckets of words, read back by word."""
+    folder = f"{shared_folder(spark)}/streams/postings-{uuid.uuid4().hex}"
+    sinks.write_postings(_stored_index(spark, d, "pages"), folder, buckets=8)
+    return index.document_frequency(spark.read.parquet(folder))
+
+
+@query
+def encoded_texts(spark, d):
+    """Vectors of texts by a model that counts three letters: what any model gets is the beginning of a text."""
+    encode = vector.encoder(lambda: lambda texts: [[float(t.count(c)) for c in "aeo"] for t in texts])
+    found = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", encode(F.col("text")).alias("v"))
+    return found.select("doc_id", *[F.col("v")[i].alias(f"n_{c}") for i, c in enumerate("aeo")])
 
 
 @query
@@ -517,9 +633,7 @@ def queue_status_update(spark, d):
 
 @query
 def task_json(spark, d):
-    queue = _queue(spark, d)
-    texts = queue.select("id", F.to_json(F.struct("url", "depth", "priority")).alias("task"))
-    return texts.select("id", F.from_json("task", "url string, depth int, priority int").alias("t")).select("id", "t.*")
+    return frontier.from_task_json(frontier.task_json(_queue(spark, d)))
 
 
 @query
@@ -577,7 +691,9 @@ def stream_heartbeats(spark, d):
 
 @query
 def stream_polite(spark, d):
-    return _streamed(spark, _queue(spark, d).select("domain", "url", "ts", F.lit(1.0).alias("delay")), streams.polite)
+    """(domain, url, fetch_at): the queue as it came in, one second between two fetches of a domain."""
+    late = "3650 days"  # no row of the table is later
+    return _streamed(spark, _queue(spark, d).select("domain", "url", "ts", F.lit(1.0).alias("delay")), lambda s: streams.polite(s, late=late))
 
 
 @query

@@ -62,18 +62,26 @@ pv AS (SELECT page_id, v FROM (
 qv AS (SELECT v AS qv FROM pv ORDER BY page_id LIMIT 1)"""
 
 
-def search_sql(n: int, with_vectors: bool, columns: str, tail: str = "") -> str:
-    similarity = "coalesce(list_dot_product(v, qv), 0)" if with_vectors else "0.0::DOUBLE"
-    joins = "LEFT JOIN pv USING (page_id) CROSS JOIN qv" if with_vectors else ""
-    weights = ("0.5", "0.3", "0.2") if with_vectors else ("0.7", "0.3", "0.0")
+#: Titles as queries, asked by every page whose id is divisible by 20, with the vector of the page.
+TITLES_CTE = """
+q AS (SELECT id AS query_id, title AS query FROM pages WHERE id % 20 = 0)"""
+_WEIGHTS = ("0.5", "0.3", "0.2"), ("0.7", "0.3", "0.0")
+
+
+def search_sql(queries: str, vectors: str, columns: str, tail: str = "") -> str:
+    """``vectors``: "none", "one" for all queries, or each query's "own"."""
+    similarity = "0.0::DOUBLE" if vectors == "none" else "coalesce(list_dot_product(v, qv), 0)"
+    joins = {"none": "", "one": "LEFT JOIN pv USING (page_id) CROSS JOIN qv", "own": "LEFT JOIN pv USING (page_id) LEFT JOIN (SELECT page_id AS query_id, v AS qv FROM pv) USING (query_id)"}[vectors]
+    has = {"none": "false", "one": "true", "own": "qv IS NOT NULL"}[vectors]
+    weights = [f"CASE WHEN has_vector THEN {a} ELSE {b} END" for a, b in zip(*_WEIGHTS, strict=True)]
     return f"""
-WITH {queries_cte(n)}, {token_cte("qtok", "q", "query_id", "query")},
+WITH {queries}, {token_cte("qtok", "q", "query_id", "query")},
 terms AS (SELECT DISTINCT query_id, word FROM qtok), {postings_cte("pages", "id", "content")}, {VECTORS_CTE},
 n AS (SELECT count(*) AS np FROM pages),
 w AS (SELECT word, ln(1 + np / (1.0 + count(*))) AS idf FROM post, n WHERE word IN (SELECT word FROM terms) GROUP BY word, np),
 cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, page_id) AS r
   FROM (SELECT query_id, page_id, round(sum(tf * idf), 12) AS raw FROM terms JOIN w USING (word) JOIN post USING (word) GROUP BY 1, 2)) WHERE r <= 50),
-rows_ AS (SELECT query_id, page_id, raw, coalesce(p.pagerank, 0.15) AS pr, {similarity} AS sim, p.title AS t, p.content AS content
+rows_ AS (SELECT query_id, page_id, raw, coalesce(p.pagerank, 0.15) AS pr, {similarity} AS sim, p.title AS t, p.content AS content, p.url AS url, p.language AS lang, p.crawl_time AS crawled, {has} AS has_vector
   FROM cand JOIN pages p ON p.id = page_id {joins}),
 norm AS (SELECT *, raw / CASE WHEN mr > 0 THEN mr ELSE 1 END AS tfidf_, pr / CASE WHEN mp > 0 THEN mp ELSE 1 END AS rank_,
     greatest(sim / CASE WHEN ms > 0 THEN ms ELSE 1 END, 0) AS sem_
@@ -84,7 +92,8 @@ qw AS (SELECT query_id, string_agg(word, '|' ORDER BY word) AS alt FROM terms GR
 SELECT {columns} FROM top JOIN qw USING (query_id) {tail}"""
 
 
-_RESULT = """query_id, position, page_id, CASE WHEN coalesce(t, '') = '' THEN 'Untitled' ELSE t END AS title, score,
+_RESULT = """query_id, position, page_id, url, CASE WHEN coalesce(t, '') = '' THEN 'Untitled' ELSE t END AS title, CASE WHEN coalesce(lang, '') = '' THEN 'en' ELSE lang END AS language,
+  replace(strftime(crawled AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') AS crawl_time, score,
   round_even(tfidf_, 4) AS tfidf, round_even(rank_, 4) AS pagerank, round_even(sem_, 4) AS semantic"""
 
 SNIPPETS = f"""
@@ -94,7 +103,7 @@ FROM (SELECT *, CASE WHEN start > 0 THEN '...' || CASE WHEN contains(piece, ' ')
  FROM (SELECT *, substr(c, start::INT + 1, (stop - start)::INT) AS piece
   FROM (SELECT *, greatest(first_ - 60, 0) AS start, least(length(c), first_ + 140) AS stop
    FROM (SELECT query_id, page_id, c, regexp_matches(m, '\\b(?:' || alt || ')') AS hit, length(regexp_extract(m, '(?s)^(.*?)\\b(?:' || alt || ')', 1)) AS first_
-    FROM (SELECT query_id, page_id, alt, coalesce(content, '') AS c, {masked("content")} AS m FROM ({search_sql(5, False, "query_id, page_id, alt, content")}))))))"""
+    FROM (SELECT query_id, page_id, alt, coalesce(content, '') AS c, {masked("content")} AS m FROM ({search_sql(queries_cte(5), "none", "query_id, page_id, alt, content")}))))))"""
 
 _DECODED = "replace(replace(replace(replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 _SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
@@ -140,26 +149,60 @@ SELECT DISTINCT src, split_part(u, '#', 1) AS target FROM (
 WHERE regexp_matches(u, '^https?:') AND split_part(u, '#', 1) <> ''
   AND NOT regexp_matches(lower(regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1)), '\.(?:{"|".join(e.replace(".", chr(92) + ".") for e in NOT_PAGES)})$')"""
 
+KEYWORDS = f"array_to_string([trim(x) for x in string_split({meta('keywords')}, ',') if trim(x) <> ''], '|')"
+HEADINGS = "array_to_string([h for h in [" + cleaned(decoded("regexp_replace(x, '<[^>]*>', '', 'g')")) + " for x in regexp_extract_all(" + BARE + r", '(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]\s*>', 1)] if h <> ''], '|')"
+IMAGES = "array_to_string(list_sort(list_distinct([" + decoded("x") + " for x in regexp_extract_all(" + BARE + r""", '(?is)<img\b[^>]*?\bsrc\s*=\s*"(https?://[^"]*)"', 1)])), '|')"""
+
 EDGES = """
 e AS (SELECT DISTINCT source_page AS src, destination_page AS dst FROM links WHERE source_page <> destination_page
   AND source_page IN (SELECT id FROM pages) AND destination_page IN (SELECT id FROM pages))"""
 
-PAGERANK = f"""
-WITH RECURSIVE {EDGES}, n AS (SELECT count(DISTINCT id) AS n FROM pages), o AS (SELECT src, count(*) AS d FROM e GROUP BY 1),
+def rounds_sql(edges: str, rounds: int) -> str:
+    """CTEs up to r (k, id, rank): the ranks of all rounds over the edges (src, dst) of a CTE ``g``."""
+    return f"""
+WITH RECURSIVE {EDGES}, g AS ({edges}), n AS (SELECT count(DISTINCT id) AS n FROM pages), o AS (SELECT src, count(*) AS d FROM g GROUP BY 1),
 v AS (SELECT DISTINCT id, id NOT IN (SELECT src FROM o) AS leaf FROM pages WHERE id IS NOT NULL),
 r AS (
   SELECT 0 AS k, id, 1.0::DOUBLE / n AS rank FROM v, n
   UNION ALL
   SELECT k + 1, id, 0.15 / n + 0.85 * lost / n + 0.85 * coalesce(flow, 0)
-  FROM (SELECT k, r.id, sum(CASE WHEN leaf THEN rank ELSE 0 END) OVER () AS lost FROM r JOIN v USING (id) WHERE k < 20) a
-  LEFT JOIN (SELECT e.dst AS id, sum(rank / d) AS flow FROM r JOIN e ON e.src = r.id JOIN o ON o.src = e.src WHERE k < 20 GROUP BY 1) f USING (id), n)
+  FROM (SELECT k, r.id, sum(CASE WHEN leaf THEN rank ELSE 0 END) OVER () AS lost FROM r JOIN v USING (id) WHERE k < {rounds}) a
+  LEFT JOIN (SELECT g.dst AS id, sum(rank / d) AS flow FROM r JOIN g ON g.src = r.id JOIN o ON o.src = g.src WHERE k < {rounds} GROUP BY 1) f USING (id), n)"""
+
+
+ALL_LINKS, FORWARD = "SELECT * FROM e", "SELECT * FROM e WHERE src < dst"
+PAGERANK = rounds_sql(ALL_LINKS, 20) + """
 SELECT id, round(rank / max(rank) OVER (), 6) + 0.0 AS pagerank FROM r WHERE k = 20"""
 
+
+def converged_sql(edges: str, columns: str, tail: str = "") -> str:
+    """Ranks of the first round that changes them by less than 1e-6, of 50 rounds at most."""
+    return rounds_sql(edges, 50) + f""",
+change AS (SELECT k, sum(abs(rank - old)) AS c FROM (SELECT k, rank, lag(rank) OVER (PARTITION BY id ORDER BY k) AS old FROM r) WHERE k > 0 GROUP BY 1),
+stop AS (SELECT coalesce(min(k) FILTER (c < 1e-6), 50)::INT AS k, coalesce(min(k) FILTER (c < 1e-6) IS NOT NULL, false) AS converged FROM change)
+SELECT {columns} {tail}"""
+
+
+_RANKS = "id, round_even(rank / max(rank) OVER (), 8) + 0.0 AS pagerank FROM r WHERE k = (SELECT k FROM stop)"
+_STATS = "(SELECT n FROM n) AS pages, (SELECT count(*) FROM g) AS edges, k AS iterations, converged FROM stop"
+
 QUEUE = """
 queue AS (SELECT event_id AS id, 'https://site' || (user_id % 50) || '.example/p/' || (event_id % 400) AS url,
   CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'view' THEN 'pending' ELSE 'crawling' END AS status,
   (event_id % 5)::INT AS depth, (event_id % 11)::INT AS priority, 'site' || (user_id % 50) || '.example' AS domain, ts, 'w' || (user_id % 20) AS worker, value FROM events)"""
 
+def best_of(by: str, key: str, k: int) -> str:
+    """The k best rows of s for each query."""
+    return f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {by} DESC, {key}) AS r FROM s) WHERE r <= {k}"
+
+
+CLASSIFIED = """WITH s AS (SELECT * FROM pages WHERE last_checked IS NOT NULL), h AS (SELECT page_hash, min(url) AS lo, max(url) AS hi FROM s WHERE page_hash IS NOT NULL GROUP BY 1),
+      f AS (SELECT page_hash, min(id) AS first_ FROM pages WHERE status_code = 200 AND page_hash IS NOT NULL GROUP BY 1),
+      j AS (SELECT p.id, p.url, status_code, p.page_hash, p.url IN (SELECT url FROM s) AS known, coalesce(lo <> p.url OR hi <> p.url, false) AS elsewhere, first_ FROM pages p LEFT JOIN h ON h.page_hash = p.page_hash LEFT JOIN f ON f.page_hash = p.page_hash)
+      SELECT id, url, coalesce(status_code, 0) AS status_code, page_hash, coalesce(CASE WHEN status_code = 304 THEN CASE WHEN known THEN 'skipped' ELSE 'none' END WHEN status_code IN (301, 302) THEN 'redirect'
+        WHEN status_code = 200 THEN CASE WHEN elsewhere OR (NOT known AND page_hash IS NOT NULL AND coalesce(id > first_, false)) THEN 'duplicate' WHEN known THEN 'updated' ELSE 'new' END
+        WHEN status_code = 404 THEN 'missing' ELSE 'error' END, 'error') AS outcome FROM j"""
+
 ORACLES: dict[str, str] = {
     "tokenize_docs": f"WITH {token_cte('tok', 'documents', 'doc_id', 'text')} SELECT doc_id, coalesce(any_value(s), '') AS tokens, coalesce(any_value(c), 0) AS n FROM documents LEFT JOIN (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s, count(*)::INT AS c FROM tok GROUP BY 1) USING (doc_id) GROUP BY doc_id",
     "stem_vocab": f"SELECT word, stem FROM {stemmed('(SELECT word, lower(trim(word)) AS w FROM words)')}",
@@ -168,17 +211,30 @@ ORACLES: dict[str, str] = {
     "idf": f"WITH {postings_cte('documents', 'doc_id', 'text')} SELECT word, count(*) AS df, round(ln(1 + (SELECT count(*) FROM documents) / (1.0 + count(*))), 9) AS idf FROM post GROUP BY 1",
     "tfidf_topk": f"""WITH {postings_cte('documents', 'doc_id', 'text')}, w AS (SELECT word, ln(1 + (SELECT count(*) FROM documents) / (1.0 + count(*))) AS idf FROM post WHERE word IN ('museum', 'market') GROUP BY 1)
       SELECT page_id, raw FROM (SELECT page_id, round(sum(tf * idf), 12) AS raw FROM post JOIN w USING (word) GROUP BY 1) ORDER BY raw DESC, page_id LIMIT 50""",
-    "search_blended": search_sql(5, True, _RESULT),
-    "search_no_semantic": search_sql(5, False, _RESULT),
-    "search_multi_query": search_sql(100, False, _RESULT),
+    "search_blended": search_sql(queries_cte(5), "one", _RESULT),
+    "search_no_semantic": search_sql(queries_cte(5), "none", _RESULT),
+    "search_multi_query": search_sql(queries_cte(100), "none", _RESULT),
     "snippets": SNIPPETS,
+    "search_blended_asked": search_sql(TITLES_CTE, "own", _RESULT),
+    "cosine_topk_asked": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) "
+    + best_of("similarity", "id", 20),
+    "vector_cosine_asked": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) "
+    + best_of("cosine", "id", 20),
+    "page_similarity_asked": f"WITH {VECTORS_CTE}, s AS (SELECT q.page_id AS query_id, p.page_id, round(list_dot_product(p.v, q.v), 8) AS similarity FROM pv p, pv q WHERE q.page_id % 20 = 0) "
+    + best_of("similarity", "page_id", 20),
+    "tfidf_topk_asked": f"WITH {postings_cte('documents', 'doc_id', 'text')}, w AS (SELECT word, ln(1 + (SELECT count(*) FROM documents) / (1.0 + count(*))) AS idf FROM post GROUP BY 1), "
+    "s AS (SELECT q.page_id AS query_id, p.page_id, round(sum(p.tf * idf), 12) AS raw FROM post q JOIN post p USING (word) JOIN w USING (word) WHERE q.page_id % 20 = 0 GROUP BY 1, 2) "
+    + best_of("raw", "page_id", 50),
     "html_title_lang": f"SELECT id, {TITLE} AS title, {LANGUAGE} AS language FROM pages WHERE html IS NOT NULL",
-    "html_meta": f"SELECT id, {meta('description')} AS description, array_to_string([trim(x) for x in string_split({meta('keywords')}, ',') if trim(x) <> ''], '|') AS keywords FROM pages WHERE html IS NOT NULL",
+    "html_meta": f"SELECT id, {meta('description')} AS description, {KEYWORDS} AS keywords FROM pages WHERE html IS NOT NULL",
     "html_content_hash": f"SELECT id, sha256(c) AS page_hash, length(c)::INT AS n_chars FROM (SELECT id, {content_of('html')} AS c FROM pages WHERE html IS NOT NULL)",
-    "html_headings": "SELECT id, array_to_string([h for h in [" + cleaned(decoded("regexp_replace(x, '<[^>]*>', '', 'g')")) + " for x in regexp_extract_all(" + BARE + r", '(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]\s*>', 1)] if h <> ''], '|') AS headings FROM pages WHERE html IS NOT NULL",
+    "html_headings": f"SELECT id, {HEADINGS} AS headings FROM pages WHERE html IS NOT NULL",
     "html_links": LINK_ROWS,
-    "html_images": r"SELECT id, len(regexp_extract_all(" + BARE + r""", '(?is)<img\b[^>]*?\bsrc\s*=\s*"([^"]*)"', 1))::INT AS images FROM pages WHERE html IS NOT NULL""",
-    "html_parsed": f"SELECT id, {TITLE} AS title, {LANGUAGE} AS language, sha256({content_of('html')}) AS page_hash FROM pages WHERE html IS NOT NULL",
+    "html_images": f"SELECT id, {IMAGES} AS images FROM pages WHERE html IS NOT NULL",
+    "html_parsed": f"""WITH l AS ({LINK_ROWS})
+      SELECT id, {TITLE} AS title, length(c)::INT AS n_chars, sha256(c) AS page_hash, {meta('description')} AS description, {LANGUAGE} AS language, {KEYWORDS} AS keywords,
+        coalesce((SELECT string_agg(target, '|' ORDER BY target) FROM l WHERE src = id), '') AS links, {HEADINGS} AS headings, {IMAGES} AS images
+      FROM (SELECT *, {content_of('html')} AS c FROM pages WHERE html IS NOT NULL AND url IS NOT NULL)""",
     "html_link_edges": f"WITH l AS ({LINK_ROWS}), k AS (SELECT split_part(url, '#', 1) AS target, min(id) AS dst FROM pages GROUP BY 1) SELECT DISTINCT src, dst FROM l JOIN k USING (target) WHERE src <> dst",
     "url_parts": r"SELECT id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) AS domain, split_part(url, '#', 1) AS plain, lower(split_part(url, ':', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) || '/robots.txt' AS robots FROM pages",
     "normalize_seeds": r"""WITH s AS (SELECT domain AS raw FROM websites UNION ALL SELECT '  ' || domain || '/ ' FROM websites UNION ALL SELECT 'http://' FROM websites UNION ALL SELECT url FROM pages),
@@ -192,6 +248,11 @@ ORACLES: dict[str, str] = {
     "dangling_nodes": f"WITH {EDGES} SELECT id FROM pages WHERE id NOT IN (SELECT src FROM e)",
     "pagerank_scores": PAGERANK,
     "pagerank_update": PAGERANK.replace("SELECT id, round(rank / max(rank) OVER (), 6) + 0.0 AS pagerank FROM r WHERE k = 20", "SELECT p.id, p.url, round(rank / max(rank) OVER (), 6) + 0.0 AS pagerank FROM r JOIN pages p USING (id) WHERE k = 20"),
+    "pagerank_converged": converged_sql(ALL_LINKS, _RANKS),
+    "pagerank_stats": converged_sql(ALL_LINKS, _STATS),
+    "pagerank_forward": converged_sql(FORWARD, _RANKS),
+    "pagerank_forward_stats": converged_sql(FORWARD, _STATS),
+    "dangling_forward": f"WITH {EDGES} SELECT id FROM pages WHERE id NOT IN (SELECT src FROM e WHERE src < dst)",
     "pagerank_top": f"SELECT * FROM ({PAGERANK}) ORDER BY pagerank DESC, id LIMIT 5",
     "vector_cosine": "SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)), 6) AS cosine FROM embeddings",
     "robots_addresses": r"SELECT DISTINCT lower(split_part(url, ':', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) || '/robots.txt' AS url FROM pages WHERE url IS NOT NULL",
@@ -215,13 +276,20 @@ ORACLES: dict[str, str] = {
     "suggest": "SELECT DISTINCT suggestion FROM (SELECT * FROM (SELECT word AS suggestion FROM words WHERE word LIKE 'ma%' ORDER BY 1 LIMIT 5) UNION ALL SELECT * FROM (SELECT DISTINCT query FROM search_history WHERE query LIKE 'ma%' ORDER BY 1 LIMIT 5)) ORDER BY 1 LIMIT 8",
     "frontier_pop": f"WITH {QUEUE} SELECT id, url, depth, priority FROM queue WHERE status = 'pending' ORDER BY priority DESC, id LIMIT 100",
     "frontier_dedup": f"WITH {QUEUE}, b AS (SELECT url, max(priority) AS priority FROM queue WHERE url NOT IN (SELECT url FROM queue WHERE status = 'completed') GROUP BY 1) SELECT b.url, min(depth) AS depth, b.priority FROM b JOIN queue USING (url, priority) GROUP BY 1, 3",
-    "child_links": rf"WITH l AS ({LINK_ROWS}) SELECT DISTINCT target AS url, 1 AS depth, 9 AS priority, lower(regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) AS domain FROM l",
-    "crawl_classify": """WITH s AS (SELECT * FROM pages WHERE last_checked IS NOT NULL), h AS (SELECT page_hash, min(url) AS lo, max(url) AS hi FROM s WHERE page_hash IS NOT NULL GROUP BY 1),
-      f AS (SELECT page_hash, min(id) AS first_ FROM pages WHERE status_code = 200 AND page_hash IS NOT NULL GROUP BY 1),
-      j AS (SELECT p.id, p.url, status_code, p.page_hash, p.url IN (SELECT url FROM s) AS known, coalesce(lo <> p.url OR hi <> p.url, false) AS elsewhere, first_ FROM pages p LEFT JOIN h ON h.page_hash = p.page_hash LEFT JOIN f ON f.page_hash = p.page_hash)
-      SELECT id, url, coalesce(status_code, 0) AS status_code, page_hash, coalesce(CASE WHEN status_code = 304 THEN CASE WHEN known THEN 'skipped' ELSE 'none' END WHEN status_code IN (301, 302) THEN 'redirect'
-        WHEN status_code = 200 THEN CASE WHEN elsewhere OR (NOT known AND page_hash IS NOT NULL AND coalesce(id > first_, false)) THEN 'duplicate' WHEN known THEN 'updated' ELSE 'new' END
-        WHEN status_code = 404 THEN 'missing' ELSE 'error' END, 'error') AS outcome FROM j""",
+    "child_links": rf"WITH l AS ({LINK_ROWS}) SELECT DISTINCT target AS url, (src % 5 + 1)::INT AS depth, greatest(src % 11 - 1, 0)::INT AS priority, lower(regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) AS domain FROM l WHERE src % 5 + 1 <= 3",
+    "crawl_round": f"""WITH l AS ({LINK_ROWS}), c AS (SELECT target AS url, (src % 5 + 1)::INT AS depth, greatest(src % 11 - 1, 0)::INT AS priority FROM l JOIN pages ON id = src WHERE last_checked IS NULL AND src % 5 + 1 <= 3),
+      f AS (SELECT * FROM c WHERE url NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)), b AS (SELECT url, max(priority) AS priority FROM f GROUP BY 1)
+      SELECT url, min(depth) AS depth, priority FROM b JOIN f USING (url, priority) GROUP BY 1, 3""",
+    "redirect_targets": r"""SELECT regexp_extract(url, '^(https?://[^/?#]*)', 1) || CASE WHEN id % 2 = 1 THEN '/archive/' || id
+        ELSE CASE WHEN regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '[^/]*$', '') END || 'moved-' || id END AS url,
+      (id % 5)::INT AS depth, (id % 11)::INT AS priority FROM pages WHERE status_code IN (301, 302) AND url IS NOT NULL""",
+    "query_log_append": "SELECT query, count(*) AS searches FROM search_history GROUP BY 1",
+    "snapshot_sink": "SELECT id, url, page_hash FROM pages",
+    "postings_sink": f"WITH {postings_cte('pages', 'id', 'content')} SELECT word, count(*) AS df FROM post GROUP BY 1",
+    "encoded_texts": "SELECT doc_id, " + ", ".join(f"CASE WHEN ok THEN len(t) - len(replace(t, '{c}', '')) END::DOUBLE AS n_{c}" for c in "aeo") + r" FROM (SELECT doc_id, substr(text, 1, 800) AS t, regexp_matches(substr(text, 1, 800), '[^\s\x0b\x1c-\x1f\x85\p{Z}]') AS ok FROM documents)",
+    "crawl_classify": CLASSIFIED,
+    "merge_pages": f"""WITH c AS ({CLASSIFIED}) SELECT id, url, page_hash FROM pages WHERE last_checked IS NOT NULL AND url NOT IN (SELECT url FROM c WHERE outcome = 'updated')
+      UNION ALL SELECT p.id, p.url, p.page_hash FROM pages p JOIN c ON c.url = p.url WHERE outcome IN ('updated', 'new')""",
     "politeness_schedule": f"WITH {QUEUE}, d AS (SELECT domain, CASE WHEN max(priority) % 3 > 0 THEN (max(priority) % 3)::DOUBLE ELSE 0.2 END AS delay FROM queue GROUP BY 1) SELECT id, domain, round((row_number() OVER (PARTITION BY domain ORDER BY priority DESC, id) - 1) * delay, 3) AS wait_s FROM queue JOIN d USING (domain)",
     "active_workers": f"WITH {QUEUE} SELECT count(*) AS active_workers FROM (SELECT worker, max(ts) AS last FROM queue GROUP BY 1) WHERE last >= (SELECT max(ts) FROM queue) - INTERVAL 15 SECOND",
     "recrawl_queue": "SELECT url, 0 AS depth, 5 AS priority FROM pages WHERE url IS NOT NULL",
@@ -243,5 +311,12 @@ ORACLES: dict[str, str] = {
     "batch_lookup": "SELECT w.word, count(*) AS postings FROM words w JOIN inverted_index i ON i.word_id = w.id WHERE w.word IN ('museum', 'market', 'tunnel', 'velmora') GROUP BY 1",
     "task_json": f"WITH {QUEUE} SELECT id, url, depth, priority FROM queue",
     "stream_dedup": f"WITH {QUEUE} SELECT DISTINCT url FROM queue",
+    "robots_allowed": r"""SELECT url, NOT (coalesce(f, false) AND starts_with(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/archive/')) AS allowed, CASE WHEN f AND delay > 0 THEN delay::DOUBLE ELSE 0.2 END AS delay
+      FROM (SELECT url, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS domain FROM pages WHERE url IS NOT NULL)
+      LEFT JOIN (SELECT domain, true AS f, max(coalesce(crawl_delay, 0)) AS delay FROM websites WHERE robots_checked GROUP BY 1) USING (domain)""",
+    "stream_heartbeats": f"WITH {QUEUE} SELECT time_bucket(INTERVAL 15 SECOND, ts::TIMESTAMP)::TIMESTAMPTZ AS start, count(DISTINCT worker) AS active_workers FROM queue WHERE ts IS NOT NULL GROUP BY 1",
+    "stream_polite": f"""WITH {QUEUE}, o AS (SELECT domain, url, epoch_us(ts::TIMESTAMP) AS t, row_number() OVER (PARTITION BY domain ORDER BY ts, url) AS i FROM queue WHERE ts IS NOT NULL)
+      SELECT domain, url, make_timestamp(i * 1000000 + max(t - i * 1000000) OVER (PARTITION BY domain ORDER BY i))::TIMESTAMPTZ AS fetch_at FROM o""",
+    "stream_query_days": "SELECT date_trunc('day', searched_at)::TIMESTAMPTZ AS start, query, count(*) AS searches FROM search_history GROUP BY 1, 2",
     "stream_query_counts": "SELECT query, count(*) AS searches FROM search_history GROUP BY 1",
 }
