@@ -7,6 +7,10 @@ by their phrases; keyword text by how the terms of the whole page recur.
 
 from __future__ import annotations
 
+import re
+from itertools import compress
+from operator import not_
+
 import numpy as np
 import regex
 
@@ -29,6 +33,10 @@ no na nos nas aos à às pelo pela seus suas quem ou já muito também durante d
 """.split())
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*")
+#: The same for texts without combining marks.
+_PLAIN_WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
+MARKED = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u1dff\u20d0-\u20ff\u2c00-\uffff\U00010000-\U0010ffff]")
+_MARK = re.compile("|".join(map(re.escape, FIELD_MARKS)))
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 THAI = regex.compile(r"\p{Thai}")
 END_MARK = regex.compile(r"[.!?…؟।][\"'”»“)\]]*(?=\s|$)|[。！？]")
@@ -39,6 +47,8 @@ TAIL = regex.compile(r"\s*(?:\(\d+\)|\(/[^)]*\))\s*$|^[»\s]+|[»\s]+$")
 WINDOW = 24
 #: Share of a line's terms that recur within the window, from which it is keyword text; pairs of letters recur in sentences, too.
 RECURRING, DENSE_RECURRING = 0.5, 0.95
+#: Terms from which a line that is no sentence is keyword text by itself; shorter ones are entries of a list.
+TERMS = 8
 #: Lags of the autocorrelation, those of scripts without spaces, and the mean share of the three best lags from which a line is periodic.
 LAGS, DENSE_LAGS, PERIODIC = 24, 36, 0.6
 #: Share of function words below which recurrence is no refrain: of a line without and with the form of sentences.
@@ -50,7 +60,7 @@ DISTINCT = 0.4
 #: Terms for each end mark, from which a line of distinct nouns is no sentence.
 NOUNS = 12
 #: Judgements kept per worker; the lines of a site recur on its pages.
-REMEMBERED = 100_000
+REMEMBERED = 20_000
 
 EMPTY, FURNITURE, HEADING = "empty", "furniture", "heading"
 NOTICES = frozenset(("error", "script", "filler"))
@@ -58,12 +68,18 @@ NOTICES = frozenset(("error", "script", "filler"))
 
 def normal(line: str) -> str:
     """Lower case, single spaces, without a trailing number or path in brackets."""
-    return TAIL.sub("", " ".join(line.lower().split()))
+    text = " ".join(line.lower().split())
+    return TAIL.sub("", text) if text[-1:] in (")", "»") or text[:1] == "»" else text
+
+
+def words_of(line: str) -> list[str]:
+    """The words of a line: letters, marks and digits, joined by apostrophes and hyphens."""
+    return _PLAIN_WORD.findall(line) if line.isascii() or not MARKED.search(line) else WORD.findall(line)
 
 
 def scripts_of(line: str, letters: int) -> str:
     """"east" or "thai" where most letters belong to a script without spaces, else ""."""
-    if line.isascii() or max(line) < "฀":
+    if line.isascii() or not MARKED.search(line):
         return ""
     if len(CJK.findall(line)) > 0.3 * letters:
         return "east"
@@ -81,7 +97,7 @@ def is_prose(line: str, tokens: list[str], script: str, function: float) -> bool
     if len(tokens) < 4:
         return False
     if SENTENCE_END.search(line):
-        lower = sum(not t[0].isupper() for t in tokens) / len(tokens)
+        lower = 1 - sum(map(str.isupper, [t[0] for t in tokens])) / len(tokens)
         return len(tokens) >= 5 and lower >= 0.4 or lower >= 0.7
     return len(tokens) >= 14 and function >= 0.2  # cut short
 
@@ -89,16 +105,16 @@ def is_prose(line: str, tokens: list[str], script: str, function: float) -> bool
 class Line:
     """What one line shows by itself."""
 
-    __slots__ = ("notice", "notice_chars", "terms", "dense", "function", "nouns", "prose")
+    __slots__ = ("notice", "notice_chars", "terms", "ids", "dense", "function", "nouns", "prose")
 
     def __init__(self, line: str):
         text = normal(line)
-        plain = FIELD.sub(" ", line) if any(m in line for m in FIELD_MARKS) else line  # a field is no term
-        tokens = WORD.findall(plain)
+        plain = FIELD.sub(" ", line) if _MARK.search(line) else line  # a field is no term
+        tokens = words_of(plain)
         n = len(tokens)
-        lower = [t.lower() for t in tokens]
+        lower = " ".join(tokens).lower().split(" ") if tokens else []
         script = scripts_of(line, sum(map(len, tokens)))
-        named = [t in FUNCTION_WORDS for t in lower]
+        named = list(map(FUNCTION_WORDS.__contains__, lower))
         self.function = 0.0 if script or not n else sum(named) / n
         self.notice, self.notice_chars = notice_of(text) if text else ("", 0)
         if not self.notice and n >= 6 and not script and dummy_words(lower):
@@ -112,8 +128,9 @@ class Line:
             size = sum(map(len, pieces)) / max(len(pieces), 1)
             self.nouns = n >= 4 and (size <= 13 if script == "thai" else size <= 6 and sum(line.count(m) for m in "。！？") * NOUNS < n)
         else:
-            self.terms = [t for t, f in zip(lower, named, strict=True) if not f]
+            self.terms = list(compress(lower, map(not_, named)))
             self.nouns = n >= 4 and self.function < NO_FUNCTION and len(END_MARK.findall(line)) * NOUNS < n
+        self.ids = np.fromiter(map(hash, self.terms), np.int64, len(self.terms))
         self.nouns = self.nouns and len(set(self.terms)) >= DISTINCT * len(self.terms)
 
 
@@ -162,23 +179,26 @@ def keyword_lines(lines: list[Line]) -> list[bool]:
     sentences; if the terms of its positions are those of the sequence's three best
     lags; or if it is a list of nouns without function words.
     """
-    code: dict[str, int] = {}
-    ids = np.array([code.setdefault(t, len(code)) for line in lines for t in line.terms], np.int64)
-    again = recurring(ids)
-    dense = sum(len(line.terms) for line in lines if line.dense)
-    held = periodic(ids, DENSE_LAGS if 2 * dense > len(ids) else LAGS)
-    out, at = [], 0
-    for line in lines:
-        z = slice(at, at + len(line.terms))
-        at = z.stop
-        if not line.terms:
-            out.append(False)
-            continue
+    size = np.array([len(line.terms) for line in lines], np.int64)
+    full = np.flatnonzero(size)
+    out = [False] * len(lines)
+    if not len(full):
+        return out
+    ids = np.concatenate([lines[i].ids for i in full])
+    starts = np.cumsum(size[full]) - size[full]
+    again = np.add.reduceat(recurring(ids), starts, dtype=np.int64) / size[full]
+    # a periodic line recurs within the widest lag: where none does that could be keyword text, lags need not be looked at
+    held = np.zeros(len(full))
+    lags = DENSE_LAGS if 2 * sum(len(line.terms) for line in lines if line.dense) > len(ids) else LAGS
+    if any(again[k] >= PERIODIC * WINDOW / lags for k, i in enumerate(full.tolist()) if lines[i].prose or size[i] >= TERMS):
+        held = np.add.reduceat(periodic(ids, lags), starts) / size[full]
+    for i, recurs, period in zip(full.tolist(), again.tolist(), held.tolist(), strict=True):
+        line = lines[i]
         enough = DENSE_RECURRING if line.dense and line.prose else RECURRING
-        if line.function < (FEW_IN_SENTENCES if line.prose else FEW_FUNCTION) and again[z].mean() >= enough:
-            out.append(True)
+        if line.function < (FEW_IN_SENTENCES if line.prose else FEW_FUNCTION) and recurs >= enough:
+            out[i] = True
         else:
-            out.append(bool(held[z].mean() >= 3 * PERIODIC) or line.nouns and not line.prose)
+            out[i] = period >= 3 * PERIODIC or line.nouns and not line.prose
     return out
 
 
@@ -207,6 +227,6 @@ def judged_lines(content: str, furniture: np.ndarray | list[int] | None = None,
             out.append((i, line, "prose" if found.prose else "short"))
     for at, found, keywords in zip(open_at, open_lines, keyword_lines(open_lines), strict=True):
         # a short line by itself shows nothing: it is an entry of a list or none
-        if keywords and (found.prose or len(found.terms) >= 8):
+        if keywords and (found.prose or len(found.terms) >= TERMS):
             out[at] = (*out[at][:2], "keywords")
     return out

@@ -192,24 +192,39 @@ def automaton() -> ahocorasick.Automaton:
     return made
 
 
-def covered(sentence: str) -> dict[str, int]:
-    """Characters of a sentence (lower case, single spaces) that entries of each kind cover.
-
-    Subjects and predicates count where both stand in the sentence, in one language.
-    """
-    hits = []
-    for end, (length, at_word, meant) in automaton().iter(sentence):
+def _hits(text: str) -> list[tuple[int, int, list[tuple[str, int, str]]]]:
+    """(start, end, meanings) of the entries in a text."""
+    out = []
+    for end, (length, at_word, meant) in automaton().iter(text):
         start = end + 1 - length
-        before = sentence[start - 1] if start else " "
+        before = text[start - 1] if start else " "
         if not (at_word and before.isalnum() and not _SPACELESS.match(before)):
-            hits.append((start, end + 1, meant))
-    if not hits:
-        return {}
+            out.append((start, end + 1, meant))
+    return out
+
+
+def _telling(hits: list[tuple[int, int, list[tuple[str, int, str]]]]) -> dict[tuple[str, str], set[int]]:
+    """The parts that stand in a text, by kind and language; empty if none of them tells, alone or together."""
     parts: dict[tuple[str, str], set[int]] = {}
+    tells = False
     for _, _, meant in hits:
         for kind, part, language in meant:
-            parts.setdefault((kind, language), set()).add(part)
+            found = parts.setdefault((kind, language), set())
+            found.add(part)
+            tells = tells or part == WHOLE or len(found - {WHOLE}) == 2
+    return parts if tells else {}
+
+
+def covered(sentence: str) -> dict[str, int]:
+    """Characters of a sentence (lower case, single spaces) that entries of each kind cover.
+
+    Subjects and predicates count where both stand in the sentence, in one language.
+    """
+    hits = _hits(sentence)
+    parts = _telling(hits)
     found: dict[str, int] = {}
+    if not parts:
+        return found
     reach: dict[str, int] = {}
     for start, end, meant in sorted(hits, key=lambda h: h[:2]):
         for kind in {kind for kind, part, language in meant if part == WHOLE or parts[kind, language] >= {SUBJECT, PREDICATE}}:
@@ -230,9 +245,12 @@ def notice_of(text: str) -> tuple[str, int]:
 
     The kind is error, script or filler, or "" if it is none.
     """
+    text = text.replace("’", "'")
     matched: dict[str, int] = {}
     whole = 0
-    for sentence in _SENTENCE.split(text.replace("’", "'")):
+    if not _telling(_hits(text)):
+        return "", 0
+    for sentence in _SENTENCE.split(text):
         size = len(sentence)
         whole += size
         found = covered(sentence)

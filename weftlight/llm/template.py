@@ -20,6 +20,7 @@ Small sites are judged with the help of the same roles and texts on all sites.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html import unescape
 
@@ -49,13 +50,13 @@ TEMPLATE_SHARE = 0.27
 #: Characters of running text, and of a text with two sentence ends; scripts without spaces need fewer.
 RUNNING_CHARS, TWO_SENTENCES, DENSE_LETTERS = 90, 72, 16
 
-_REMOVED = regex.compile(r"(?is)<!doctype[^>]*>|<(script|style|noscript|header|footer|nav|head)\b[^>]*>.*?</\1\s*>|<!--.*?-->")
-_TAG = regex.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>?")
-_CLASS = regex.compile(r"""\bclass\s*=\s*["']?([^"'>]+)""")
+_REMOVED = re.compile(r"(?is)<!doctype[^>]*>|<(script|style|noscript|header|footer|nav|head)\b[^>]*>.*?</\1\s*>|<!--.*?-->")
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>?")
+_CLASS = re.compile(r"""\bclass\s*=\s*["']?([^"'>]+)""")
 _LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 #: Between the items of a menu or a trail of links; the first item stands for such a line.
-_ITEMS = regex.compile(r"\s[|/·»>]\s")
-_ENDS = regex.compile(r"[.!?…؟।][\"'”»“)\]]*(?=\s|$)|[。！？]")
+_ITEMS = re.compile(r"\s[|/·»>]\s")
+_ENDS = re.compile(r"[.!?…؟।][\"'”»“)\]]*(?=\s|$)|[。！？]")
 _DENSE = regex.compile(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}]")
 #: Elements that mark words inside a block.
 _INLINE = frozenset("a em strong b i u span small sub sup br img code q cite abbr font s mark time wbr".split())
@@ -74,6 +75,13 @@ def text_key(text: str) -> int:
     return xxhash.xxh64_intdigest(letters) - (1 << 63) if letters else 0
 
 
+#: Pages that are cut at once.
+CUT_PAGES = 500
+#: Lines of html, and texts, that a worker remembers; a site's template recurs on all its pages.
+REMEMBERED = 30_000
+_blocks: dict[str, tuple[str, str, bool] | None] = {}
+
+
 def blocks_of(html: str) -> list[tuple[str, str, bool]]:
     """(text, role, link) of the non-empty text blocks that content is made of, in order.
 
@@ -82,33 +90,42 @@ def blocks_of(html: str) -> list[tuple[str, str, bool]]:
     """
     out = []
     for line in _REMOVED.sub("", html).split("\n"):
-        if "<" not in line:
-            text = " ".join(unescape(line).split())
-            if text:
-                out.append((text, "", False))
-            continue
-        role, pieces, linked, inside, last = "", [], 0, 0, 0
-        for tag in _TAG.finditer(line):
-            if tag.start() > last:
-                piece = line[last : tag.start()]
-                pieces.append(piece)
-                if inside:
-                    linked += len(piece.strip())
-            last = tag.end()
-            name = tag[2].lower()
-            if name == "a":
-                inside = 0 if tag[1] else 1
-            elif not tag[1] and name not in _INLINE and not "".join(pieces).strip():
-                found = _CLASS.search(tag[3])
-                role = f"{name}.{found[1]}" if found else name
-        pieces.append(line[last:])
-        text = " ".join(unescape("".join(pieces)).split())
-        if text:
-            plain = len("".join(pieces).replace(" ", ""))
-            out.append((text, role, linked > 0 and linked >= 0.8 * plain))
+        if line in _blocks:
+            found = _blocks[line]
+        else:
+            if len(_blocks) >= REMEMBERED:
+                _blocks.clear()
+            found = _blocks[line] = _block(line)
+        if found:
+            out.append(found)
     return out
 
 
+def _block(line: str) -> tuple[str, str, bool] | None:
+    """The block of a line of html, if it has text."""
+    if "<" not in line:
+        text = " ".join(unescape(line).split())
+        return (text, "", False) if text else None
+    role, pieces, linked, inside, last = "", [], 0, 0, 0
+    for tag in _TAG.finditer(line):
+        if tag.start() > last:
+            piece = line[last : tag.start()]
+            pieces.append(piece)
+            if inside:
+                linked += len(piece.strip())
+        last = tag.end()
+        name = tag[2].lower()
+        if name == "a":
+            inside = 0 if tag[1] else 1
+        elif not tag[1] and name not in _INLINE and not "".join(pieces).strip():
+            found = _CLASS.search(tag[3])
+            role = f"{name}.{found[1]}" if found else name
+    pieces.append(line[last:])
+    joined = "".join(pieces)
+    text = " ".join(unescape(joined).split())
+    return (text, role, linked > 0 and linked >= 0.8 * len(joined.replace(" ", ""))) if text else None
+
+
 def running(text: str) -> bool:
     """Whether a text is a passage rather than a label: long, or of two sentences and more."""
     if len(text) >= RUNNING_CHARS:
@@ -153,18 +170,19 @@ def block_table(pages: DataFrame) -> DataFrame:
     plain = plain.withColumn("body", F.xxhash64("content"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys: dict[str, int] = {}
-        for frame in batches:
+        known: dict[str, tuple[int, bool]] = {}
+        for frame in (whole.iloc[a : a + CUT_PAGES] for whole in batches for a in range(0, len(whole), CUT_PAGES)):
             page, line_no, text, lead, role, heading, link, passage, nth = [], [], [], [], [], [], [], [], []
             for p, content, html in zip(range(len(frame)), frame["content"], frame["html"], strict=True):
                 seen: dict[int, int] = {}
                 leading = 0
                 for i, t, r, k in page_blocks(content, html):
-                    key = keys.get(t)
-                    if key is None:
-                        if len(keys) > 200_000:
-                            keys.clear()
-                        key = keys[t] = text_key(t)
+                    found = known.get(t)
+                    if found is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        found = known[t] = text_key(t), running(t)
+                    key = found[0]
                     page.append(p)
                     line_no.append(i)
                     text.append(key)
@@ -172,7 +190,7 @@ def block_table(pages: DataFrame) -> DataFrame:
                     role.append(r)
                     heading.append(r.split(".")[0] in _HEADINGS)
                     link.append(k)
-                    passage.append(running(t))
+                    passage.append(found[1])
                     seen[key] = seen.get(key, 0) + (not heading[-1])
                     nth.append(seen[key])
                     if not k:
