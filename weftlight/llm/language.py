@@ -12,6 +12,7 @@ sample per language, cleaned by its own predictions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftlight.llm.common import unique_by
-from weftlight.llm.linekinds import judged_lines
+from weftlight.llm.linekinds import MARKED, judged_lines
 from weftlight.llm.template import page_flags
 from weftlight.plans.spread import spread
 
@@ -35,20 +36,26 @@ RIDGE = 0.05
 #: A paragraph whose best two languages are closer than this takes the page's language, if that is one of them.
 MARGIN = 0.12
 ROWS = 256
+#: Paragraphs of one matrix product while scoring.
+SCORED = 64
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+#: The same for texts without combining marks.
+_PLAIN_OTHER = re.compile(r"[\W\d_]+")
 
 
 def letters_of(line: str) -> str:
     """Lower-case letters and marks; everything else is one space."""
-    return f" {_OTHER.sub(' ', line.lower()).strip()} "
+    other = _OTHER if MARKED.search(line) else _PLAIN_OTHER
+    return f" {other.sub(' ', line.lower()).strip()} "
 
 
-def presence_bits(lines: list[str]) -> np.ndarray:
+def presence_bits(lines: list[str], kind: type = np.uint8) -> np.ndarray:
     """Which n-grams each line has (0 or 1, one row each)."""
-    out = np.zeros((len(lines), GRAMS), np.uint8)
+    out = np.zeros((len(lines), GRAMS), kind)
+    flat = out.ravel()
     codes = np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32)
     end = codes == 10
-    row = np.cumsum(end)
+    at = np.cumsum(end) * GRAMS
     h = np.zeros(len(codes), np.uint32)
     clear = np.ones(len(codes), bool)
     for n in range(1, LONGEST_GRAM + 1):
@@ -59,7 +66,7 @@ def presence_bits(lines: list[str]) -> np.ndarray:
         clear = clear[:size] & ~end[n - 1 :]
         mixed = (h ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35)
         slot = (mixed >> np.uint32(16)) & np.uint32(GRAMS - 1)
-        out[row[:size][clear], slot[clear]] = 1
+        flat[(at[:size] + slot)[clear]] = 1
     return out
 
 
@@ -108,7 +115,11 @@ class Model:
 
     def scores(self, lines: list[str]) -> np.ndarray:
         """One row per line, one column per language."""
-        parts = [presence(lines[i : i + ROWS]) @ self.weights for i in range(0, len(lines), ROWS)]
+        parts = []
+        for i in range(0, len(lines), SCORED):
+            dense = presence_bits(lines[i : i + SCORED], np.float32)
+            # the product is divided by the vectors' lengths, not the vectors
+            parts.append(dense @ self.weights / np.sqrt(np.maximum(dense.sum(axis=1, keepdims=True), 1)))
         return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)), np.float32)
 
 
