@@ -29,10 +29,15 @@ def clean_postings(inverted_index: DataFrame) -> DataFrame:
 def word_statistics(postings: DataFrame) -> DataFrame:
     """(word_id, pages, df, cf, observed, expected, residual) over all postings.
 
-    tf is a count divided by the page's length and the length is not stored;
-    the smallest tf of a page is one occurrence, so tf / smallest tf is the count.
+    tf is a count divided by the page's length and the length is not stored. One
+    occurrence is the least of a page's tf and of the gaps between them, so tf
+    divided by that is the count; where all counts of a page have a common
+    divisor and no gap is smaller, the counts come out divided by it.
     """
-    least = postings.groupBy("page_id").agg(F.min("tf").alias("_one"))
+    # the different tf of a page are few
+    levels = postings.groupBy("page_id").agg(F.sort_array(F.collect_set(F.round("tf", 12))).alias("l"))
+    gaps = F.zip_with("l", F.concat(F.array(F.lit(0.0)), F.col("l")), lambda a, b: a - b)
+    least = levels.select("page_id", F.array_min(F.filter(gaps, lambda g: g > 1e-9)).alias("_one"))
     counted = postings.join(least, "page_id")
     pages = postings.agg(F.countDistinct("page_id").alias("pages"))
     stats = counted.groupBy("word_id").agg(F.count("*").alias("df"), F.sum(F.round(F.col("tf") / F.col("_one"))).alias("cf"))

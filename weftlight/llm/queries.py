@@ -154,7 +154,8 @@ kept AS (SELECT page_id, string_agg(line, chr(10) ORDER BY line_no) FILTER (g.pa
 SELECT id AS page_id, CASE WHEN content IS NOT NULL THEN coalesce(c, '') END AS content, coalesce(n, 0) AS lines_removed FROM pages LEFT JOIN kept ON page_id = id""",
     "p5_scores": """
 WITH p AS (SELECT page_id, word_id, max(tf) AS tf FROM inverted_index WHERE tf > 0 GROUP BY 1, 2),
-one AS (SELECT page_id, min(tf) AS one FROM p GROUP BY 1), n AS (SELECT count(DISTINCT page_id)::DOUBLE AS n FROM p),
+levels AS (SELECT DISTINCT page_id, round(tf, 12) AS t FROM p), gaps AS (SELECT page_id, t - lag(t, 1, 0.0) OVER (PARTITION BY page_id ORDER BY t) AS g FROM levels),
+one AS (SELECT page_id, min(g) AS one FROM gaps WHERE g > 1e-9 GROUP BY 1), n AS (SELECT count(DISTINCT page_id)::DOUBLE AS n FROM p),
 w AS (SELECT word_id, count(*) AS df, sum(round(tf / one)) AS cf FROM p JOIN one USING (page_id) GROUP BY 1),
 s AS (SELECT word_id, df, ln(n / df) AS observed, -ln(1 - exp(-cf / n)) AS expected FROM w, n)
 SELECT page_id, word_id, df, round(tf, 9) AS tf, round(observed, 9) AS observed, round(expected, 9) AS expected, round(observed - expected, 9) AS residual,

@@ -9,8 +9,6 @@ deleted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -89,22 +87,18 @@ def components(edges: DataFrame, site_edges: int = SITE_EDGES) -> DataFrame:
     sizes = edges.groupBy("website_id").agg(F.count("*").alias("n")).filter(F.col("n") > site_edges)
     large = sizes.count()
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [frame for frame in batches if len(frame)]
-        if not parts:
-            return
-        frame = pd.concat(parts, ignore_index=True)
-        for site, own in frame.groupby("website_id", sort=False):
-            node, block = _forest(own["a"].to_numpy(), own["b"].to_numpy())
-            yield pd.DataFrame({"website_id": site, "line": node, "block": block})
+    def local(frame: pd.DataFrame) -> pd.DataFrame:
+        node, block = _forest(frame["a"].to_numpy(), frame["b"].to_numpy())
+        return pd.DataFrame({"website_id": frame["website_id"].iloc[0], "line": node, "block": block})
 
     schema = "website_id long, line long, block long"
-    typed = edges.withColumn("website_id", F.col("website_id").cast("long"))
+    typed = edges.withColumn("website_id", F.col("website_id").cast("long")).filter("website_id is not null")
     if not large:
-        return typed.repartition("website_id").mapInPandas(local, schema)
-    marked = typed.join(F.broadcast(sizes.select(F.col("website_id").cast("long").alias("website_id"), F.lit(True).alias("big"))), "website_id", "left")
+        return typed.groupBy("website_id").applyInPandas(local, schema)
+    # fewer than one site for each site_edges edges
+    marked = sized_join(typed, sizes.select(F.col("website_id").cast("long").alias("website_id"), F.lit(True).alias("big")), ["website_id"], "left", right_rows=large)
     spread = marked.withColumn("_s", F.when(F.col("big"), F.pmod(F.xxhash64("a", "b"), F.lit(64))).otherwise(0)).drop("big")
-    forest = spread.repartition("website_id", "_s").drop("_s").mapInPandas(local, schema)
+    forest = written(spread.groupBy("website_id", "_s").applyInPandas(local, schema), "line-forests")
     label = checkpointed(forest.groupBy("website_id", "line").agg(F.min("block").alias("block")))
     links = checkpointed(forest.select("website_id", F.col("line").alias("a"), F.col("block").alias("b")).filter("a <> b").distinct())
     both = links.union(links.select("website_id", F.col("b").alias("a"), F.col("a").alias("b")))
