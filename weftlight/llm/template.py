@@ -3,15 +3,15 @@
 Every non-empty line of a page's content is one text block of its html. Two
 kinds of tokens describe a page: the text of a block, and the markup that holds
 it (element and class, its role). Over the distinct contents of one site (pages
-fetched again count once) each text has an occurrence vector, the number of times
-it occurs in each content; texts with the same vector form an equivalence class.
-A class is valid if it stands in a share of the site's contents that its size
-asks for, or if it nests in such a class, whose contents hold all of its own, and
-stands in half of them. The valid classes are the site's template, and only their
-texts are template text. They nest in roles: a role whose text is template text
-(headings of side columns, menus, notices) is template structure,
-and its slots are furniture, also those with changing text such as the links
-under "read next". Running text that is not template text is main body even
+fetched again count once) each token has an occurrence vector, the number of times
+it occurs in each content; tokens with the same vector form an equivalence class.
+A class is valid if it stands in a share of the site's contents, which is larger
+for a class of a single token, or if it nests in such a class, whose contents hold
+all of its own, and stands in half of them. The valid classes are the site's
+template, and only their texts are template text. They nest in roles: a role whose
+text is template text (headings of side columns, menus, notices) is template
+structure, and its slots are furniture, also those with changing text such as the
+links under "read next". Running text that is not template text is main body even
 inside such a role. Roles whose text changes from page to page are the slots
 that hold the main body. Headings (h1-h6) mark up the article itself.
 
@@ -37,8 +37,8 @@ from weftlight.plans.spread import spread
 
 #: Distinct contents without which equal vectors say nothing.
 MIN_CONTENTS = 3
-#: Share of a site's distinct contents that a class must stand in, of several texts and of a single one.
-CLASS_SHARE, SINGLE_SHARE = 0.05, 0.1
+#: Share of a site's distinct contents that a class must stand in, of several tokens and of a single one.
+CLASS_SHARE, SINGLE_SHARE = 0.05, 0.2
 #: Share of the contents of the class it nests in that any other class must stand in.
 NESTED_SHARE = 0.5
 #: Share of all sites, and their number at least, on which a text must stand to be template text everywhere.
@@ -205,21 +205,32 @@ def block_table(pages: DataFrame) -> DataFrame:
     return plain.filter("content <> ''").mapInPandas(cut, schema)
 
 
-def text_vectors(blocks: DataFrame) -> DataFrame:
-    """(website_id, text, pages, vector): the text tokens of each site.
+def site_tokens(blocks: DataFrame) -> DataFrame:
+    """(website_id, text, body, n, is_text): the tokens of each distinct content and how often it holds them.
+
+    A token is the text of a block, headings left out, or the markup that holds a
+    block (its role, by a hash of its own).
+    """
+    texts = blocks.filter("text <> 0 and not heading").groupBy("website_id", "text", "body").agg(F.max("nth").cast("long").alias("n"))
+    # a page fetched again has the same content: its roles are counted on one of them
+    roles = blocks.filter("role <> '' and not heading").groupBy("website_id", F.xxhash64(F.lit("role"), "role").alias("text"), "body", "page_id").agg(F.count("*").alias("n"))
+    roles = roles.groupBy("website_id", "text", "body").agg(F.max("n").alias("n"))
+    return texts.withColumn("is_text", F.lit(True)).unionByName(roles.withColumn("is_text", F.lit(False)))
+
+
+def text_vectors(tokens: DataFrame) -> DataFrame:
+    """(website_id, text, is_text, pages, vector): the tokens of each site.
 
     ``vector`` is a fingerprint of the occurrence vector: the sum, over the distinct
     contents (their number is ``pages``), of the content's hash times the number of
-    occurrences. Headings are left out.
+    occurrences.
     """
-    tokens = blocks.filter("text <> 0 and not heading")
-    # map-side sums; a hot site is many texts, not one group
-    counted = tokens.groupBy("website_id", "text", "body").agg(F.max("nth").cast("long").alias("n"))
-    return counted.groupBy("website_id", "text").agg(F.count("*").alias("pages"), F.sum(F.shiftrightunsigned("body", 24) * F.col("n")).alias("vector"))
+    # map-side sums; a hot site is many tokens, not one group
+    return tokens.groupBy("website_id", "text", "is_text").agg(F.count("*").alias("pages"), F.sum(F.shiftrightunsigned("body", 24) * F.col("n")).alias("vector"))
 
 
-def nested_classes(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(website_id, vector, pages, tokens, parent, valid): the equivalence classes of each site's text tokens.
+def nested_classes(blocks: DataFrame, tokens: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(website_id, vector, pages, tokens, parent, valid): the equivalence classes of each site's tokens.
 
     A class that reaches its share of the site's distinct contents is valid and
     hangs from the site itself (no ``parent``). Any other class nests in the
@@ -232,8 +243,7 @@ def nested_classes(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
     classes = written(sized_join(classes, sizes, ["website_id"]).withColumn("top", F.col("pages") >= asked).drop("contents"), "classes")
     # all texts of a class stand in the same contents: one of them tells which
     of_text = classes.select("website_id", F.col("one").alias("text"), "vector", "pages", "top")
-    tokens = blocks.filter("text <> 0 and not heading").select("website_id", "text", "body").distinct()
-    stands = written(sized_join(tokens, of_text, ["website_id", "text"]).drop("text"), "class-contents")
+    stands = written(sized_join(tokens.select("website_id", "text", "body"), of_text, ["website_id", "text"]).drop("text"), "class-contents")
     inner = stands.filter("not top").select("website_id", "body", "vector", "pages")
     outer = stands.filter("top").select("website_id", "body", F.col("vector").alias("parent"), F.col("pages").alias("parent_pages"))
     # a content's classes are at most its lines
@@ -279,13 +289,15 @@ class Templates:
 
     def __init__(self, pages: DataFrame):
         self.blocks = written(block_table(pages), "page-blocks")
-        vectors = written(text_vectors(self.blocks), "text-vectors")
-        self.classes = written(nested_classes(self.blocks, vectors), "nested-classes")
-        flag = template_texts(vectors, self.classes).withColumn("is_template", F.lit(True))
+        tokens = written(site_tokens(self.blocks), "site-tokens")
+        vectors = written(text_vectors(tokens), "token-vectors")
+        self.classes = written(nested_classes(self.blocks, tokens, vectors), "nested-classes")
+        flag = template_texts(vectors.filter("is_text"), self.classes).withColumn("is_template", F.lit(True))
         flag = written(flag, "template-texts")
         joined = sized_join(self.blocks, flag, ["website_id", "text"], "left")
         joined = sized_join(joined, flag.select("website_id", F.col("text").alias("lead"), F.lit(True).alias("led")), ["website_id", "lead"], "left")
-        self.marked = joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_template", "led")})
+        joined = joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_template", "led")})
+        self.marked = written(joined.select("page_id", "website_id", "line_no", "role", "heading", "link", "passage", "is_template", "led"), "marked-lines")
         self.roles = written(role_judgement(self.marked), "roles")
 
     def lines(self) -> DataFrame:
@@ -315,7 +327,7 @@ class Templates:
         return marked.groupBy("page_id").agg(*[F.collect_list(F.when(F.col(c), F.col("line_no"))).alias(name) for c, name in (("furniture", "furniture"), ("heading", "headings"))])
 
     def equivalence_classes(self) -> DataFrame:
-        """(website_id, class_id, tokens, pages, parent): the valid equivalence classes of each site's text tokens."""
+        """(website_id, class_id, tokens, pages, parent): the valid equivalence classes of each site's tokens."""
         return self.classes.filter("valid").select("website_id", F.col("vector").alias("class_id"), "tokens", "pages", "parent")
 
 
