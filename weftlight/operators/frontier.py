@@ -27,6 +27,11 @@ def popped(queue: DataFrame, k: int) -> DataFrame:
     return queue.filter("status = 'pending'").orderBy(F.desc("priority"), F.asc("id")).limit(k)
 
 
+def flushed(queue: DataFrame) -> DataFrame:
+    """The queue after a start from nothing: its columns, and no task."""
+    return queue.limit(0)
+
+
 def with_status(queue: DataFrame, ids: DataFrame, status: str) -> DataFrame:
     """The queue with the tasks of ``ids`` set to a status."""
     hit = ids.select("id").distinct().withColumn("_hit", F.lit(True))

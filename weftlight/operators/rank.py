@@ -69,13 +69,14 @@ def search(
     count = pages.count() if page_count is None else page_count
     terms = written(query_terms(queries), "query-terms")
     found = written(candidates(terms, index, count), "candidates")  # at most 50 rows a query, used three times
-    wide = pages.select(F.col("id").alias("page_id"), "url", "title", "content", "language", "crawl_time", F.coalesce("pagerank", F.lit(UNRANKED)).alias("pagerank"))
-    # the candidates are few: they find their pages, not the other way round
-    rows = sized_join(wide, found, ["page_id"])
+    size = found.count()
+    # the candidates are few: they find their pages, not the other way round; what is shown is fetched for the results alone
+    ranked = pages.select(F.col("id").alias("page_id"), F.coalesce("pagerank", F.lit(UNRANKED)).alias("pagerank"))
+    rows = sized_join(ranked, found, ["page_id"], right_rows=size)
     if query_vectors is not None and page_vectors is not None:
-        own = sized_join(page_vectors, found.select("page_id").distinct(), ["page_id"], "left_semi").withColumnRenamed("vector", "_page")
+        own = sized_join(page_vectors, found.select("page_id").distinct(), ["page_id"], "left_semi", right_rows=size).withColumnRenamed("vector", "_page")
         asked = query_vectors.select("query_id", F.col("vector").alias("_query"))
-        rows = sized_join(rows.join(own, "page_id", "left"), asked, ["query_id"], "left", broadcast_rows=BLOCK)
+        rows = sized_join(rows.join(own, "page_id", "left"), asked, ["query_id"], "left")
         similarity = F.coalesce(vector.dot(F.col("_page"), F.col("_query")), F.lit(0.0))
         rows = rows.withColumn("similarity", similarity).withColumn("has_vector", F.coalesce(F.size("_query") > 0, F.lit(False))).drop("_page", "_query")
     else:
@@ -91,15 +92,16 @@ def search(
     rows = rows.withColumn("score", F.bround(blend[0] * F.col("tfidf") + blend[1] * F.col("rank") + blend[2] * F.col("semantic"), 5))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("page_id"))
     top = rows.withColumn("position", F.row_number().over(order).cast("long")).filter(F.col("position") <= limit)
-    out = top.select(
-        "query_id", "position", "page_id", "url", F.when(F.coalesce("title", F.lit("")) == "", "Untitled").otherwise(F.col("title")).alias("title"), "score",
-        F.when(F.coalesce("language", F.lit("")) == "", "en").otherwise(F.col("language")).alias("language"), iso(F.col("crawl_time")).alias("crawl_time"),
-        F.bround("tfidf", 4).alias("tfidf"), F.bround("rank", 4).alias("pagerank"), F.bround("semantic", 4).alias("semantic"), "content",
-    )
-    if not with_snippets:
-        return out.drop("content")
-    words = terms.groupBy("query_id").agg(F.sort_array(F.collect_set("word")).alias("_words"))  # bounded by the length of a query
-    return sized_join(out, words, ["query_id"]).withColumn("snippet", snippet(F.col("content"), F.col("_words"))).drop("content", "_words")
+    top = top.select("query_id", "position", "page_id", "score", *[F.bround(c, 4).alias(name) for c, name in (("tfidf", "tfidf"), ("rank", "pagerank"), ("semantic", "semantic"))])
+    text = F.when(F.coalesce("title", F.lit("")) == "", "Untitled").otherwise(F.col("title")).alias("title")
+    language = F.when(F.coalesce("language", F.lit("")) == "", "en").otherwise(F.col("language")).alias("language")
+    shown = pages.select(F.col("id").alias("page_id"), "url", text, language, iso(F.col("crawl_time")).alias("crawl_time"), *(["content"] if with_snippets else []))
+    out = sized_join(shown, top, ["page_id"], right_rows=size)
+    if with_snippets:
+        words = terms.groupBy("query_id").agg(F.sort_array(F.collect_set("word")).alias("_words"))  # bounded by the length of a query
+        out = sized_join(out, words, ["query_id"]).withColumn("snippet", snippet(F.col("content"), F.col("_words")))
+    names = ["query_id", "position", "page_id", "url", "title", "score", "language", "crawl_time", "tfidf", "pagerank", "semantic"]
+    return out.select(*names, *(["snippet"] if with_snippets else []))
 
 
 def nearest_by_vector(vectors: DataFrame, query_vector: list[float], k: int) -> DataFrame:

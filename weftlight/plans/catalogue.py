@@ -14,7 +14,7 @@ from weftlight.operators import frontier, graph, index, rank, stats
 from weftlight.plans.lineage import generation, shared_folder, written
 from weftlight.plans.oracles import ORACLES
 from weftlight.plans.spread import spread
-from weftlight.sources import corpus, robots, sinks, storage
+from weftlight.sources import corpus, fetching, robots, sinks, storage
 from weftlight.sources.tables import table
 from weftlight.streaming import streams
 
@@ -137,7 +137,7 @@ def dictionary_upsert(spark, d):
 
 @query
 def embedding_upsert(spark, d):
-    rows = table(spark, d, "page_embeddings").filter("page_id is not null").select("page_id", "model_name").distinct()
+    rows = table(spark, d, "page_embeddings").filter("page_id is not null").select("page_id", "model_name", "embedding").distinct()
     return index.upserted(rows.filter("model_name not like 'mini%'"), rows.filter("model_name like 'mini%'"), "page_id")
 
 
@@ -631,6 +631,21 @@ def queue_status_update(spark, d):
     return frontier.with_status(queue, frontier.popped(queue, 100), "crawling").select("id", "status")
 
 
+@query
+def queue_flush(spark, d):
+    """The figures of a queue after a flush and the recovery of what was never crawled, from the sites alone."""
+    queue = frontier.flushed(_queue(spark, d))
+    again = frontier.recovered(queue, table(spark, d, "websites"), table(spark, d, "pages").limit(0), queue)
+    return stats.queue_counts(queue.select("url", "status").unionByName(again.select("url", F.lit("pending").alias("status"))))
+
+
+@query
+def page_source_replay(spark, d):
+    """Stored pages as the page source gives them."""
+    got = fetching.replay(table(spark, d, "pages"))
+    return got.select("url", "status_code", "location", "etag", "last_modified", F.length("html").alias("n_chars"), "error")
+
+
 @query
 def task_json(spark, d):
     return frontier.from_task_json(frontier.task_json(_queue(spark, d)))

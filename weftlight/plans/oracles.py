@@ -305,10 +305,12 @@ ORACLES: dict[str, str] = {
       SELECT page_id, word, round(tf, 12) AS tf FROM old WHERE page_id NOT IN (SELECT page_id FROM fresh) UNION ALL SELECT page_id, word, round(tf, 12) FROM fresh""",
     "dictionary_upsert": f"""WITH {postings_cte("pages", "id", "content")}, m AS (SELECT max(id) AS m FROM words), new AS (SELECT DISTINCT word FROM post WHERE word NOT IN (SELECT word FROM words))
       SELECT id, word FROM words UNION ALL SELECT m + row_number() OVER (ORDER BY word), word FROM new, m""",
-    "embedding_upsert": "WITH n AS (SELECT DISTINCT page_id, model_name FROM page_embeddings WHERE model_name LIKE 'mini%' AND page_id IS NOT NULL) SELECT page_id, model_name FROM n UNION ALL SELECT DISTINCT page_id, model_name FROM page_embeddings WHERE model_name NOT LIKE 'mini%' AND page_id NOT IN (SELECT page_id FROM n)",
+    "embedding_upsert": "WITH n AS (SELECT DISTINCT page_id, model_name, embedding FROM page_embeddings WHERE model_name LIKE 'mini%' AND page_id IS NOT NULL) SELECT page_id, model_name, embedding FROM n UNION ALL SELECT DISTINCT page_id, model_name, embedding FROM page_embeddings WHERE model_name NOT LIKE 'mini%' AND page_id NOT IN (SELECT page_id FROM n)",
     "queue_status_update": f"WITH {QUEUE}, p AS (SELECT id FROM queue WHERE status = 'pending' ORDER BY priority DESC, id LIMIT 100) SELECT id, CASE WHEN id IN (SELECT id FROM p) THEN 'crawling' ELSE status END AS status FROM queue",
     "point_lookup": "SELECT id, url, title FROM pages WHERE id = 1",
     "batch_lookup": "SELECT w.word, count(*) AS postings FROM words w JOIN inverted_index i ON i.word_id = w.id WHERE w.word IN ('museum', 'market', 'tunnel', 'velmora') GROUP BY 1",
+    "queue_flush": "SELECT count(DISTINCT domain) AS pending, 0::BIGINT AS crawling, 0::BIGINT AS completed, 0::BIGINT AS failed, count(DISTINCT domain) AS total, 0.0::DOUBLE AS progress FROM websites WHERE domain IS NOT NULL",
+    "page_source_replay": "SELECT url, status_code, NULL::VARCHAR AS location, etag, last_modified, CASE WHEN status_code = 200 THEN length(html)::INT END AS n_chars, NULL::VARCHAR AS error FROM pages",
     "task_json": f"WITH {QUEUE} SELECT id, url, depth, priority FROM queue",
     "stream_dedup": f"WITH {QUEUE} SELECT DISTINCT url FROM queue",
     "robots_allowed": r"""SELECT url, NOT (coalesce(f, false) AND starts_with(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/archive/')) AS allowed, CASE WHEN f AND delay > 0 THEN delay::DOUBLE ELSE 0.2 END AS delay
