@@ -8,7 +8,7 @@ by their phrases; keyword text by how the terms of the whole page recur.
 from __future__ import annotations
 
 import re
-from itertools import compress
+from itertools import chain, compress
 from operator import not_
 
 import numpy as np
@@ -72,15 +72,13 @@ def normal(line: str) -> str:
     return TAIL.sub("", text) if text[-1:] in (")", "»") or text[:1] == "»" else text
 
 
-def words_of(line: str) -> list[str]:
-    """The words of a line: letters, marks and digits, joined by apostrophes and hyphens."""
-    return _PLAIN_WORD.findall(line) if line.isascii() or not MARKED.search(line) else WORD.findall(line)
+def words_of(line: str, marked: bool = True) -> list[str]:
+    """The words of a line (``marked``: it may hold combining marks): letters, marks and digits, joined by apostrophes and hyphens."""
+    return WORD.findall(line) if marked else _PLAIN_WORD.findall(line)
 
 
 def scripts_of(line: str, letters: int) -> str:
     """"east" or "thai" where most letters belong to a script without spaces, else ""."""
-    if line.isascii() or not MARKED.search(line):
-        return ""
     if len(CJK.findall(line)) > 0.3 * letters:
         return "east"
     return "thai" if len(THAI.findall(line)) > 0.3 * letters else ""
@@ -105,19 +103,20 @@ def is_prose(line: str, tokens: list[str], script: str, function: float) -> bool
 class Line:
     """What one line shows by itself."""
 
-    __slots__ = ("notice", "notice_chars", "terms", "ids", "dense", "function", "nouns", "prose")
+    __slots__ = ("notice", "notice_chars", "terms", "dense", "function", "nouns", "prose")
 
     def __init__(self, line: str):
         text = normal(line)
         plain = FIELD.sub(" ", line) if _MARK.search(line) else line  # a field is no term
-        tokens = words_of(plain)
+        marked = not line.isascii() and MARKED.search(line) is not None
+        tokens = words_of(plain, marked)
         n = len(tokens)
         lower = " ".join(tokens).lower().split(" ") if tokens else []
-        script = scripts_of(line, sum(map(len, tokens)))
+        script = scripts_of(line, sum(map(len, tokens))) if marked else ""
         named = list(map(FUNCTION_WORDS.__contains__, lower))
         self.function = 0.0 if script or not n else sum(named) / n
         self.notice, self.notice_chars = notice_of(text) if text else ("", 0)
-        if not self.notice and n >= 6 and not script and dummy_words(lower):
+        if not self.notice and n >= 6 and not script and self.function < FEW_FUNCTION and dummy_words(lower):
             self.notice = "filler"
         self.dense = bool(script)
         self.prose = is_prose(line, tokens, script, self.function)
@@ -130,7 +129,6 @@ class Line:
         else:
             self.terms = list(compress(lower, map(not_, named)))
             self.nouns = n >= 4 and self.function < NO_FUNCTION and len(END_MARK.findall(line)) * NOUNS < n
-        self.ids = np.fromiter(map(hash, self.terms), np.int64, len(self.terms))
         self.nouns = self.nouns and len(set(self.terms)) >= DISTINCT * len(self.terms)
 
 
@@ -184,7 +182,7 @@ def keyword_lines(lines: list[Line]) -> list[bool]:
     out = [False] * len(lines)
     if not len(full):
         return out
-    ids = np.concatenate([lines[i].ids for i in full])
+    ids = np.fromiter(map(hash, chain.from_iterable(line.terms for line in lines)), np.int64, int(size.sum()))
     starts = np.cumsum(size[full]) - size[full]
     again = np.add.reduceat(recurring(ids), starts, dtype=np.int64) / size[full]
     # a periodic line recurs within the widest lag: where none does that could be keyword text, lags need not be looked at
@@ -208,7 +206,7 @@ def judged_lines(content: str, furniture: np.ndarray | list[int] | None = None,
     Kinds: empty, error, script, filler, furniture, heading, keywords, prose,
     short. A notice is one wherever it stands.
     """
-    aside, above = set(furniture if furniture is not None else ()), set(headings if headings is not None else ())
+    aside, above = (set() if x is None else set(np.asarray(x).tolist()) for x in (furniture, headings))
     out, open_lines, open_at = [], [], []
     for i, line in enumerate(content.split("\n")):
         if not line or line.isspace():
