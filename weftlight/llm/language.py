@@ -33,6 +33,8 @@ FIT_PAGES = 160
 FIT_PARAGRAPHS = 3
 LANDMARKS = 24
 RIDGE = 0.05
+#: Paragraphs of a language below which it weighs less than others.
+FEW = 200
 #: A paragraph whose best two languages are closer than this takes the page's language, if that is one of them.
 MARGIN = 0.12
 ROWS = 256
@@ -105,9 +107,9 @@ class Model:
         half = vectors / np.sqrt(values) @ vectors.T
         features = self._times(bits, landmarks.T)[keep].astype(np.float64) @ half
         targets = np.where(labels[keep][:, None] == np.arange(len(self.languages)), 1.0, -1.0)
-        # rare languages weigh as much as common ones
+        # rare languages weigh as much as common ones, but a few paragraphs, whose labels may be wrong, do not
         count = np.bincount(labels[keep], minlength=len(self.languages))
-        weight = (1.0 / np.maximum(count, 1))[labels[keep]]
+        weight = (1.0 / np.maximum(count, FEW))[labels[keep]]
         weight *= len(weight) / weight.sum()
         ridge = RIDGE * len(features) / len(marks)
         solved = np.linalg.solve(features.T @ (features * weight[:, None]) + ridge * np.eye(len(marks)), features.T @ (targets * weight[:, None]))
