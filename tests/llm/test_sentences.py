@@ -155,3 +155,16 @@ def test_blocks_are_cut_alike_alone_and_together(scores):
     of_text = S.np.repeat(S.np.arange(len(texts)), count)[block]
     for i, text in enumerate(texts):
         assert list(zip(start[of_text == i].tolist(), end[of_text == i].tolist(), strict=True)) == S.sentence_units(text, scores)
+
+
+def test_keys_that_are_not_sent_count_as_well(spark, small):
+    # an abbreviation and a name that most other keys are better supported than
+    rare = [(i, "It is in rubr. Velmora now. The mill was moved. It was full." if i % 3 else "The mill was moved. It is full. ถาม ตอบ") for i in range(24)]
+    rows = [*rare, *((100 + i, t) for i, t in enumerate(["A line without cuts", "", None, "No. The mill of Dr. Haverin was full. “No.” It is in rubr. Karruth."]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").unionByName(table(spark, small, "documents").selectExpr("doc_id + 1000 as doc_id", "text")).repartition(3)
+    whole = {tuple(r) for r in S.sentence_spans(frame).collect()}
+    for most in (0, 30, 400):
+        found = [tuple(r) for r in S.sentence_spans(frame, max_keys=most).collect()]
+        assert len(found) == len(whole) and set(found) == whole
+    _, rest = S.learned(S.cut_table(frame), 30)
+    assert rest.count() > 30

@@ -10,7 +10,8 @@ inside, then twice more from the cuts chosen so.
 
 Texts are read once: their blocks and candidate cuts become arrays (``cut_table``),
 kept as a table. The turns of learning and the final choice work on those alone,
-many blocks at a time.
+many blocks at a time. The scores of the best supported keys are sent to every
+task; those of all other keys are joined to the documents that have such a key.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from weftlight.llm.common import unique_by
 from weftlight.plans.lineage import written
 from weftlight.plans.spread import spread
 
-#: Opening and closing keys that are sent to every task, 16 bytes each; where there are more, the least supported keep their prior.
+#: Opening and closing keys whose scores are sent to every task, 16 bytes each; where there are more, the scores of the least supported are joined.
 MAX_KEYS = 2_000_000
 #: Words whose counts a task holds before it gives them out, and words whose keys it remembers.
 TASK_KEYS = 200_000
@@ -264,28 +266,48 @@ def _lowered(key: str) -> bool:
 class Scores:
     """Opening and closing log-odds by key, as sorted arrays of hashes."""
 
-    def __init__(self):
+    def __init__(self, more: Scores | None = None):
         nothing = (np.zeros(0, np.int64), np.zeros(0))
         self.table: dict[str, tuple[np.ndarray, np.ndarray]] = {"open": nothing, "close": nothing}
+        #: the scores of further keys
+        self.more = more
 
-    def learn(self, sums: pd.DataFrame, share: float) -> None:
-        """From (kind, key, yes, no, prior, floor); ``share`` is the part of the counted insides that are no cuts."""
-        for kind, part in sums.groupby("kind"):
-            order = np.argsort(part["key"].to_numpy())
-            yes, no, prior, floor = (part[c].to_numpy(np.float64)[order] for c in ("yes", "no", "prior", "floor"))
-            weight = 2.0
-            p = weight / (1 + np.exp(-prior))
-            odds = np.log((yes + p) / (no * (share if kind == "close" else 1.0) + weight - p))
-            self.table[kind] = (part["key"].to_numpy(np.int64)[order], np.maximum(np.clip(odds, -LIMIT, LIMIT), floor))
+    def learn(self, kind: str, keys: np.ndarray, values: np.ndarray) -> None:
+        """Takes the scores of distinct hashed keys."""
+        order = np.argsort(keys)
+        self.table[kind] = (keys[order], values[order])
+
+    def known(self, kind: str, keys: np.ndarray) -> np.ndarray:
+        """Which hashed keys are in the arrays."""
+        known, _ = self.table[kind]
+        if not len(known):
+            return np.zeros(len(keys), bool)
+        return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
     def of(self, kind: str, keys: np.ndarray, prior: np.ndarray) -> np.ndarray:
         """The scores of hashed keys; ``prior`` where a key has none."""
+        if self.more is not None:
+            prior = self.more.of(kind, keys, prior)
         known, values = self.table[kind]
         if not len(known):
             return prior.astype(np.float64)
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         return np.where(known[at] == keys, values[at], prior)
 
+    def beside(self, batch: pa.RecordBatch) -> Scores:
+        """These scores and those of the keys in ``joined``, lists of (kind, key, score)."""
+        rows = batch.column("joined").flatten() if "joined" in batch.schema.names else []
+        if not len(rows):
+            return self
+        kinds, keys, values = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        more = Scores()
+        for kind in more.table:
+            key, one = np.unique(keys[kinds == kind], return_index=True)
+            more.learn(kind, key, values[kinds == kind][one])
+        out = Scores(more)
+        out.table = self.table
+        return out
+
     def opening(self, key: str) -> float:
         return float(self.of("open", np.array([hashed(key)]), np.array([opening_prior(key)]))[0])
 
@@ -594,18 +616,63 @@ def unpacked(values: pa.Array, kinds: dict[str, type]) -> tuple[np.ndarray, dict
     return np.diff(ends) // width, {name: np.ascontiguousarray(records[name]) for name in kinds}
 
 
-def key_counts(table: DataFrame, scores: Scores | None) -> DataFrame:
+_JOINED = "array<struct<kind: string, key: bigint, score: double>>"
+
+
+def scored_table(table: DataFrame, scores: Broadcast[Scores] | None, rest: DataFrame | None) -> DataFrame:
+    """``table`` with ``joined``, the scores that its documents need besides the sent ones: (kind, key, score) of their keys in ``rest``.
+
+    Only documents that have a key that was not sent are shuffled.
+    """
+    if scores is None or rest is None:
+        return table
+
+    def unsent(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray]]]:
+        """Which documents have keys that were not sent, and by kind the (document, key) of those."""
+        count, cuts = unpacked(batch.column(2), Reader.CUT_COLUMNS)
+        document, scored = np.repeat(np.arange(len(count)), count), (cuts["flags"] & IS_GAP) == 0
+        has, found = np.zeros(len(count), bool), {}
+        for kind, column in (("open", "opens"), ("close", "closes")):
+            other = scored & ~scores.value.known(kind, cuts[column])
+            found[kind] = document[other], cuts[column][other]
+            has[document[other]] = True
+        return has, found
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~unsent(batch)[0]))
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has, found = unsent(batch)
+            some = batch.filter(pa.array(has))
+            asked = []
+            for document, keys in found.values():
+                pairs = np.unique(np.stack([document, keys]), axis=1)
+                ends = np.r_[0, np.cumsum(np.bincount(pairs[0], minlength=len(has))[has])]
+                asked.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs[1])))
+            yield pa.RecordBatch.from_arrays([*some.columns, *asked], names=[*some.schema.names, "opens", "closes"])
+
+    schema = table.schema.simpleString()[7:-1]
+    some = written(table.mapInArrow(further, f"{schema},opens:array<bigint>,closes:array<bigint>"), "sentence-further")
+    asked = some.select("id", F.lit("open").alias("kind"), F.explode("opens").alias("key")).unionByName(some.select("id", F.lit("close").alias("kind"), F.explode("closes").alias("key")))
+    # at most the keys of a document
+    joined = asked.join(rest, ["kind", "key"]).groupBy("id").agg(F.collect_list(F.struct("kind", "key", "score")).cast(_JOINED).alias("joined"))
+    return table.mapInArrow(whole, schema).withColumn("joined", F.lit(None).cast(_JOINED)).unionByName(some.drop("opens", "closes").join(joined, "id", "left"))
+
+
+def key_counts(table: DataFrame, scores: Scores | None, rest: DataFrame | None = None) -> DataFrame:
     """(kind, key, yes, no, prior, floor): the hashed keys of all documents, summed in each task and then over all.
 
     Without scores only the ends of blocks are cuts. "open" has the words inside
-    blocks among its ``no``.
+    blocks among its ``no``. ``rest`` has the scores of the keys that are not in ``scores``.
     """
     sent = None if scores is None else table.sparkSession.sparkContext.broadcast(scores)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = sent.value if sent is not None else None
         for batch in batches:
             blocks_, cuts, words = (unpacked(batch.column(i), kinds)[1] for i, kinds in ((1, Reader.BLOCK_COLUMNS), (2, Reader.CUT_COLUMNS), (3, _WORD_COLUMNS)))
+            machine = None if sent is None else sent.value.beside(batch)
             chosen = np.zeros(len(cuts["e"]), bool) if machine is None else chosen_cuts(blocks_, cuts, machine)
             asked = chosen | (machine is not None) | ((cuts["flags"] & MARKED) == 0)
             begun, ended = blocks_["first"] != 0, blocks_["last"] != 0
@@ -629,37 +696,69 @@ def key_counts(table: DataFrame, scores: Scores | None) -> DataFrame:
                     "prior": prior[one].astype(np.float32), "floor": np.where((flags[one] & flag) > 0, lower, upper).astype(np.float32),
                 })
 
-    found = table.mapInArrow(count, "kind string, key long, yes long, no long, prior float, floor float")
+    found = scored_table(table, sent, rest).mapInArrow(count, "kind string, key long, yes long, no long, prior float, floor float")
     return found.groupBy("kind", "key").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.max("prior").alias("prior"), F.max("floor").alias("floor"))
 
 
-def supported(counts: DataFrame, max_keys: int) -> DataFrame:
-    """The rows of ``counts`` whose sum reaches the least support that at most ``max_keys`` rows have."""
+def least_support(counts: DataFrame, max_keys: int) -> int:
+    """The least sum of ``yes`` and ``no`` that at most ``max_keys`` rows have or exceed; 0 if these are all rows."""
     size = counts.count()
     if size <= max_keys:
-        return counts
-    with_support = counts.withColumn("support", F.col("yes") + F.col("no"))
+        return 0
     # the keys of one support are fewer the larger it is: its distinct values are few
     support = 1
-    for row in with_support.groupBy("support").agg(F.count("*").alias("keys")).orderBy("support").toLocalIterator():
+    for row in counts.groupBy((F.col("yes") + F.col("no")).alias("support")).agg(F.count("*").alias("keys")).orderBy("support").toLocalIterator():
         if size <= max_keys:
             break
         size -= row["keys"]
         support = row["support"] + 1
-    return with_support.filter(F.col("support") >= support).drop("support")
+    return support
 
 
-def fit_scores(table: DataFrame, max_keys: int = MAX_KEYS) -> Scores:
-    """Scores learned from all documents of ``cut_table``: from the ends of blocks, then twice from the cuts chosen so."""
-    scores = None
+def supported(counts: DataFrame, max_keys: int) -> DataFrame:
+    """The rows of ``counts`` whose sum reaches the least support that at most ``max_keys`` rows have."""
+    return counts.filter(F.col("yes") + F.col("no") >= least_support(counts, max_keys))
+
+
+def key_scores(counts: DataFrame, share: float) -> DataFrame:
+    """(kind, key, score) of counted keys; ``share`` is the part of the counted insides that are no cuts."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes, no, prior, floor = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("yes", "no", "prior", "floor"))
+            weight = 2.0
+            p = weight / (1 + np.exp(-prior))
+            inside = np.where(batch.column("kind").to_numpy(zero_copy_only=False) == "close", share, 1.0)
+            odds = np.log((yes + p) / (no * inside + weight - p))
+            values = np.maximum(np.clip(odds, -LIMIT, LIMIT), floor)
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("key"), pa.array(values)], names=["kind", "key", "score"])
+
+    return counts.mapInArrow(score, "kind string, key long, score double")
+
+
+def learned(table: DataFrame, max_keys: int = MAX_KEYS) -> tuple[Scores, DataFrame | None]:
+    """Scores learned from all documents of ``cut_table``: from the ends of blocks, then twice from the cuts chosen so.
+
+    At most ``max_keys`` of them, the best supported, come to the driver; the others are the table of (kind, key, score).
+    """
+    scores, rest = None, None
     for turn in range(3):
-        counts = supported(written(key_counts(table, scores), "sentence-keys"), max_keys).toPandas()  # at most max_keys rows of numbers
+        counts = written(key_counts(table, scores, rest), "sentence-keys")
+        support, share = least_support(counts, max_keys), 0.3 if turn == 0 else 1.0
         scores = Scores()
-        scores.learn(counts, 0.3 if turn == 0 else 1.0)
-    return scores
+        best = key_scores(counts.filter(F.col("yes") + F.col("no") >= support), share).select((F.col("kind") == "open").alias("opens"), "key", "score").toPandas()  # at most max_keys rows of numbers
+        for kind, opens in (("open", True), ("close", False)):
+            of_kind = best["opens"].to_numpy(bool) == opens
+            scores.learn(kind, best["key"].to_numpy(np.int64)[of_kind], best["score"].to_numpy(np.float64)[of_kind])
+        rest = key_scores(counts.filter(F.col("yes") + F.col("no") < support), share) if support else None
+    return scores, rest
+
+
+def fit_scores(table: DataFrame, max_keys: int = MAX_KEYS) -> Scores:
+    """The scores of ``learned`` without those of its table."""
+    return learned(table, max_keys)[0]
 
 
-def sentence_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sentence_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_keys: int = MAX_KEYS) -> DataFrame:
     """(id_col, start_char, end_char): one row per sentence unit, in code points, end exclusive.
 
     Null and blank texts give no row; rows with a null id are left out; of rows
@@ -667,17 +766,18 @@ def sentence_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     ignored. Texts of any length are cut whole, block by block.
     """
     table = cut_table(documents, id_col, text_col)
-    scores = table.sparkSession.sparkContext.broadcast(fit_scores(table))
+    fitted, rest = learned(table, max_keys)
+    scores = table.sparkSession.sparkContext.broadcast(fitted)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = scores.value
         for batch in batches:
+            machine = scores.value.beside(batch)
             count, blocks_ = unpacked(batch.column(1), Reader.BLOCK_COLUMNS)
             _, cuts = unpacked(batch.column(2), Reader.CUT_COLUMNS)
             block, start, end = spans_of(blocks_, cuts, chosen_cuts(blocks_, cuts, machine))
             row = np.repeat(np.arange(batch.num_rows), count)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[block])), pa.array(start), pa.array(end)], names=["id", "start_char", "end_char"])
 
-    kept = table.filter("id is not null").select("id", "blocks", "cuts")
+    kept = scored_table(table.filter("id is not null"), scores, rest).drop("words")
     out = kept.mapInArrow(cut, f"id {table.schema['id'].dataType.simpleString()}, start_char long, end_char long")
     return out.withColumnRenamed("id", id_col)
