@@ -168,3 +168,12 @@ def test_keys_that_are_not_sent_count_as_well(spark, small):
         assert len(found) == len(whole) and set(found) == whole
     _, rest = S.learned(S.cut_table(frame), 30)
     assert rest.count() > 30
+
+
+def test_the_driver_holds_a_bounded_number_of_keys_as_numbers(spark, small, monkeypatch):
+    assert S.MAX_KEYS * 16 <= 8 << 20
+    monkeypatch.delattr("pyspark.sql.classic.dataframe.DataFrame.toPandas")  # rows as objects where Arrow is not switched on
+    read = S.cut_table(table(spark, small, "documents"))
+    sent, rest = S.learned(read, 50)
+    held = sum(len(keys) for keys, _ in sent.table.values())
+    assert 0 < held <= 50 < rest.count()

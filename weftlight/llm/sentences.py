@@ -22,7 +22,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -34,7 +33,7 @@ from weftlight.plans.lineage import written
 from weftlight.plans.spread import spread
 
 #: Opening and closing keys whose scores are sent to every task, 16 bytes each; where there are more, the scores of the least supported are joined.
-MAX_KEYS = 2_000_000
+MAX_KEYS = 500_000
 #: Words whose counts a task holds before it gives them out, and words whose keys it remembers.
 TASK_KEYS = 200_000
 #: The longest line of a text whose paragraphs are wrapped.
@@ -745,10 +744,10 @@ def learned(table: DataFrame, max_keys: int = MAX_KEYS) -> tuple[Scores, DataFra
         counts = written(key_counts(table, scores, rest), "sentence-keys")
         support, share = least_support(counts, max_keys), 0.3 if turn == 0 else 1.0
         scores = Scores()
-        best = key_scores(counts.filter(F.col("yes") + F.col("no") >= support), share).select((F.col("kind") == "open").alias("opens"), "key", "score").toPandas()  # at most max_keys rows of numbers
-        for kind, opens in (("open", True), ("close", False)):
-            of_kind = best["opens"].to_numpy(bool) == opens
-            scores.learn(kind, best["key"].to_numpy(np.int64)[of_kind], best["score"].to_numpy(np.float64)[of_kind])
+        best = key_scores(counts.filter(F.col("yes") + F.col("no") >= support), share).select((F.col("kind") == "open").alias("opens"), "key", "score").toArrow()  # at most max_keys rows of numbers, never as objects
+        of_open, keys, values = (best.column(c).to_numpy() for c in ("opens", "key", "score"))
+        for kind, which in (("open", of_open), ("close", ~of_open)):
+            scores.learn(kind, keys[which], values[which])
         rest = key_scores(counts.filter(F.col("yes") + F.col("no") < support), share) if support else None
     return scores, rest
 
