@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftlight.llm import language
 from weftlight.sources.schemas import PAGES
@@ -89,3 +90,26 @@ def test_held_out_accuracy(spark, codes, small):
     found = language.page_paragraphs(table(spark, small, "pages"), table(spark, small, "language_codes"))
     rows = found.filter("label is not null").collect()
     assert sum(r["label"] == r["lang"] for r in rows) / len(rows) > 0.8  # labels themselves are noisy
+
+
+def test_the_model_is_fitted_by_a_task(spark, codes, monkeypatch):
+    pages = pages_of(spark, corpus()).select("id", "language", "content")
+    flags = spark.createDataFrame([(r["id"], [0], []) for r in corpus()], "id long, furniture array<int>, headings array<int>")
+    lines, labels = [], []
+    for r in pages.orderBy("id").collect():
+        for _, line in language.paragraphs(r["content"], [0], [])[: language.FIT_PARAGRAPHS]:
+            lines.append(language.letters_of(line))
+            labels.append(["de", "en", "es", "ru"].index(r["language"].lower()[:2]))
+    by_hand = language.Model(["de", "en", "es", "ru"], lines, np.array(labels))
+
+    def refused(*_):
+        raise AssertionError("on the driver")
+
+    # the driver holds neither the pages of the sample nor their presence vectors
+    monkeypatch.setattr(language, "presence_bits", refused)
+    monkeypatch.setattr(type(pages), "toPandas", refused)
+    model = language.fit_model(pages, flags, codes)
+    assert model.languages == by_hand.languages
+    assert np.allclose(model.weights, by_hand.weights, atol=1e-5)
+    assert language.fit_model(pages.filter("id < 0"), flags, codes) is None
+    assert language.fit_model(pages.withColumn("content", F.lit("Menu")), flags, codes) is None

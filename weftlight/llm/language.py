@@ -95,6 +95,13 @@ class Model:
             keep = self._times(bits, self.weights).argmax(axis=1) == labels
             self.weights = self._fit(bits, labels, keep)
 
+    @classmethod
+    def of(cls, languages: list[str], weights: np.ndarray) -> Model:
+        """The model that was fitted elsewhere."""
+        model = cls.__new__(cls)
+        model.languages, model.weights = languages, np.ascontiguousarray(weights)
+        return model
+
     @staticmethod
     def _times(bits: np.ndarray, matrix: np.ndarray) -> np.ndarray:
         """The product of all presence vectors with a matrix; only a batch of vectors is ever dense."""
@@ -146,7 +153,10 @@ def label_code(label: Column, codes: DataFrame) -> Column:
 
 
 def fit_model(pages: DataFrame, flags: DataFrame, codes: DataFrame, fit_pages: int = FIT_PAGES) -> Model | None:
-    """A model of the languages in ``codes``, from at most about ``fit_pages`` labelled pages of each; ``flags`` are those of the pages' lines."""
+    """A model of the languages in ``codes``, from at most about ``fit_pages`` labelled pages of each; ``flags`` are those of the pages' lines.
+
+    A task fits it: the driver gets the languages and their weights, no page and no presence vector.
+    """
     labelled = pages.select("id", "content", label_code(F.col("language"), codes).alias("code")).filter("code is not null")
     counts = {r["code"]: r["count"] for r in labelled.groupBy("code").count().collect()}  # one row per language
     if not counts:
@@ -154,14 +164,28 @@ def fit_model(pages: DataFrame, flags: DataFrame, codes: DataFrame, fit_pages: i
     shares = {code: int(min(1.0, fit_pages / count) * 1_000_003) for code, count in counts.items()}
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("code")]
     sample = labelled.filter("content <> ''").filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share)
-    sample = sample.join(flags, "id", "left").toPandas().sort_values("id")  # bounded by fit_pages
     languages = sorted(counts)
-    lines, labels = [], []
-    for code, *page in zip(*(sample[c] for c in ("code", "content", "furniture", "headings")), strict=True):
-        for _, line in paragraphs(*page)[:FIT_PARAGRAPHS]:
-            lines.append(letters_of(line))
-            labels.append(languages.index(code))
-    return Model(languages, lines, np.array(labels)) if lines else None
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            rows = [
+                (i, nth, languages.index(code), letters_of(line))
+                for i, code, *page in zip(*(frame[c] for c in ("id", "code", "content", "furniture", "headings")), strict=True)
+                for nth, (_, line) in enumerate(paragraphs(*page)[:FIT_PARAGRAPHS])
+            ]
+            yield pd.DataFrame(rows, columns=["id", "nth", "label", "letters"])
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lines = pd.concat([pd.DataFrame({"label": [], "letters": []}), *batches])
+        if len(lines):
+            model = Model(languages, lines["letters"].tolist(), lines["label"].to_numpy(np.int64))
+            yield pd.DataFrame({"label": range(len(languages)), "weights": [w.tobytes() for w in model.weights.T]})
+
+    lines = sample.join(flags, "id", "left").mapInPandas(cut, "id long, nth int, label int, letters string")
+    # bounded by fit_pages; in the pages' order, since the first paragraphs of a language are its landmarks
+    fitted = lines.repartition(1).sortWithinPartitions("id", "nth").mapInPandas(fit, "label int, weights binary")
+    weights = {r["label"]: np.frombuffer(r["weights"], np.float32) for r in fitted.collect()}  # one row per language
+    return Model.of(languages, np.stack([weights[c] for c in range(len(languages))], axis=1)) if weights else None
 
 
 def page_paragraphs(pages: DataFrame, codes: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
