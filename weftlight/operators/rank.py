@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftlight.functions import vector
 from weftlight.functions.text import snippet, tokens
-from weftlight.operators.index import with_idf
+from weftlight.operators.index import page_tokens, with_idf
 from weftlight.plans.joins import sized_join
 from weftlight.plans.lineage import written
 
@@ -21,6 +23,8 @@ WITH_VECTOR, WITHOUT_VECTOR = (0.5, 0.3, 0.2), (0.7, 0.3, 0.0)
 PUSHED_WORDS = 1000
 #: Vectors of one side of a matrix product, and the queries of one step of it.
 BLOCK, STEP = 4096, 512
+#: Tokens of the pages, and words of the queries, of one block of a text search. Every how manieth page is looked at for a first bound.
+BLOCK_TOKENS, BLOCK_WORDS, SPARSE = 2_000_000, 1_000_000, 16
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -49,6 +53,85 @@ def candidates(terms: DataFrame, index: DataFrame, page_count: int, k: int = CAN
     return scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 
 
+def page_terms(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(page_id, tokens) of each id that has a token; rows with one id are one page, null ids are left out."""
+    each = page_tokens(pages.filter(F.col(id_col).isNotNull()), id_col, text_col)
+    # tokens have no spaces: one text is shuffled with less than an array of them
+    return each.groupBy("page_id").agg(F.split(F.array_join(F.collect_list(F.array_join("tokens", " ")), " "), " ").alias("tokens"))
+
+
+def candidates_of_many(queries: DataFrame, pages: DataFrame, page_count: int, k: int = CANDIDATES, *, block: int = BLOCK_TOKENS, query_block: int = BLOCK_WORDS) -> DataFrame:
+    """(query_id, page_id, raw): what ``candidates`` finds, for so many queries that most pages are met by most of them.
+
+    ``queries``: (query_id, tokens), ``pages``: (page_id, tokens), both unique and kept as tables. Both are
+    cut into blocks of about ``block`` tokens and ``query_block`` words. The sums of a
+    query over a block's pages are an array in memory, of which only the k best go on: no
+    pair of a query and a page is shuffled, sorted or spilled.
+    """
+    terms = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("word"))
+    weights = pages.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    weights = sized_join(weights, written(terms.select("word").distinct(), "query-words"), ["word"], "left_semi")
+    weights = written(with_idf(weights, page_count).select("word", "idf"), "word-weights")
+    asked = sized_join(terms, weights, ["word"]).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("word", "idf"))).alias("w"))
+    asked = asked.select("query_id", F.array_join("w.word", " ").alias("words"), F.col("w.idf").alias("idf"))
+    # the fewest blocks that fit a worker, as each gives k rows a query; then enough pairs of blocks for all cores
+    total, words = (df.agg(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0 for df in (pages, queries))
+    page_blocks = max(1, math.ceil(total / block))
+    query_blocks = max(math.ceil(words / query_block), math.ceil(2 * pages.sparkSession.sparkContext.defaultParallelism / page_blocks))
+
+    def dealt(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        placed = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    kinds = pa.schema([("query_id", pa.int64()), ("page_id", pa.int64()), ("raw", pa.float64())])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return kinds.empty_table()
+        ids = left["page_id"].to_numpy()
+        order = np.argsort(ids)  # ids ascend: ties go to the smaller one
+        ids, texts = ids[order], pc.split_pattern(left["tokens"].combine_chunks().take(pa.array(order)), " ")
+        query_ids, query_words = right["query_id"].to_numpy(), pc.split_pattern(right["words"].combine_chunks(), " ")
+        # postings of the queries' words, by word and page
+        coded = pc.dictionary_encode(query_words.flatten())
+        codes, vocabulary = coded.indices.to_numpy(), coded.dictionary
+        idf = np.empty(len(vocabulary))
+        idf[codes] = right["idf"].combine_chunks().flatten().to_numpy()
+        lengths = pc.list_value_length(texts).to_numpy()
+        met = pc.index_in(texts.flatten(), value_set=vocabulary).fill_null(-1).to_numpy()
+        known = met >= 0
+        keys, n = np.unique(met[known].astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), lengths)[known], return_counts=True)
+        word, page = np.divmod(keys, len(ids))
+        value = n / lengths[page] * idf[word]
+        starts = np.searchsorted(word, np.arange(len(vocabulary) + 1)).tolist()
+        ends = np.append(0, np.cumsum(pc.list_value_length(query_words).to_numpy())).tolist()
+        sums, codes, out = np.empty(len(ids)), codes.tolist(), []
+        for i in range(len(query_ids)):
+            sums.fill(0)
+            for c in codes[ends[i] : ends[i + 1]]:
+                a, b = starts[c], starts[c + 1]
+                sums[page[a:b]] += value[a:b]  # a page is met once by a word
+            at = np.flatnonzero(sums >= _bound(sums[::SPARSE], k))
+            at = at[sums[at] > 0]
+            at = at[sums[at] >= _bound(sums[at], k)]
+            raw = np.round(sums[at], 12)
+            first = np.argsort(-raw, kind="stable")[:k]
+            out.append((np.full(len(first), query_ids[i]), ids[at[first]], raw[first]))
+        return pa.table([np.concatenate(column) for column in zip(*out, strict=True)], schema=kinds)
+
+    left = dealt(pages.select("page_id", F.array_join("tokens", " ").alias("tokens")), "page_id", "_r", page_blocks, "_q", query_blocks)
+    right = dealt(asked, "query_id", "_q", query_blocks, "_r", page_blocks)
+    found = left.groupBy("_r", "_q").cogroup(right.groupBy("_r", "_q")).applyInArrow(best, "query_id long, page_id long, raw double")
+    # at most k rows of each block
+    window = Window.partitionBy("query_id").orderBy(F.desc("raw"), F.asc("page_id"))
+    return found.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= k).drop("_n")
+
+
+def _bound(sums: np.ndarray, k: int) -> float:
+    """What the k best of these sums, and so of any that hold them, reach before they are rounded to twelve decimals."""
+    return np.partition(sums, len(sums) - k)[len(sums) - k] - 2e-12 if len(sums) > k else 0.0
+
+
 def iso(time: Column) -> Column:
     """A time as ISO 8601 text, with microseconds where there are any."""
     rest = F.pmod(F.unix_micros(time), F.lit(1_000_000))
