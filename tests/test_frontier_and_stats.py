@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftlight.operators import frontier as Fr, index, stats
 from weftlight.plans.joins import sized_join
+from weftlight.plans.lineage import written
 from weftlight.sources import corpus, fetching, robots, sinks, storage
 from weftlight.sources.schemas import PAGES, TABLES
 from weftlight.sources.tables import table
@@ -274,3 +275,11 @@ def test_written_tables_can_be_dropped(spark):
     assert os.path.isdir(folder)
     lineage.drop_written(spark)
     assert not os.path.isdir(folder)
+
+
+def test_a_repeated_side_is_not_broadcast(spark):
+    left = spark.range(2000).selectExpr("id % 50 AS k", "id AS v")
+    right = written(spark.range(50).withColumnRenamed("id", "k"), "small-side")  # a few kB of files, far below Spark's own limit
+    joined = sized_join(left, right, ["k"], "left", broadcast_rows=10)
+    assert joined.count() == 2000
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()

@@ -47,6 +47,8 @@ SITES_SHARE, MIN_SITES = 0.02, 3
 PRIOR_LINES = 12.0
 #: Share of template text from which a role is template structure.
 TEMPLATE_SHARE = 0.27
+#: Bytes up to which a table of sites' classes, texts or roles is broadcast: it grows with the sites, and passes through the driver.
+SENT_BYTES = 2 << 20
 #: Characters of running text, and of a text with two sentence ends; scripts without spaces need fewer.
 RUNNING_CHARS, TWO_SENTENCES, DENSE_LETTERS = 90, 72, 16
 
@@ -63,6 +65,11 @@ _INLINE = frozenset("a em strong b i u span small sub sup br img code q cite abb
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+def _sized(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``sized_join`` that broadcasts at most ``SENT_BYTES``."""
+    return sized_join(left, right, keys, how, broadcast_bytes=SENT_BYTES)
+
+
 def text_key(text: str) -> int:
     """64-bit hash of a text's letters and marks, lower-cased; 0 without letters.
 
@@ -240,10 +247,10 @@ def nested_classes(blocks: DataFrame, tokens: DataFrame, vectors: DataFrame) ->
     sizes = blocks.groupBy("website_id").agg(F.countDistinct("body").alias("contents"))
     classes = vectors.filter(F.col("pages") >= MIN_CONTENTS).groupBy("website_id", "vector", "pages").agg(F.count("*").alias("tokens"), F.min("text").alias("one"))
     asked = F.when(F.col("tokens") > 1, CLASS_SHARE).otherwise(SINGLE_SHARE) * F.col("contents")
-    classes = written(sized_join(classes, sizes, ["website_id"]).withColumn("top", F.col("pages") >= asked).drop("contents"), "classes")
+    classes = written(_sized(classes, sizes, ["website_id"]).withColumn("top", F.col("pages") >= asked).drop("contents"), "classes")
     # all texts of a class stand in the same contents: one of them tells which
     of_text = classes.select("website_id", F.col("one").alias("text"), "vector", "pages", "top")
-    stands = written(sized_join(tokens.select("website_id", "text", "body"), of_text, ["website_id", "text"]).drop("text"), "class-contents")
+    stands = written(_sized(tokens.select("website_id", "text", "body"), of_text, ["website_id", "text"]).drop("text"), "class-contents")
     inner = stands.filter("not top").select("website_id", "body", "vector", "pages")
     outer = stands.filter("top").select("website_id", "body", F.col("vector").alias("parent"), F.col("pages").alias("parent_pages"))
     # a content's classes are at most its lines
@@ -260,7 +267,7 @@ def template_texts(vectors: DataFrame, classes: DataFrame) -> DataFrame:
     own = vectors.join(valid, ["website_id", "vector", "pages"], "left_semi").select("website_id", "text")
     sites = vectors.select("website_id").distinct().count()
     everywhere = vectors.groupBy("text").agg(F.count("*").alias("sites")).filter(F.col("sites") >= max(MIN_SITES, SITES_SHARE * sites)).select("text")
-    return own.unionByName(sized_join(vectors.select("website_id", "text"), written(everywhere, "texts-everywhere"), ["text"]).select("website_id", "text")).distinct()
+    return own.unionByName(_sized(vectors.select("website_id", "text"), written(everywhere, "texts-everywhere"), ["text"]).select("website_id", "text")).distinct()
 
 
 def role_judgement(marked: DataFrame) -> DataFrame:
@@ -276,7 +283,7 @@ def role_judgement(marked: DataFrame) -> DataFrame:
     )
     overall = counts.groupBy("role").agg(*[F.sum(c).alias(f"all_{c}") for c in ("plain", "plain_t", "links", "links_t")])
     # one row per name of a role: a bounded vocabulary, yet sized
-    both = sized_join(counts, overall, ["role"], "left")
+    both = _sized(counts, overall, ["role"], "left")
     use_plain = F.col("all_plain") > 0.02 * (F.col("all_plain") + F.col("all_links"))
     prior = F.when(use_plain, F.col("all_plain_t") / F.greatest("all_plain", F.lit(1))).otherwise(F.col("all_links_t") / F.greatest("all_links", F.lit(1)))
     hits, size = F.when(use_plain, F.col("plain_t")).otherwise(F.col("links_t")), F.when(use_plain, F.col("plain")).otherwise(F.col("links"))
@@ -294,8 +301,8 @@ class Templates:
         self.classes = written(nested_classes(self.blocks, tokens, vectors), "nested-classes")
         flag = template_texts(vectors.filter("is_text"), self.classes).withColumn("is_template", F.lit(True))
         flag = written(flag, "template-texts")
-        joined = sized_join(self.blocks, flag, ["website_id", "text"], "left")
-        joined = sized_join(joined, flag.select("website_id", F.col("text").alias("lead"), F.lit(True).alias("led")), ["website_id", "lead"], "left")
+        joined = _sized(self.blocks, flag, ["website_id", "text"], "left")
+        joined = _sized(joined, flag.select("website_id", F.col("text").alias("lead"), F.lit(True).alias("led")), ["website_id", "lead"], "left")
         joined = joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_template", "led")})
         self.marked = written(joined.select("page_id", "website_id", "line_no", "role", "heading", "link", "passage", "is_template", "led"), "marked-lines")
         self.roles = written(role_judgement(self.marked), "roles")
@@ -307,13 +314,13 @@ class Templates:
         template text, or if it stands in the page's tail: after its last passage,
         from the first template text on.
         """
-        judged = sized_join(self.marked, self.roles.select("website_id", "role", "furniture"), ["website_id", "role"], "left")
+        judged = _sized(self.marked, self.roles.select("website_id", "role", "furniture"), ["website_id", "role"], "left")
         bare = self.marked.filter("role = ''")
         last = bare.filter("passage and not is_template").groupBy("page_id").agg(F.max("line_no").alias("_last"))
         tails = written(
             bare.filter("is_template").join(last, "page_id").filter(F.col("line_no") > F.col("_last")).groupBy("page_id").agg(F.min("line_no").alias("_tail")), "tails",
         )
-        judged = sized_join(judged, tails, ["page_id"], "left")
+        judged = _sized(judged, tails, ["page_id"], "left")
         return judged.select(
             "page_id", "website_id", "line_no", "heading",
             F.when(F.col("heading") | (F.col("passage") & ~F.col("link") & ~F.col("is_template")), False)

@@ -42,13 +42,15 @@ def sized_join(
     and ``broadcast_bytes`` bytes: broadcast. Beyond: a shuffle join in
     which every key of the left side is spread over ``salts`` partitions and the
     right side is repeated once per salt, so a key with a third of all rows is
-    met by many tasks. ``how`` may be inner, left, left_semi or left_anti.
+    met by many tasks; Spark may not broadcast it after all. ``how`` may be inner, left, left_semi or left_anti.
     """
     rows, size = measured(right) if right_rows is None else (right_rows, right_rows * (ROW_BYTES + NUMBER_BYTES * len(right.columns)))
     if rows <= broadcast_rows and size <= broadcast_bytes:
         return left.join(F.broadcast(right), keys, how)
     salted = left.withColumn("_salt", _salt_of(left, keys, salts))
     repeated = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    # Spark estimates the repeated side by its files, without the repetition, and would send it through the driver if those are small
+    repeated = repeated.hint("merge")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
